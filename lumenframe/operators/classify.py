@@ -123,21 +123,17 @@ def with_prediction(scored: DataFrame, settings: ClassifySettings = ClassifySett
             .drop("_conf"))
 
 
-def gather(detected: DataFrame, scores: DataFrame, cover: DataFrame | None = None) -> DataFrame:
-    """(punctum_id, chans, pairs, axon_cov, dendrite_cov) from long tables.
+def gather(scores: DataFrame) -> DataFrame:
+    """(punctum_id, chans, pairs, axon_cov, dendrite_cov) from pair rows with a ``p`` column.
 
-    ``detected`` (punctum_id, c); ``scores`` (punctum_id, c1, c2, p). A group
-    holds at most five channels and ten pairs.
+    The pair rows are already partitioned by punctum, so this adds no
+    shuffle; a group holds at most ten pairs.
     """
-    chans = detected.groupBy("punctum_id").agg(F.array_sort(F.collect_set("c")).alias("chans"))
-    pairs = scores.groupBy("punctum_id").agg(
-        F.array_sort(F.collect_list(F.struct("c1", "c2", F.col("p").cast("double").alias("p")))).alias("pairs"))
-    out = chans.join(pairs, "punctum_id", "left").withColumn(
-        "pairs", F.coalesce("pairs", F.array().cast("array<struct<c1:int,c2:int,p:double>>")))
-    if cover is None:
-        return out.withColumns({"axon_cov": F.lit(None).cast("double"),
-                                "dendrite_cov": F.lit(None).cast("double")})
-    return out.join(cover, "punctum_id", "left")
+    pair = F.struct("c1", "c2", F.col("p").cast("double").alias("p"))
+    return scores.groupBy("punctum_id").agg(
+        F.first("chans").alias("chans"),
+        F.array_sort(F.collect_list(F.when(F.col("c1").isNotNull(), pair))).alias("pairs"),
+        F.first("axon_cov").alias("axon_cov"), F.first("dendrite_cov").alias("dendrite_cov"))
 
 
 def classify(puncta: DataFrame, per_punctum: DataFrame,

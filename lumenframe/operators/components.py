@@ -69,6 +69,8 @@ def _border_links(labelled: DataFrame, keys: Sequence[str], connectivity: int, b
 def contract(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, label, root): smallest label reachable, by alternating star rounds.
 
+    ``links`` (keys, u, w) with u > w should be materialised.
+
     Both star steps (Kiveris et al., 2014) reduce a node's neighbours to their
     minimum with map-side combining and join that back on the node; a hub node
     is an ordinary skewed join key, which adaptive execution splits. Each
@@ -76,7 +78,7 @@ def contract(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     take part, never pixels.
     """
     keys = list(keys)
-    edges = cut(links)
+    edges = links
     last = None
     while True:
         sym = edges.unionByName(edges.select(*keys, F.col("w").alias("u"), F.col("u").alias("w")))
@@ -108,7 +110,9 @@ def label_components(mask: DataFrame, keys: Sequence[str] = ("c", "z"), connecti
     if not spans_blocks:
         return labelled
     labelled = cut(labelled)
-    links = _border_links(labelled, keys, connectivity, block)
+    links = cut(_border_links(labelled, keys, connectivity, block))
+    if links.isEmpty():
+        return labelled
     roots = contract(links, keys)
     return (labelled.join(roots, [*keys, "label"], "left")
             .select(*cols, F.coalesce("root", "label").alias("label")))

@@ -13,34 +13,49 @@ from pyspark.sql import functions as F
 from lumenframe.functions import words as W
 
 BOX = ("x1", "x2", "y1", "y2")
+PUNCTUM = ("punctum_id", "chans", "axon_cov", "dendrite_cov")
 
 
 def plane_words(roi_mask: DataFrame) -> DataFrame:
-    """(punctum_id, box, c, z, words, n): ROI masks packed into bit words.
+    """(punctum_id, box, c, z, words, n, n_axon, n_dendrite): ROI masks packed into bit words.
 
     Planes whose maximum is 0 are dropped (they count as empty even under a
-    negative threshold).
+    negative threshold). The neurite counts need flagged masks, else they are null.
     """
+    if "is_axon" not in roi_mask.columns:
+        none = F.lit(None).cast("int")
+        roi_mask = roi_mask.withColumns({"is_axon": none, "is_dendrite": none})
     h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
     key = ["punctum_id", *BOX, "c", "z"]
+    own = lambda col: F.sum(F.when(F.col("_k") == 0, col))  # halo copies do not count again
     bits = (roi_mask.repartition("punctum_id")
-            .withColumn("_p", F.explode(W.contributions(
-                F.col("y") - F.col("y1"), F.col("x") - F.col("x1"), h, w)))
+            .select(*key, "v", "is_axon", "is_dendrite", F.posexplode(W.contributions(
+                F.col("y") - F.col("y1"), F.col("x") - F.col("x1"), h, w)).alias("_k", "_p"))
             .groupBy(*key, F.col("_p.i").alias("i"))
-            .agg(F.bit_or(W.single_bit(F.col("_p.b"))).alias("w"), F.max("v").alias("m")))
+            .agg(F.bit_or(W.single_bit(F.col("_p.b"))).alias("w"), F.max("v").alias("m"),
+                 own(F.lit(1)).alias("n"), own(F.col("is_axon")).alias("na"),
+                 own(F.col("is_dendrite")).alias("nd")))
     packed = bits.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("_m"), F.max("m").alias("_top"))
+        F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("_m"), F.max("m").alias("_top"),
+        F.sum("n").alias("n"), F.sum("na").alias("n_axon"), F.sum("nd").alias("n_dendrite"))
     slots = F.sequence(F.lit(0), W.length(h, w) - 1)
     return (packed.filter("_top <> 0")
             .withColumn("words", F.transform(slots, lambda i: F.coalesce(
                 F.try_element_at("_m", i), F.lit(0).cast("long"))))
-            .select(*key, "words"))
+            .select(*key, "words", "n", "n_axon", "n_dendrite"))
 
 
-def by_punctum(planes: DataFrame) -> DataFrame:
-    """(punctum_id, box, planes array<struct<c,z,words>>, chans): at most five channels x three slices."""
+def by_punctum(planes: DataFrame, neurite_channel: int = 2) -> DataFrame:
+    """(punctum_id, box, planes, chans, axon_cov, dendrite_cov), one row per detected punctum.
+
+    ``planes`` is array<struct<c,z,words>> of at most five channels times
+    three slices; coverage is the share of one channel's pixels on neurites.
+    """
+    here = F.col("c") == neurite_channel
+    share = lambda col: F.sum(F.when(here, F.col(col))) / F.sum(F.when(here, F.col("n")))
     return (planes.groupBy("punctum_id", *BOX)
-            .agg(F.array_sort(F.collect_list(F.struct("c", "z", "words"))).alias("planes"))
+            .agg(F.array_sort(F.collect_list(F.struct("c", "z", "words"))).alias("planes"),
+                 share("n_axon").alias("axon_cov"), share("n_dendrite").alias("dendrite_cov"))
             .withColumn("chans", F.array_sort(F.array_distinct(F.transform("planes", lambda p: p["c"])))))
 
 
@@ -60,11 +75,14 @@ def _combined(c: Column, shared: Column) -> Column:
 
 
 def pair_masks(grouped: DataFrame) -> DataFrame:
-    """(punctum_id, box, c1, c2, n_shared, m1, m2): masks OR-ed over the shared slices."""
-    pairs = grouped.withColumn("_p", F.explode(channel_pairs(F.col("chans"))))
+    """One row per pair: masks m1, m2 OR-ed over the shared slices (null without any).
+
+    A punctum with a single channel keeps one row with null c1, c2.
+    """
+    pairs = grouped.withColumn("_p", F.explode_outer(channel_pairs(F.col("chans"))))
     pairs = pairs.withColumns({"c1": F.col("_p.c1"), "c2": F.col("_p.c2")})
     pairs = pairs.withColumn("_shared", F.array_intersect(_slices(F.col("c1")), _slices(F.col("c2"))))
-    return pairs.select("punctum_id", *BOX, "c1", "c2", F.size("_shared").alias("n_shared"),
+    return pairs.select(*PUNCTUM, *BOX, "c1", "c2", F.size("_shared").alias("n_shared"),
                         _combined(F.col("c1"), F.col("_shared")).alias("m1"),
                         _combined(F.col("c2"), F.col("_shared")).alias("m2"))
 
@@ -92,7 +110,7 @@ def multiscale(pairs: DataFrame) -> DataFrame:
         "_d": F.transform("_s", lambda s: 2 * s["i"] / (s["a"] + s["b"]))})
     wide = wide.withColumns({"jacc_mean": mean_of("_j"), "dice_mean": mean_of("_d")})
     dev = F.transform("_j", lambda j: (j - F.col("jacc_mean")) * (j - F.col("jacc_mean")))
-    return wide.select("punctum_id", "c1", "c2", "n_shared", "jacc_mean",
+    return wide.select(*PUNCTUM, "c1", "c2", "n_shared", "jacc_mean",
                        F.sqrt(mean_of(dev)).alias("jacc_std"), "dice_mean",
                        (F.lit(0.5) * F.col("jacc_mean") + F.lit(0.5) * F.col("dice_mean")).alias("score"))
 
@@ -105,5 +123,5 @@ def mean_of(array) -> Column:
 
 
 def overlap_scores(roi_mask: DataFrame) -> DataFrame:
-    """(punctum_id, c1, c2, n_shared, jacc_mean, jacc_std, dice_mean, score) for detected pairs."""
+    """Overlap measures for every punctum and pair (see ``pair_masks`` for lone channels)."""
     return multiscale(pair_masks(by_punctum(plane_words(roi_mask))))

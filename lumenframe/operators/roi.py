@@ -77,29 +77,40 @@ def _blocks(lo: str, hi: str) -> Column:
 def roi_masks(mask: DataFrame, rois: DataFrame) -> DataFrame:
     """Set voxels inside each usable ROI on slices z-1..z+1.
 
-    ``mask`` is sparse (c, z, y, x, v). Range predicates become an equi join
+    ``mask`` is sparse (c, z, y, x, v, ...). Range predicates become an equi join
     on (z, block) followed by an exact filter; a ROI touches few blocks, so
     it is copied a handful of times rather than once per pixel. Both join
     sides can be split by adaptive skew handling when one block is crowded.
-    Output: (punctum_id, x1, x2, y1, y2, c, z, y, x, v).
+    Output: (punctum_id, x1, x2, y1, y2, c, z, y, x, v, ...).
     """
     r = (usable(rois).filter("depth > 0")
          .select("punctum_id", "x1", "x2", "y1", "y2", "depth",
                  F.explode(F.sequence(F.col("z") - 1, F.col("z") + 1)).alias("z"))
          .filter("z >= 0 and z < depth").drop("depth")
          .withColumn("by", _blocks("y1", "y2")).withColumn("bx", _blocks("x1", "x2")))
-    m = mask.select("c", "z", "y", "x", "v", F.floor(F.col("y") / BLOCK).alias("by"),
-                    F.floor(F.col("x") / BLOCK).alias("bx"))
+    m = mask.select("*", F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx"))
     hit = (r.join(m, ["z", "by", "bx"])
            .filter("y >= y1 and y < y2 and x >= x1 and x < x2").drop("by", "bx"))
-    return hit.select("punctum_id", "x1", "x2", "y1", "y2", "c", "z", "y", "x", "v")
+    return hit.select("punctum_id", "x1", "x2", "y1", "y2", *mask.columns)
 
 
-def restrict_to(mask: DataFrame, channel: int, allowed: DataFrame) -> DataFrame:
-    """Keep one channel's voxels only where ``allowed`` (z, y, x) is set."""
-    inside = mask.filter(F.col("c") == channel).join(
-        allowed.select("z", "y", "x"), ["z", "y", "x"], "left_semi")
-    return mask.filter(F.col("c") != channel).unionByName(inside.select(*mask.columns))
+def flag_neurites(mask: DataFrame, neurites: DataFrame, channels: Sequence[int]) -> DataFrame:
+    """Add is_axon / is_dendrite (0/1) to the voxels of some channels, null elsewhere.
+
+    Flags are attached once per voxel, before ROIs multiply the voxels.
+    """
+    flagged = mask.filter(F.col("c").isin(*channels)).join(
+        neurites.select("z", "y", "x", "is_axon", "is_dendrite"), ["z", "y", "x"], "left")
+    none = F.lit(None).cast("int")
+    rest = mask.filter(~F.col("c").isin(*channels)).withColumns({"is_axon": none, "is_dendrite": none})
+    return rest.unionByName(flagged.select(
+        *mask.columns, F.coalesce("is_axon", F.lit(0)).alias("is_axon"),
+        F.coalesce("is_dendrite", F.lit(0)).alias("is_dendrite")))
+
+
+def restrict_to_axon(flagged: DataFrame, channel: int) -> DataFrame:
+    """Keep the post-cell channel's voxels on axons only."""
+    return flagged.filter((F.col("c") != channel) | (F.col("is_axon") == 1))
 
 
 def detected_channels(roi_mask: DataFrame) -> DataFrame:
@@ -148,9 +159,3 @@ def local_neurites(puncta: DataFrame, neurites: DataFrame, info: DataFrame) -> D
             .select("punctum_id", zero("a0").alias("axon_overlap"), zero("d0").alias("dendrite_overlap"),
                     zero("a1").alias("local_axon_density"), zero("d1").alias("local_dendrite_density"),
                     (zero("a1") / F.greatest(zero("d1"), F.lit(DENSITY_EPS))).alias("axon_dendrite_ratio")))
-
-
-def axon_view(neurites: DataFrame) -> DataFrame:
-    return neurites.filter("is_axon = 1").select("z", "y", "x")
-
-

@@ -332,18 +332,18 @@ _RUN = """SELECT c, {tag} tag, unnest(range(greatest(0, least(total, greatest(0,
                  least(total, greatest(0, {at} - {n} // 2) + {n}))) z FROM {src}"""
 _SELECT = {
     **_NORM,
-    "one": "SELECT c, z at, total FROM ord WHERE rk = 1",
-    "two": "SELECT c, z at, total FROM ord WHERE rk = 2",
+    "one": "SELECT c, z ctr, total FROM ord WHERE rk = 1",
+    "two": "SELECT c, z ctr, total FROM ord WHERE rk = 2",
     "chosen": "SELECT c, z, min(tag * 100 + pos) pri FROM (SELECT *, row_number() OVER (PARTITION BY c, tag ORDER BY z) pos FROM ("
-              + _RUN.format(tag=1, at="at", n=5, src="one") + " UNION ALL "
-              + _RUN.format(tag=2, at="at", n=5, src="two") + ")) GROUP BY c, z",
+              + _RUN.format(tag=1, at="ctr", n=5, src="one") + " UNION ALL "
+              + _RUN.format(tag=2, at="ctr", n=5, src="two") + ")) GROUP BY c, z",
     "filled": """SELECT c, z, row_number() OVER (PARTITION BY c ORDER BY coalesce(pri, 1000 + rk)) k
                  FROM ord LEFT JOIN chosen USING (c, z)""",
     "clean": "SELECT c, string_agg(z + 1, ',' ORDER BY z) s FROM filled WHERE k <= 10 GROUP BY c",
     "noisy": "SELECT c, string_agg(z + 1, ',' ORDER BY z) s FROM (" + _RUN.format(
         tag=0, at="(total // 2)", n=10, src="one") + ") GROUP BY c",
     "ref": "SELECT c, arg_min(z, rk) + 1 r FROM ord JOIN (" + _RUN.format(
-        tag=0, at="at", n=5, src="two") + ") USING (c, z) GROUP BY c",
+        tag=0, at="ctr", n=5, src="two") + ") USING (c, z) GROUP BY c",
     "zr": """SELECT c, coalesce(min(z) FILTER (WHERE m > 0.05), 0) + 1 || ',' ||
              coalesce(max(z) FILTER (WHERE m > 0.05) + 1, count(*)) s FROM norm GROUP BY c""",
 }
@@ -414,10 +414,9 @@ def dilate3d(spark, d):
 
 
 @query(with_ctes("img", f"""
-    SELECT c, z, count(*) area, count(*) - count(e.c) perimeter,
-           {q6('(count(*) - count(e.c)) * (count(*) - count(e.c)) / count(*)')} compactness
-    FROM (SELECT c, z, m.y, m.x, e.c AS ec FROM mask m LEFT JOIN eroded e USING (c, z, y, x)) t,
-    LATERAL (SELECT t.ec AS c) e GROUP BY t.c, t.z""".replace("SELECT c, z, count(*) area", "SELECT t.c c, t.z z, count(*) area"),
+    SELECT c, z, count(*) area, count(*) - count(kept) perimeter,
+           {q6('(count(*) - count(kept)) * (count(*) - count(kept)) / count(*)')} compactness
+    FROM mask LEFT JOIN (SELECT c, z, y, x, 1 kept FROM eroded) USING (c, z, y, x) GROUP BY c, z""",
     {**_DENSE, "eroded": _ERODED}))
 def perimeter(spark, d):
     m = _dense(spark, d)
