@@ -19,6 +19,11 @@ PLANE = TILE * PLANE_TILES
 PUNCTA_DEPTH = 30     # z range of the puncta view; may exceed the image depth
 
 
+def _level(e):
+    """A value in [-1, 1] as a 16-bit pixel."""
+    return F.floor((e.cast("double") + 1) * 32767.5).cast("int")
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c, z, ty, tx, px array<int>): 16-bit tiles from the embedding table."""
     t = F.expr(f"vec_id div {MAX_CHANNELS}")
@@ -28,8 +33,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(t / in_plane).cast("int").alias("z"),
         F.floor((t % in_plane) / PLANE_TILES).cast("int").alias("ty"),
         (t % PLANE_TILES).cast("int").alias("tx"),
-        F.transform("embedding",
-                    lambda e: F.floor((e.cast("double") + 1) * 32767.5).cast("int")).alias("px"),
+        F.transform("embedding", _level).alias("px"),
     )
 
 
@@ -47,7 +51,16 @@ def unfold(tile_df: DataFrame, stride: int = TILE) -> DataFrame:
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c, z, y, x, v int) with v in 0..65535."""
-    return unfold(tiles(spark, sf_dir)).select("c", "z", "y", "x", "v")
+    t, side = F.expr(f"vec_id div {MAX_CHANNELS}"), PLANE_TILES
+    ty = F.floor((t % (side * side)) / side)
+    cell = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.posexplode("embedding").alias("_i", "_e"))
+    return cell.select(
+        (F.col("vec_id") % MAX_CHANNELS + 1).cast("int").alias("c"),
+        F.floor(t / (side * side)).cast("int").alias("z"),
+        (ty * TILE + F.floor(F.col("_i") / TILE)).cast("int").alias("y"),
+        (t % side * TILE + F.col("_i") % TILE).cast("int").alias("x"),
+        _level(F.col("_e")).alias("v"))
 
 
 def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
