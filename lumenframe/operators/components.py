@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.raster import component_labels
 from lumenframe.model import ENTROPY_EPS, THICKNESS_EPS, MorphologySettings
 from lumenframe.operators.masks import CUBE, dilate
+from lumenframe.operators.relational import by_key
 from lumenframe.session import cut
 
 BLOCK = 256                     # at most 65,536 pixels per block
@@ -39,8 +40,8 @@ def _label_blocks(batches, connectivity):
 
 def label_in_blocks(mask: DataFrame, keys: Sequence[str], connectivity: int, block: int) -> DataFrame:
     """(keys, y, x, label) with labels unique within (keys, block)."""
-    packed = (mask.groupBy(*keys, F.floor(F.col("y") / block).alias("_by"),
-                           F.floor(F.col("x") / block).alias("_bx"))
+    placed = mask.withColumns({"_by": F.floor(F.col("y") / block), "_bx": F.floor(F.col("x") / block)})
+    packed = (by_key(placed, [*keys, "_by", "_bx"]).groupBy(*keys, "_by", "_bx")
               .agg(F.collect_list(F.col("y").cast("long") * _ROW + F.col("x")).alias("px")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema)
     labelled = packed.mapInArrow(lambda it: _label_blocks(it, connectivity), f"{fields}, label array<bigint>")

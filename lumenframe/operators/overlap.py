@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import words as W
+from lumenframe.operators.relational import by_key
 
 BOX = ("x1", "x2", "y1", "y2")
 PUNCTUM = ("punctum_id", "chans", "axon_cov", "dendrite_cov")
@@ -28,9 +29,7 @@ def plane_words(roi_mask: DataFrame) -> DataFrame:
     h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
     key = ["punctum_id", *BOX, "c", "z"]
     own = lambda col: F.sum(F.when(F.col("_k") == 0, col))  # halo copies do not count again
-    # word arithmetic is CPU-bound on few bytes: keep the full task count
-    parts = int(roi_mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = (roi_mask.repartition(parts, "punctum_id")
+    bits = (by_key(roi_mask, ["punctum_id"])
             .select(*key, "v", "is_axon", "is_dendrite", F.posexplode(W.contributions(
                 F.col("y") - F.col("y1"), F.col("x") - F.col("x1"), h, w)).alias("_k", "_p"))
             .groupBy(*key, F.col("_p.i").alias("i"))

@@ -57,6 +57,16 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inne
     return salted.join(fanned, [*on, "_salt"], how).drop("_salt")
 
 
+def by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition ahead of a CPU-heavy grouped step.
+
+    The following aggregation reuses this exchange. Naming the partition count
+    keeps adaptive execution from merging tasks by their few bytes.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def int_col(expr) -> "F.Column":
     """Truncate toward zero, the way fixed-width pixel casts do."""
     return expr.cast("int")

@@ -18,10 +18,15 @@ def _extent(axis: str, pick) -> Column:
 
 
 def boxes(puncta: DataFrame) -> DataFrame:
-    """Bounding box of each punctum's voxels plus its centre; row-local."""
+    """Bounding box of each punctum's voxels plus its centre; row-local.
+
+    Puncta may carry their voxel list or, as detection writes them, the box.
+    """
+    centre = ["punctum_id", *[F.col(a).cast("int").alias(a) for a in ("x", "y", "z")]]
+    if "x_min" in puncta.columns:
+        return puncta.select(*centre, "n_voxels", "x_min", "x_max", "y_min", "y_max")
     return puncta.select(
-        "punctum_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-        F.col("z").cast("int").alias("z"), F.size("voxels").alias("n_voxels"),
+        *centre, F.size("voxels").alias("n_voxels"),
         _extent("x", F.array_min).alias("x_min"), _extent("x", F.array_max).alias("x_max"),
         _extent("y", F.array_min).alias("y_min"), _extent("y", F.array_max).alias("y_max"))
 

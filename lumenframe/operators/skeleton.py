@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.raster import thin_canvas, thin_lists
 from lumenframe.operators.blocks import ROW, to_blocks
+from lumenframe.operators.relational import by_key
 from lumenframe.session import cut
 
 BLOCK = 256
@@ -39,7 +40,7 @@ def _unpack(df: DataFrame, keys) -> DataFrame:
 
 def skeletonize_local(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Thin each group whole. For groups with a bounded extent, such as ROIs."""
-    packed = mask.groupBy(*keys).agg(F.collect_list(F.col("y").cast("long") * ROW + F.col("x")).alias("px"))
+    packed = by_key(mask, keys).groupBy(*keys).agg(F.collect_list(F.col("y").cast("long") * ROW + F.col("x")).alias("px"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema)
     return _unpack(packed.mapInArrow(_thin_lists, schema), keys)
 
