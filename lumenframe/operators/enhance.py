@@ -73,25 +73,26 @@ def tile_tables(voxels: DataFrame, height: int, width: int, clip: float, grid: t
               .groupBy(*keys, F.floor(F.col("_y") / th).cast("int").alias("ty"),
                        F.floor(F.col("_x") / tw).cast("int").alias("tx"), "v")
               .agg(F.count(F.lit(1)).cast("int").alias("n")))
-    per = counts.groupBy(*keys, "ty", "tx").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("v").cast("int"), F.least(F.col("n"), F.lit(limit))))).alias("_h"),
-        F.sum(F.greatest(F.col("n") - limit, F.lit(0))).cast("int").alias("_over"))
-    base = F.floor(F.col("_over") / LEVELS)
-    rest = F.col("_over") % LEVELS
+    tile = Window.partitionBy(*keys, "ty", "tx")
+    order = tile.orderBy("v")
+    runs = counts.select(
+        *keys, "ty", "tx", F.col("v").cast("int").alias("v"),
+        F.sum(F.least(F.col("n"), F.lit(limit))).over(order).alias("cum"),
+        F.lead("v", 1, LEVELS).over(order).cast("int").alias("next"),
+        F.greatest(F.col("n") - limit, F.lit(0)).alias("over"))
+    per = runs.groupBy(*keys, "ty", "tx").agg(
+        F.array_sort(F.collect_list(F.struct("v", "next", "cum"))).alias("_r"), F.sum("over").alias("_over"))
+    # every present value holds its running total until the next one: dense levels without lookups
+    lead_in = F.array(F.array_repeat(F.lit(0).cast("long"), F.get("_r", F.lit(0))["v"]))
+    dense = F.flatten(F.concat(lead_in, F.transform("_r", lambda r: F.array_repeat(r["cum"], r["next"] - r["v"]))))
+    base, rest = F.floor(F.col("_over") / LEVELS), F.col("_over") % LEVELS
     step = F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1))
 
-    def level(i):
-        extra = F.when((i % step == 0) & (F.floor(i / step) < rest), 1).otherwise(0)
-        return F.coalesce(F.try_element_at("_h", i), F.lit(0)) + base + extra
-
-    filled = per.withColumn("_f", F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level))
-    # running sum that appends as it goes: one pass over 256 levels
-    scale = float(LEVELS - 1) / area
-    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<int>").alias("out"))
-    lut = F.aggregate("_f", start, lambda a, n: F.struct(
-        (a["s"] + n).alias("s"),
-        F.concat(a["out"], F.array(F.least(F.lit(LEVELS - 1), F.rint((a["s"] + n) * scale)).cast("int"))).alias("out")))
-    return filled.select(*keys, "ty", "tx", lut["out"].alias("lut"))
+    def level(total, i):  # the clipped surplus comes back evenly, its remainder on every step-th level
+        extra = F.least(rest, F.floor(i / step) + 1)
+        return F.least(F.lit(LEVELS - 1), F.rint((total + base * (i + 1) + extra) * (float(LEVELS - 1) / area))).cast("int")
+
+    return per.select(*keys, "ty", "tx", F.transform(dense, level).alias("lut"))
 
 
 def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5,

@@ -277,6 +277,41 @@ def augment(voxels: DataFrame, side: int) -> DataFrame:
         "c", "z", "_o.code", "_o.y", "_o.x", "v")
 
 
+def _kernel(kind: str, t: Column, a: float) -> Column:
+    t = F.abs(t)
+    if kind == "linear":
+        return F.greatest(F.lit(0.0), 1 - t)
+    if kind == "cubic":
+        near = (a + 2) * t * t * t - (a + 3) * t * t + 1
+        far = a * (t * t * t - 5 * t * t + 8 * t - 4)
+        return F.when(t <= 1, near).when(t < 2, far).otherwise(F.lit(0.0))
+    raise ValueError(f"unknown kernel {kind!r}")
+
+
+def resize(voxels: DataFrame, sizes: Mapping[str, tuple[int, int]], kind: str = "linear",
+           antialias: bool = True, a: float = -0.5) -> DataFrame:
+    """Separable resampling; ``sizes`` maps an axis to (old, new) length.
+
+    Each voxel sends weighted shares to the outputs its kernel reaches; the
+    weights are arithmetic on positions, and sums combine on the map side.
+    """
+    out = voxels.withColumn("v", F.col("v").cast("double"))
+    for axis, (old, new) in sizes.items():
+        if old == new:
+            continue
+        step = old / new
+        stretch = max(step, 1.0) if antialias else 1.0
+        reach = {"linear": 1.0, "cubic": 2.0}[kind] * stretch
+        first = F.greatest(F.lit(0), F.ceil((F.col(axis) + 0.5 - reach) / step - 0.5).cast("int"))
+        last = F.least(F.lit(new - 1), F.floor((F.col(axis) + 0.5 + reach) / step - 0.5).cast("int"))
+        w = _kernel(kind, ((F.col("_o") + 0.5) * step - 0.5 - F.col(axis)) / stretch, a)
+        out = (out.filter(first <= last).withColumn("_o", F.explode(F.sequence(first, last)))
+               .withColumn("_w", w).withColumn(axis, F.col("_o"))
+               .groupBy(*[c for c in voxels.columns if c != "v"])
+               .agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("v")))
+    return out
+
+
 # ---------------------------------------------------------------------- noise
 def _unit(seed: int, stream: int) -> Column:
     """Uniform in (0, 1) from the voxel's own coordinates: identical on task retry."""

@@ -1,10 +1,10 @@
 """Punctum classification from image and puncta to prediction rows."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +83,31 @@ def classify_puncta(inputs: Inputs, settings: ClassifySettings = ClassifySetting
         mask = R.restrict_to_axon(mask, post)
     roi_mask = R.roi_masks(mask, R.roi(inputs.puncta, inputs.info, settings.margin))
     return K.classify(inputs.puncta, per_punctum(roi_mask, probability), settings)
+
+
+def model_probability(features: DataFrame, predict: Callable[[np.ndarray], np.ndarray],
+                      hard_labels: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Pair probabilities from a model over feature vectors, for ``probability``.
+
+    ``predict`` maps (n, 99) to n numbers and runs on Arrow batches. All pairs
+    of a punctum share its vector, hence its value. Where the model fails or
+    gives nothing, and where a label-only model (``hard_labels``) answers 0 or
+    1, the measured overlap is used.
+    """
+    @F.pandas_udf("double")
+    def run(vectors: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(np.asarray(predict(np.stack(vectors.to_list())), float))
+        except Exception:  # noqa: BLE001 - a failing model means "no answer" for the batch
+            return pd.Series([None] * len(vectors), dtype="float64")
+
+    answered = features.select("punctum_id", run("features").alias("_m"))
+
+    def attach_p(scores: DataFrame) -> DataFrame:
+        joined = scores.join(answered, "punctum_id", "left")
+        usable = F.col("_m").isNotNull() & ~F.isnan("_m")
+        if hard_labels:
+            usable = usable & ~F.col("_m").isin(0.0, 1.0)
+        return joined.withColumn("p", F.when(usable, F.col("_m")).otherwise(F.col("score"))).drop("_m")
+
+    return attach_p

@@ -257,18 +257,24 @@ class MicroTiff(DataSource):
 
 
 def to_voxels(bands: DataFrame, channels: int = 1, channel_last: bool = True, depth: int | None = None,
-              x_start: int = 0) -> DataFrame:
+              x_start: int = 0, named: bool = False) -> DataFrame:
     """Bands to (path, c, z, y, x, v).
 
     ``channel_last``: channels alternate fastest (page = z * channels + c);
-    otherwise page = c * depth + z.
+    otherwise page = c * depth + z. ``named``: channel and first slice stand
+    in the file name, as ``write_stacks`` puts them.
     """
+    if named:
+        part = lambda tag: F.regexp_extract("path", rf"_{tag}(\d+)", 1).cast("int")
+        bands = bands.withColumns({"_c": part("ch"), "_z0": part("z")})
     if channel_last:
         c, z = F.col("page") % channels, F.floor(F.col("page") / channels)
     else:
         if depth is None:
             raise ValueError("depth is needed when channels are outermost")
         c, z = F.floor(F.col("page") / depth), F.col("page") % depth
+    if named:
+        c, z = F.col("_c") - 1, F.col("page") + F.col("_z0")
     return bands.select("*", F.posexplode("px").alias("_i", "v")).select(
         "path", (c + 1).cast("int").alias("c"), z.cast("int").alias("z"),
         (F.col("y0") + F.floor(F.col("_i") / F.col("width"))).cast("int").alias("y"),
@@ -282,12 +288,19 @@ def image_infos(bands: DataFrame) -> DataFrame:
         F.max("width").alias("width"), F.max("bits").alias("bits"))
 
 
-def write_stacks(voxels: DataFrame, folder: str, width: int, height: int, bits: int, stem: str = "image") -> None:
-    """One multi-page file per channel. Lines are gathered (one image row each) and streamed in order."""
+def write_stacks(voxels: DataFrame, folder: str, width: int, height: int, bits: int, stem: str = "image",
+                 slices_per_file: int = 64) -> None:
+    """Multi-page files of one channel and a run of slices each.
+
+    Lines (one image row) are gathered, sorted per file with spilling and
+    streamed out, so a task never holds a page and no task gets a channel.
+    """
+    first = F.floor(F.col("z") / slices_per_file) * slices_per_file
+    name = F.concat(F.lit(f"{stem}_ch"), F.col("c").cast("string"), F.lit("_z"),
+                    F.lpad(first.cast("string"), 6, "0"), F.lit(".tif"))
     lines = (voxels.groupBy("c", "z", "y")
              .agg(F.collect_list("x").alias("xs"), F.collect_list(F.col("v").cast("int")).alias("px"))
-             .select(F.concat(F.lit(f"{stem}_ch"), F.col("c").cast("string"), F.lit(".tif")).alias("name"),
-                     F.col("z").alias("page"), "y", "xs", "px"))
+             .select(name.alias("name"), (F.col("z") - first).cast("int").alias("page"), "y", "xs", "px"))
     (lines.repartition("name").sortWithinPartitions("name", "page", "y")
      .write.format("microtiff").option("path", folder).option("width", width).option("height", height)
      .option("bits", bits).mode("append").save())
