@@ -29,10 +29,11 @@ def contributions(row: Column, col: Column, height: Column, width: Column) -> Co
     strip = F.floor(col / STRIP).cast("int")
     bit = (col % STRIP + 1).cast("int")
     at = lambda s, b: F.struct((s * (height + 1) + row).cast("int").alias("i"), b.cast("int").alias("b"))
-    return F.array_compact(F.array(
+    wide = F.array_compact(F.array(
         at(strip, bit),
         F.when((bit == 1) & (strip > 0), at(strip - 1, F.lit(63))),
         F.when((bit == STRIP) & (strip + 1 < strips(width)), at(strip + 1, F.lit(0)))))
+    return F.when(width <= STRIP, F.array(at(F.lit(0), bit))).otherwise(wide)
 
 
 def single_bit(bit: Column) -> Column:

@@ -14,50 +14,68 @@ from lumenframe.functions import words as W
 from lumenframe.operators.relational import by_key
 
 BOX = ("x1", "x2", "y1", "y2")
+SLICES = (-1, 0, 1)
 PUNCTUM = ("punctum_id", "chans", "axon_cov", "dendrite_cov")
 
 
 def plane_words(roi_mask: DataFrame) -> DataFrame:
-    """(punctum_id, box, c, z, words, n, n_axon, n_dendrite): ROI masks packed into bit words.
+    """(punctum_id, box, c, planes): a channel's ROI slices packed into bit words.
 
-    Planes whose maximum is 0 are dropped (they count as empty even under a
-    negative threshold). The neurite counts need flagged masks, else they are null.
+    ``planes`` is array<struct<c, dz, words, n_axon, n_dendrite>>, dz in
+    -1..1. The three slices are aggregated side by side, so a pixel row is
+    grouped once. Slices whose maximum is 0 are dropped (they count as empty
+    even under a negative threshold). Neurite counts need flagged masks.
     """
-    if "is_axon" not in roi_mask.columns:
-        none = F.lit(None).cast("int")
-        roi_mask = roi_mask.withColumns({"is_axon": none, "is_dendrite": none})
+    flagged = "is_axon" in roi_mask.columns
     h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
-    key = ["punctum_id", *BOX, "c", "z"]
-    own = lambda col: F.sum(F.when(F.col("_k") == 0, col))  # halo copies do not count again
-    bits = (by_key(roi_mask, ["punctum_id"])
-            .select(*key, "v", "is_axon", "is_dendrite", F.posexplode(W.contributions(
-                F.col("y") - F.col("y1"), F.col("x") - F.col("x1"), h, w)).alias("_k", "_p"))
-            .groupBy(*key, F.col("_p.i").alias("i"))
-            .agg(F.bit_or(W.single_bit(F.col("_p.b"))).alias("w"), F.max("v").alias("m"),
-                 own(F.lit(1)).alias("n"), own(F.col("is_axon")).alias("na"),
-                 own(F.col("is_dendrite")).alias("nd")))
-    packed = bits.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("_m"), F.max("m").alias("_top"),
-        F.sum("n").alias("n"), F.sum("na").alias("n_axon"), F.sum("nd").alias("n_dendrite"))
+    key = ["punctum_id", *BOX, "c"]
+    extra = ["is_axon", "is_dendrite"] if flagged else []
+    px = by_key(roi_mask, ["punctum_id"]).select(
+        *key, "dz", "v", *extra, F.posexplode(W.contributions(
+            F.col("y") - F.col("y1"), F.col("x") - F.col("x1"), h, w)).alias("_k", "_p"))
+    aggs, item = [], []
+    for s, dz in enumerate(SLICES):
+        on = F.col("dz") == dz
+        aggs += [F.bit_or(F.when(on, W.single_bit(F.col("_p.b")))).alias(f"w{s}"),
+                 F.max(F.when(on, F.col("v"))).alias(f"m{s}")]
+        for name in extra:  # halo copies do not count again
+            aggs.append(F.sum(F.when(on & (F.col("_k") == 0), F.col(name))).alias(f"{name}{s}"))
+        item.append(F.col(f"w{s}"))
+    rows = px.groupBy(*key, F.col("_p.i").alias("i")).agg(*aggs)
+    totals = [F.max(f"m{s}").alias(f"m{s}") for s in range(3)]
+    totals += [F.sum(f"{n}{s}").alias(f"{n}{s}") for n in extra for s in range(3)]
+    packed = rows.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list(F.struct("i", F.struct(*item)))).alias("_m"), *totals)
     slots = F.sequence(F.lit(0), W.length(h, w) - 1)
-    return (packed.filter("_top <> 0")
-            .withColumn("words", F.transform(slots, lambda i: F.coalesce(
-                F.try_element_at("_m", i), F.lit(0).cast("long"))))
-            .select(*key, "words", "n", "n_axon", "n_dendrite"))
+    packed = packed.withColumn("_w", F.transform(slots, lambda i: F.try_element_at("_m", i)))
 
+    def plane(s, dz):
+        words = F.transform("_w", lambda e: F.coalesce(e[f"w{s}"], F.lit(0).cast("long")))
+        count = lambda n: (F.col(f"{n}{s}") if flagged else F.lit(None)).cast("long")
+        return F.when(F.col(f"m{s}") != 0, F.struct(
+            F.col("c").alias("c"), F.lit(dz).alias("dz"), words.alias("words"),
+            count("is_axon").alias("n_axon"), count("is_dendrite").alias("n_dendrite")))
 
-def by_punctum(planes: DataFrame, neurite_channel: int = 2) -> DataFrame:
+    return (packed.select(*key, F.array_compact(F.array(*[plane(s, dz) for s, dz in enumerate(SLICES)])).alias("planes"))
+            .filter(F.size("planes") > 0))
+
+
+def by_punctum(channel_planes: DataFrame, neurite_channel: int = 2) -> DataFrame:
     """(punctum_id, box, planes, chans, axon_cov, dendrite_cov), one row per detected punctum.
 
-    ``planes`` is array<struct<c,z,words>> of at most five channels times
-    three slices; coverage is the share of one channel's pixels on neurites.
+    At most five channels times three slices; coverage is the share of one
+    channel's pixels on neurites.
     """
-    here = F.col("c") == neurite_channel
-    share = lambda col: F.sum(F.when(here, F.col(col))) / F.sum(F.when(here, F.col("n")))
-    return (planes.groupBy("punctum_id", *BOX)
-            .agg(F.array_sort(F.collect_list(F.struct("c", "z", "words"))).alias("planes"),
-                 share("n_axon").alias("axon_cov"), share("n_dendrite").alias("dendrite_cov"))
-            .withColumn("chans", F.array_sort(F.array_distinct(F.transform("planes", lambda p: p["c"])))))
+    grouped = channel_planes.groupBy("punctum_id", *BOX).agg(
+        F.array_sort(F.collect_list(F.struct("c", "planes"))).alias("_c"))
+    mine = F.filter("planes", lambda p: p["c"] == neurite_channel)
+    total = F.aggregate(mine, F.lit(0), lambda n, p: n + W.count(p["words"]))
+    on = lambda f: F.aggregate(mine, F.lit(0).cast("long"), lambda n, p: n + p[f])
+    share = lambda f: F.when(total > 0, on(f) / total)
+    return grouped.select(
+        "punctum_id", *BOX, F.flatten(F.col("_c.planes")).alias("planes"),
+        F.col("_c.c").alias("chans")).withColumns({
+            "axon_cov": share("n_axon"), "dendrite_cov": share("n_dendrite")})
 
 
 def channel_pairs(chans: Column) -> Column:
@@ -67,11 +85,11 @@ def channel_pairs(chans: Column) -> Column:
 
 
 def _slices(c: Column) -> Column:
-    return F.transform(F.filter("planes", lambda p: p["c"] == c), lambda p: p["z"])
+    return F.transform(F.filter("planes", lambda p: p["c"] == c), lambda p: p["dz"])
 
 
 def _combined(c: Column, shared: Column) -> Column:
-    picked = F.filter("planes", lambda p: (p["c"] == c) & F.array_contains(shared, p["z"]))
+    picked = F.filter("planes", lambda p: (p["c"] == c) & F.array_contains(shared, p["dz"]))
     return W.union_of(F.transform(picked, lambda p: p["words"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.model import DENSITY_EPS, MIN_PUNCTUM_VOXELS, ROI_MARGIN
-from lumenframe.operators.relational import attach
+from lumenframe.operators.relational import attach, by_key
 
 BLOCK = 16  # side of the spatial bins that turn the range join into an equi join
 
@@ -60,9 +60,10 @@ def roi_samples(voxels: DataFrame, puncta: DataFrame, info: DataFrame,
     with map-side combining, and the image is joined to it once. A crowd of
     puncta on one spot therefore costs one row, not one row per punctum.
     """
-    cover = (roi(puncta, info, margin)
-             .groupBy(F.col("z_sample").alias("z"), "y1", "y2", "x1", "x2")
-             .agg(F.count(F.lit(1)).alias("w"))
+    box = ["z", "y1", "y2", "x1", "x2"]
+    seen = roi(puncta, info, margin).select(F.col("z_sample").alias("z"), *box[1:])
+    merged = seen.groupBy(*box).agg(F.count(F.lit(1)).alias("w"))
+    cover = (by_key(merged, box)  # few bytes that unfold to many pixels: keep all tasks
              .select("z", "w", _span("y1", "y2").alias("y"), "x1", "x2")
              .select("z", "w", "y", _span("x1", "x2").alias("x"))
              .groupBy("z", "y", "x").agg(F.sum("w").alias("w")))
@@ -86,17 +87,18 @@ def roi_masks(mask: DataFrame, rois: DataFrame) -> DataFrame:
     on (z, block) followed by an exact filter; a ROI touches few blocks, so
     it is copied a handful of times rather than once per pixel. Both join
     sides can be split by adaptive skew handling when one block is crowded.
-    Output: (punctum_id, x1, x2, y1, y2, c, z, y, x, v, ...).
+    Output: (punctum_id, x1, x2, y1, y2, dz, c, z, y, x, v, ...).
     """
-    r = (usable(rois).filter("depth > 0")
+    # spread first: each ROI becomes up to a dozen rows, whatever file it came from
+    r = (by_key(usable(rois).filter("depth > 0").select("punctum_id", "x1", "x2", "y1", "y2", "z", "depth"), ["punctum_id"])
          .select("punctum_id", "x1", "x2", "y1", "y2", "depth",
-                 F.explode(F.sequence(F.col("z") - 1, F.col("z") + 1)).alias("z"))
+                 F.col("z").alias("_z"), F.explode(F.sequence(F.col("z") - 1, F.col("z") + 1)).alias("z"))
          .filter("z >= 0 and z < depth").drop("depth")
          .withColumn("by", _blocks("y1", "y2")).withColumn("bx", _blocks("x1", "x2")))
     m = mask.select("*", F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx"))
     hit = (r.join(m, ["z", "by", "bx"])
            .filter("y >= y1 and y < y2 and x >= x1 and x < x2").drop("by", "bx"))
-    return hit.select("punctum_id", "x1", "x2", "y1", "y2", *mask.columns)
+    return hit.select("punctum_id", "x1", "x2", "y1", "y2", (F.col("z") - F.col("_z")).alias("dz"), *mask.columns)
 
 
 def flag_neurites(mask: DataFrame, neurites: DataFrame, channels: Sequence[int]) -> DataFrame:

@@ -215,7 +215,7 @@ _PLANES = {"roi": "SELECT CAST(z AS BIGINT) punctum_id, 0 x1, 16 x2, 0 y1, 16 y2
 def multiscale_overlap(spark, d):
     m = _mask(spark, d).select(
         F.col("z").cast("long").alias("punctum_id"), F.lit(0).alias("x1"), F.lit(S.PLANE).alias("x2"),
-        F.lit(0).alias("y1"), F.lit(S.PLANE).alias("y2"), "c", "z", "y", "x", "v")
+        F.lit(0).alias("y1"), F.lit(S.PLANE).alias("y2"), F.lit(0).alias("dz"), "c", "z", "y", "x", "v")
     s = O.overlap_scores(m).filter("c1 IS NOT NULL")
     return s.select(F.col("punctum_id").alias("z"), "c1", "c2", *[
         r6(c).alias(c) for c in ("jacc_mean", "dice_mean", "score")])
