@@ -34,19 +34,41 @@ def pair_threshold(c1: Column, c2: Column, settings: ClassifySettings = Classify
             .when((c1 == 2) | (c2 == 2), F.lit(float(strict))).otherwise(F.lit(float(plain))))
 
 
+def _bit(c1: int, c2: int) -> int:
+    return 1 << ((c1 - 1) * MAX_CHANNELS + c2 - 1)
+
+
 def channel_sets() -> Column:
-    """All channel subsets of two or more: struct<chans, label, size, need>."""
+    """All channel subsets of two or more: struct<chans, label, size, bits, weak>.
+
+    ``bits`` has one bit per pair of the set, so "all pairs linked" is one
+    integer test. The array is a constant of 26 entries.
+    """
     rows = []
     for k in range(2, MAX_CHANNELS + 1):
         for s in combinations(range(1, MAX_CHANNELS + 1), k):
             rows.append(F.struct(
                 F.array(*[F.lit(c) for c in s]).alias("chans"),
-                F.lit("_".join(map(str, s))).alias("label"),
-                F.lit(k).alias("size"), F.lit(k * (k - 1) // 2).alias("need"),
+                F.lit("_".join(map(str, s))).alias("label"), F.lit(k).alias("size"),
+                F.lit(sum(_bit(a, b) for a, b in combinations(s, 2))).alias("bits"),
                 F.lit(any(c in WEAK_CHANNELS for c in s)).alias("weak")))
     return F.array(*rows)
 
 
+def pair_bit(e: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), (e["c1"] - 1) * MAX_CHANNELS + e["c2"] - 1)
+
+
+def linked_sets(edges: Column) -> Column:
+    """Channel sets whose pairs are all among the edges."""
+    have = F.aggregate(edges, F.lit(0), lambda bits, e: bits.bitwiseOR(pair_bit(e)))
+    return F.filter(channel_sets(), lambda s: s["bits"].bitwiseAND(have) == s["bits"])
+
+
+def edges_within(edges: Column, s: Column) -> Column:
+    return F.filter(edges, lambda e: pair_bit(e).bitwiseAND(s["bits"]) != 0)
+
+
 def mean_p(edges: Column) -> Column:
     return F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["p"]) / F.size(edges)
 
@@ -70,18 +92,14 @@ def with_best_clique(edged: DataFrame) -> DataFrame:
     same winner, because a superset keeps the bonus and is larger by one. Ties
     go to the smallest label.
     """
-    inside = lambda s: F.filter("edges", lambda e: (
-        F.array_contains(s["chans"], e["c1"]) & F.array_contains(s["chans"], e["c2"])))
-    linked = F.filter(channel_sets(), lambda s: F.size(inside(s)) == s["need"])
-
     def scored(s):
-        avg = mean_p(inside(s))
+        avg = mean_p(edges_within(F.col("edges"), s))
         return F.struct(
             (-(s["size"] + F.when(s["weak"], F.lit(CLIQUE_SIZE_BONUS)).otherwise(F.lit(0.0)))).alias("nsize"),
             (-(avg + F.when(s["weak"], F.lit(CLIQUE_PROB_BONUS)).otherwise(F.lit(0.0)))).alias("nprob"),
             s["label"].alias("label"), s["chans"].alias("chans"), avg.alias("avg"))
 
-    return edged.withColumn("best", F.array_min(F.transform(linked, scored)))
+    return edged.withColumn("best", F.array_min(F.transform(linked_sets(F.col("edges")), scored)))
 
 
 def single_channel(c: Column) -> tuple[Column, Column]:

@@ -128,22 +128,13 @@ def pair_table(scores: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("c1").isNotNull(), item))).alias("pairs"))
 
 
-def _cliques(edges: Column) -> Column:
-    """Fully linked channel sets of two or more."""
-    inside = lambda s: F.filter(edges, lambda e: (
-        F.array_contains(s["chans"], e["c1"]) & F.array_contains(s["chans"], e["c2"])))
-    return F.filter(K.channel_sets(), lambda s: F.size(inside(s)) == s["need"])
-
-
 def _largest_clique(cliques: Column) -> Column:
     return F.array_min(F.transform(cliques, lambda s: F.struct(
-        (-s["size"]).alias("neg"), s["label"].alias("label"), s["chans"].alias("chans"))))
+        (-s["size"]).alias("neg"), s["label"].alias("label"), s["bits"].alias("bits"))))
 
 
 def _clique_mean(edges: Column, best: Column, field: str) -> Column:
-    inside = F.filter(edges, lambda e: F.array_contains(best["chans"], e["c1"])
-                      & F.array_contains(best["chans"], e["c2"]))
-    return O.mean_of(F.transform(inside, lambda e: e[field]))
+    return O.mean_of(F.transform(K.edges_within(edges, best), lambda e: e[field]))
 
 
 def graph_features(pairs: DataFrame, overlap_thresh: float = 0.6) -> DataFrame:
@@ -152,12 +143,12 @@ def graph_features(pairs: DataFrame, overlap_thresh: float = 0.6) -> DataFrame:
     p = pairs.withColumns({
         "_e": F.filter(usable, lambda e: e["jacc_mean"] >= overlap_thresh),
         "_r": F.filter("pairs", lambda e: e["score"] >= overlap_thresh), "_u": usable})
-    p = p.withColumns({"_c": _cliques(F.col("_e")), "_rc": _cliques(F.col("_r"))})
+    p = p.withColumns({"_c": K.linked_sets(F.col("_e")), "_rc": K.linked_sets(F.col("_r"))})
     p = p.withColumns({"_b": _largest_clique(F.col("_c")), "_rb": _largest_clique(F.col("_rc"))})
     n = F.size("chans")
     many = n > 1
     maximal = F.filter("_c", lambda s: ~F.exists("_c", lambda t: (t["size"] > s["size"]) & (
-        F.size(F.array_except(s["chans"], t["chans"])) == 0)))
+        s["bits"].bitwiseAND(t["bits"]) == s["bits"])))
     of = lambda f: F.transform("_u", lambda e: e[f])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return p.select(

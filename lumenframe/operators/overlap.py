@@ -98,10 +98,11 @@ def pair_masks(grouped: DataFrame) -> DataFrame:
 
     A punctum with a single channel keeps one row with null c1, c2.
     """
-    pairs = grouped.withColumn("_p", F.explode_outer(channel_pairs(F.col("chans"))))
+    roi = W.frame(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    pairs = grouped.withColumn("roi", roi).withColumn("_p", F.explode_outer(channel_pairs(F.col("chans"))))
     pairs = pairs.withColumns({"c1": F.col("_p.c1"), "c2": F.col("_p.c2")})
     pairs = pairs.withColumn("_shared", F.array_intersect(_slices(F.col("c1")), _slices(F.col("c2"))))
-    return pairs.select(*PUNCTUM, *BOX, "c1", "c2", F.size("_shared").alias("n_shared"),
+    return pairs.select(*PUNCTUM, "roi", "c1", "c2", F.size("_shared").alias("n_shared"),
                         _combined(F.col("c1"), F.col("_shared")).alias("m1"),
                         _combined(F.col("c2"), F.col("_shared")).alias("m2"))
 
@@ -112,10 +113,9 @@ def multiscale(pairs: DataFrame) -> DataFrame:
     Scale factors 0.8, 1.0 and 1.2 all resolve to a one-pixel cross or
     to no change. Adds jacc_mean, jacc_std, dice_mean and score.
     """
-    roi = W.frame(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
-    wide = pairs.withColumn("_roi", roi).withColumns({
+    wide = pairs.withColumns({
         "_e1": W.erode(F.col("m1")), "_e2": W.erode(F.col("m2")),
-        "_d1": W.dilate(F.col("m1"), F.col("_roi")), "_d2": W.dilate(F.col("m2"), F.col("_roi"))})
+        "_d1": W.dilate(F.col("m1"), F.col("roi")), "_d2": W.dilate(F.col("m2"), F.col("roi"))})
 
     def scale(a, b):
         return F.struct(W.count(F.col(a)).alias("a"), W.count(F.col(b)).alias("b"),

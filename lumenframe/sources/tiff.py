@@ -157,7 +157,7 @@ class Written(WriterCommitMessage):
 
 
 class MicroTiffWriter(DataSourceWriter):
-    """Lines (name, page, y, xs, px) to files; a partition must hold whole files in line order."""
+    """Lines (name, pages, page, y, xs, px) to files; a partition must hold whole files in line order."""
 
     def __init__(self, options, overwrite):
         self.folder = options["path"]
@@ -174,7 +174,7 @@ class MicroTiffWriter(DataSourceWriter):
                 self._close(out, done)
                 name = row["name"]
                 final = os.path.join(self.folder, name)
-                out = PageFile(f"{final}.{attempt}.tmp", final, self.width, self.height, self.bits)
+                out = PageFile(f"{final}.{attempt}.tmp", final, self.width, self.height, self.bits, row["pages"])
             out.line(row["page"], row["y"], row["xs"], row["px"])
         self._close(out, done)
         return Written(done)
@@ -194,8 +194,8 @@ class MicroTiffWriter(DataSourceWriter):
 class PageFile:
     """Streams pages into a BigTIFF; missing lines and pixels are zero."""
 
-    def __init__(self, temporary, final, width, height, bits):
-        self.temporary, self.final = temporary, final
+    def __init__(self, temporary, final, width, height, bits, pages=1):
+        self.temporary, self.final, self.pages = temporary, final, pages
         self.width, self.height, self.bits = width, height, bits
         self.kind = np.dtype("u1" if bits == 8 else "<u2")
         self.size = width * height * self.kind.itemsize
@@ -235,7 +235,7 @@ class PageFile:
         self.y = y + 1
 
     def finish(self):
-        self._fill(self.page, self.height)
+        self._fill(max(self.page, self.pages - 1), self.height)
         self.f.close()
         os.replace(self.temporary, self.final)
         return self.final
@@ -288,9 +288,9 @@ def image_infos(bands: DataFrame) -> DataFrame:
         F.max("width").alias("width"), F.max("bits").alias("bits"))
 
 
-def write_stacks(voxels: DataFrame, folder: str, width: int, height: int, bits: int, stem: str = "image",
+def write_stacks(voxels: DataFrame, folder: str, width: int, height: int, bits: int, depth: int, stem: str = "image",
                  slices_per_file: int = 64) -> None:
-    """Multi-page files of one channel and a run of slices each.
+    """Multi-page files of one channel and a run of slices each; missing voxels become 0.
 
     Lines (one image row) are gathered, sorted per file with spilling and
     streamed out, so a task never holds a page and no task gets a channel.
@@ -300,7 +300,8 @@ def write_stacks(voxels: DataFrame, folder: str, width: int, height: int, bits:
                     F.lpad(first.cast("string"), 6, "0"), F.lit(".tif"))
     lines = (voxels.groupBy("c", "z", "y")
              .agg(F.collect_list("x").alias("xs"), F.collect_list(F.col("v").cast("int")).alias("px"))
-             .select(name.alias("name"), (F.col("z") - first).cast("int").alias("page"), "y", "xs", "px"))
+             .select(name.alias("name"), F.least(F.lit(slices_per_file), depth - first).cast("int").alias("pages"),
+                     (F.col("z") - first).cast("int").alias("page"), "y", "xs", "px"))
     (lines.repartition("name").sortWithinPartitions("name", "page", "y")
      .write.format("microtiff").option("path", folder).option("width", width).option("height", height)
      .option("bits", bits).mode("append").save())
