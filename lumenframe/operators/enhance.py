@@ -29,12 +29,14 @@ def match_table(source_hist: DataFrame, template_hist: DataFrame, keys: Sequence
     Nearest template quantiles below and above are found by one ordered pass
     over the union of both tables; between them the value is interpolated.
     """
+    if not template_keys:
+        raise ValueError("the template needs a key, such as the channel")
     keys = list(keys)
     src = _cumulative(source_hist, keys).select(*keys, "q", "v", F.lit(None).cast("double").alias("t"))
     tq = _cumulative(template_hist, list(template_keys)).select(
         *template_keys, "q", F.col("v").cast("double").alias("t"))
     units = source_hist.select(*keys).distinct()
-    tpl = (units.join(tq, list(template_keys)) if template_keys else units.crossJoin(tq))
+    tpl = units.join(tq, list(template_keys))  # a template has at most one row per pixel value
     both = src.unionByName(tpl.select(*keys, "q", F.lit(None).cast(dict(src.dtypes)["v"]).alias("v"), "t"))
     point = F.when(F.col("t").isNotNull(), F.struct("q", "t"))
     before = Window.partitionBy(*keys).orderBy("q").rangeBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators.image import clip_pixel
+from lumenframe.operators.relational import attach
 
 
 def load_channel(voxels: DataFrame, channel: int | None = None, n_channels: int = 1) -> DataFrame:
@@ -14,10 +15,10 @@ def load_channel(voxels: DataFrame, channel: int | None = None, n_channels: int
     if not 1 <= wanted <= n_channels:
         raise ValueError(f"channel {wanted} outside 1..{n_channels}")
     one = voxels.filter(F.col("c") == wanted)
-    top = F.broadcast(one.agg(F.max("v").alias("_top")))  # global aggregate: one row
+    top = one.agg(F.max("v").alias("_top"))
     v = F.col("v").cast("double")
     scaled = F.when(F.col("_top") > 255, v / F.col("_top") * 255.0).otherwise(v)
-    return one.crossJoin(top).select("z", "y", "x", clip_pixel(scaled, 255).alias("v"))
+    return attach(one, top, []).select("z", "y", "x", clip_pixel(scaled, 255).alias("v"))
 
 
 def slice_means(voxels: DataFrame, keys=("c",)) -> DataFrame:

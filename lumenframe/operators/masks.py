@@ -64,14 +64,16 @@ def pair_overlap(mask: DataFrame, keys=()) -> DataFrame:
         F.filter("cs", lambda b: b >= a), lambda b: F.struct(a.alias("c1"), b.alias("c2")))))
     counts = (at.select(*keys, F.explode(combos).alias("p"))
               .groupBy(*keys, "p.c1", "p.c2").agg(F.count(F.lit(1)).alias("n")))
-    single = counts.filter("c1 = c2")
-    a = single.select(*keys, F.col("c1"), F.col("n").alias("size1"))
-    b = single.select(*keys, F.col("c2"), F.col("n").alias("size2"))
-    both = counts.filter("c1 < c2").select(*keys, "c1", "c2", F.col("n").alias("inter"))
-    pairs = (a.join(b, keys) if keys else a.crossJoin(b)).filter("c1 < c2")  # channels only: <= 10 rows per key
-    n = F.coalesce("inter", F.lit(0)).cast("long")
-    union = F.col("size1") + F.col("size2") - n
-    return (pairs.join(both, [*keys, "c1", "c2"], "left")
-            .select(*keys, "c1", "c2", "size1", "size2", n.alias("inter"), union.alias("uni"),
-                    (n / union).alias("jaccard"),
-                    (2 * n / (F.col("size1") + F.col("size2"))).alias("dice")))
+    # at most 15 counts per key from here on: plain array work, no join
+    table = F.map_from_entries(F.collect_list(F.struct(F.struct("c1", "c2"), "n")))
+    cs = F.array_sort(F.collect_set("c1"))
+    per = counts.groupBy(*keys).agg(table.alias("_n"), cs.alias("cs"))
+    pairs = per.select(*keys, "_n", F.explode(F.flatten(F.transform("cs", lambda a: F.transform(
+        F.filter("cs", lambda b: b > a), lambda b: F.struct(a.alias("c1"), b.alias("c2")))))).alias("p"))
+    size = lambda a, b: F.coalesce(F.try_element_at("_n", F.struct(
+        F.col(a).alias("c1"), F.col(b).alias("c2"))), F.lit(0)).cast("long")
+    n, s1, s2 = F.col("inter"), F.col("size1"), F.col("size2")
+    return (pairs.select(*keys, "_n", "p.c1", "p.c2")
+            .select(*keys, "c1", "c2", size("c1", "c1").alias("size1"), size("c2", "c2").alias("size2"),
+                    size("c1", "c2").alias("inter"))
+            .withColumns({"uni": s1 + s2 - n, "jaccard": n / (s1 + s2 - n), "dice": 2 * n / (s1 + s2)}))

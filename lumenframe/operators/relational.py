@@ -12,6 +12,7 @@ from lumenframe.session import cut
 # A lookup of this many rows (a few dozen bytes each) is safe on every executor.
 BROADCAST_ROWS = 200_000
 SALTS = 64
+CHANNEL_LIMIT = 64
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str = "v",
@@ -37,17 +38,21 @@ def percentiles(hist: DataFrame, keys: Sequence[str], probs: Mapping[str, float]
 def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-group table back to voxels without shuffling the voxels.
 
-    A one-row table (``on`` empty) or one keyed by channel alone has a fixed
-    size bound and is broadcast. Any other lookup is materialised once and
-    counted: small ones are broadcast, larger ones go through a shuffle join
-    whose voxel side is salted, so a group holding a large share of the rows
-    still spreads over many tasks.
+    ``on`` empty: the lookup is a global aggregate and enters as a scalar
+    subquery (which fails if it ever had a second row). Keyed by channel
+    alone: at most CHANNEL_LIMIT rows, enforced here, so it is broadcast. Any
+    other lookup is materialised once and counted: small ones are broadcast,
+    larger ones go through a shuffle join whose voxel side is salted, so a
+    group holding a large share of the rows still spreads over many tasks.
     """
     on = list(on)
     if not on:
-        return df.crossJoin(F.broadcast(lookup))  # lookup is a global aggregate: one row
+        row = lookup.select(F.struct(*lookup.columns).alias("_row")).scalar()
+        return df.withColumn("_row", row).select(*df.columns, "_row.*")
     if on == ["c"]:
-        return df.join(F.broadcast(lookup), on, how)
+        known = F.when(F.col("c").between(1, CHANNEL_LIMIT), F.lit(True)).otherwise(
+            F.raise_error(F.lit(f"channel numbers must lie in 1..{CHANNEL_LIMIT}")).cast("boolean"))
+        return df.join(F.broadcast(lookup.filter(known)), on, how)
     lookup = cut(lookup)
     if lookup.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(lookup), on, how)

@@ -17,7 +17,7 @@ from lumenframe.functions import lowrank as L
 from lumenframe.functions.resample import resize_stack
 from lumenframe.model import FlatfieldSettings
 from lumenframe.operators.image import clip_pixel, saturate, stitch
-from lumenframe.operators.relational import BROADCAST_ROWS
+from lumenframe.operators.relational import BROADCAST_ROWS, attach
 from lumenframe.session import cut
 
 LOCAL_VALUES = 4_000_000     # a stack up to this many values is solved inside one task
@@ -42,17 +42,33 @@ def resize_tiles(tiles: DataFrame, shape: tuple[int, int], out: tuple[int, int],
     return tiles.mapInArrow(run, schema)
 
 
-def order_rows(stack: DataFrame) -> DataFrame:
-    """(c, r, px): row r holds every pixel's r-th smallest value over the images.
+def order_rows(stack: DataFrame, keys=("c",), crowded: bool = False) -> DataFrame:
+    """(keys, r, px): row r holds every pixel's r-th smallest value over the images.
 
-    Sorting is per (channel, pixel): many even groups of one value per image,
-    sorted with spilling; nothing is gathered but rows of fixed length.
+    Plain ranking is per (keys, pixel). ``crowded`` stacks are ranked in two
+    steps instead: a range partitioning cuts even one pixel's values (ties
+    included) into even pieces, pieces are counted, and a value's rank is its
+    piece's offset plus its place inside.
     """
-    cells = stack.select("c", F.posexplode("px").alias("i", "v"))
-    rank = F.row_number().over(Window.partitionBy("c", "i").orderBy("v"))
-    return (cells.withColumn("r", rank).groupBy("c", "r")
+    keys = list(keys)
+    pixel = [*keys, "i"]
+    if not crowded:
+        cells = stack.select(*keys, F.posexplode("px").alias("i", "v"))
+        ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy(*pixel).orderBy("v")))
+    else:
+        tie = F.xxhash64("px")
+        parts = int(stack.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = stack.select(*keys, tie.alias("_t"), F.posexplode("px").alias("i", "v"))
+        cells = cut(cells.repartitionByRange(parts, *pixel, "v", "_t").withColumn("_part", F.spark_partition_id()))
+        counts = cells.groupBy(*pixel, "_part").agg(F.count(F.lit(1)).alias("n"))  # pieces, not values
+        upto = Window.partitionBy(*pixel).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*pixel, "_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_o"))
+        place = F.row_number().over(Window.partitionBy(*pixel, "_part").orderBy("v", "_t"))
+        ranked = cells.withColumn("_p", place).join(offsets, [*pixel, "_part"]).withColumn(
+            "r", F.col("_p") + F.col("_o"))
+    return (ranked.groupBy(*keys, "r")
             .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_p"))
-            .select("c", "r", F.col("_p.v").alias("px")))
+            .select(*keys, "r", F.col("_p.v").alias("px")))
 
 
 def _matrix(column) -> np.ndarray:
@@ -140,39 +156,41 @@ class DistributedStack:
 
 
 def estimate_flatfield(tiles: DataFrame, shape: tuple[int, int],
-                       settings: FlatfieldSettings = FlatfieldSettings(),
+                       settings: FlatfieldSettings = FlatfieldSettings(), keys=("c",),
                        local_values: int = LOCAL_VALUES) -> DataFrame:
-    """(c, y, x, flat, dark) at tile size from tile rows (c, px).
+    """(keys, y, x, flat, dark) at tile size from tile rows (keys, px).
 
-    Stacks are resized, ordered and counted. A channel whose stack fits the
-    limit is solved in one task; a larger one by passes over the whole table.
+    Every key (a channel, or scene and channel) is a stack of its own. Stacks
+    within the limit are solved one per task, all in parallel; each larger
+    one by passes over the whole table.
     """
-    side = settings.working_size
-    rows = cut(order_rows(resize_tiles(tiles.select("c", "px"), shape, (side, side))))
-    counts = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 5 rows
-    small = [c for c, n in counts.items() if n * side * side <= local_values]
-    spark = rows.sparkSession
-
-    def finish(c, flat, dark):
+    keys, side = list(keys), settings.working_size
+    small_images = cut(resize_tiles(tiles.select(*keys, "px"), shape, (side, side)))
+    sizes = small_images.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = max(local_values // (side * side), 0)
+    large = [{k: r[k] for k in keys} for r in sizes.filter(F.col("_n") > most).select(*keys).collect()]
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "y int, x int, flat double, dark double"])
+
+    def finish(key, flat, dark):
         up = lambda v: resize_stack(v.reshape(side, side), *shape, "cubic", antialias=True)
         f, k = up(flat), up(dark)
         y, x = np.mgrid[:shape[0], :shape[1]]
-        return pd.DataFrame({"c": np.int32(c), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32),
+        return pd.DataFrame({**key, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32),
                              "flat": (f / f.mean()).ravel(), "dark": k.ravel()})
 
     def local(pdf):
-        d = np.stack(pdf.sort_values("r")["px"].to_list())
-        return finish(pdf["c"].iloc[0], *L.solve(L.Block(d), side, settings))
-
-    schema = "c int, y int, x int, flat double, dark double"
-    out = rows.filter(F.col("c").isin(*small)).groupBy("c").applyInPandas(local, schema) if small else None
-    for c in counts:
-        if c not in small:
-            solved = L.solve(DistributedStack(rows.filter(F.col("c") == c)), side, settings)
-            part = spark.createDataFrame(finish(c, *solved), schema)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no training tiles")
+        d = np.sort(np.stack(pdf["px"].to_list()), axis=0)
+        return finish({k: pdf[k].iloc[0] for k in keys}, *L.solve(L.Block(d), side, settings))
+
+    fits = attach(small_images, sizes.filter(F.col("_n") <= most), keys)
+    out = fits.groupBy(*keys).applyInPandas(local, schema)
+    for key in large:
+        mine = small_images
+        for k, v in key.items():
+            mine = mine.filter(F.col(k) == F.lit(v))
+        solved = L.solve(DistributedStack(order_rows(mine, keys, crowded=True)), side, settings)
+        out = out.unionByName(tiles.sparkSession.createDataFrame(finish(key, *solved), schema))
     return out
 
 

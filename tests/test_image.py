@@ -270,3 +270,29 @@ def test_streaming_row_local(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("inverted").agg(F.sum("v")).first()[0] == 255 * 8 - 28
+
+
+def test_crowded_ranking_equals_plain(spark):
+    """Two-step ranks with many ties and more pieces than pixels."""
+    rng = np.random.default_rng(2)
+    px = rng.integers(0, 3, (50, 2)).astype(float)
+    px[:, 1] = 7.0
+    df = spark.createDataFrame([(1, list(map(float, r))) for r in px], "c int, px array<double>")
+    get = lambda flag: [r["px"] for r in SH.order_rows(df, ["c"], flag).orderBy("r").collect()]
+    assert get(True) == get(False) == [list(r) for r in np.sort(px, axis=0)]
+
+
+def test_flatfield_per_scene(spark):
+    d, flat, _ = stack(n=20, side=8)
+    rows = [(s, c, [float(v) for v in (t * s).ravel()]) for s in (1, 2) for c in (1, 3) for t in d]
+    tiles = spark.createDataFrame(rows, "scene int, c int, px array<double>")
+    s = FlatfieldSettings(working_size=8, max_iterations=30)
+    out = SH.estimate_flatfield(tiles, (8, 8), s, keys=("scene", "c")).toPandas()
+    assert len(out) == 4 * 64 and out.groupby(["scene", "c"]).flat.mean().sub(1).abs().max() < 1e-9
+
+
+def test_channel_limit(spark):
+    v = voxels(spark, np.ones((1, 2, 2)), c=65)
+    with pytest.raises(Exception, match="channel numbers"):
+        TH.percentile_threshold(v).count()
+        RL.attach(v, TH.percentile_threshold(v), ["c"]).collect()
