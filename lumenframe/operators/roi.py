@@ -51,23 +51,48 @@ def _span(lo: str, hi: str) -> Column:
     return F.explode(F.sequence(F.col(lo), F.col(hi) - 1))
 
 
-def roi_samples(voxels: DataFrame, puncta: DataFrame, info: DataFrame,
-                margin: int = ROI_MARGIN) -> DataFrame:
-    """Intensity bag of all ROIs: (c, v, n) where n counts repeats.
+def cover_counts(puncta: DataFrame, info: DataFrame, margin: int = ROI_MARGIN) -> DataFrame:
+    """(z, y, x, w): how many ROIs cover a position of their sampling slice.
 
-    Overlapping ROIs repeat pixels. Instead of joining every ROI with its
-    pixels, equal boxes are merged, the cover count of each position is built
-    with map-side combining, and the image is joined to it once. A crowd of
-    puncta on one spot therefore costs one row, not one row per punctum.
+    Equal boxes are merged before they unfold to positions, so a crowd of
+    puncta on one spot costs one row, not one row per punctum.
     """
     box = ["z", "y1", "y2", "x1", "x2"]
     seen = roi(puncta, info, margin).select(F.col("z_sample").alias("z"), *box[1:])
     merged = seen.groupBy(*box).agg(F.count(F.lit(1)).alias("w"))
-    cover = (by_key(merged, box)  # few bytes that unfold to many pixels: keep all tasks
-             .select("z", "w", _span("y1", "y2").alias("y"), "x1", "x2")
-             .select("z", "w", "y", _span("x1", "x2").alias("x"))
-             .groupBy("z", "y", "x").agg(F.sum("w").alias("w")))
-    return (voxels.join(cover, ["z", "y", "x"])
+    return (by_key(merged, box)  # few bytes that unfold to many positions: keep all tasks
+            .select("z", "w", _span("y1", "y2").alias("y"), "x1", "x2")
+            .select("z", "w", "y", _span("x1", "x2").alias("x"))
+            .groupBy("z", "y", "x").agg(F.sum("w").alias("w")))
+
+
+def roi_samples(voxels: DataFrame, puncta: DataFrame, info: DataFrame,
+                margin: int = ROI_MARGIN) -> DataFrame:
+    """Intensity bag of all ROIs: (c, v, n) where n counts repeats.
+
+    Overlapping ROIs repeat pixels; the image is joined once to the cover
+    counts instead of to every ROI. With tile rows at hand use
+    ``roi_samples_tiled``, which moves far fewer bytes.
+    """
+    return (voxels.join(cover_counts(puncta, info, margin), ["z", "y", "x"])
+            .groupBy("c", "v").agg(F.sum("w").cast("long").alias("n")))
+
+
+def roi_samples_tiled(tiles: DataFrame, side: int, puncta: DataFrame, info: DataFrame,
+                      margin: int = ROI_MARGIN) -> DataFrame:
+    """The same bag from tile rows (c, z, ty, tx, px) of side x side pixels.
+
+    Cover counts are packed per tile (at most side^2 entries) and meet whole
+    tile rows; only covered pixels are ever unfolded.
+    """
+    cell = lambda a: F.floor(F.col(a) / side).cast("int")
+    at = ((F.col("y") % side) * side + F.col("x") % side).cast("int")
+    packed = (cover_counts(puncta, info, margin)
+              .groupBy("z", cell("y").alias("ty"), cell("x").alias("tx"))
+              .agg(F.collect_list(F.struct(at.alias("i"), "w")).alias("_k")))
+    return (tiles.select("c", "z", "ty", "tx", "px").join(packed, ["z", "ty", "tx"])
+            .select("c", "px", F.explode("_k").alias("_k"))
+            .select("c", F.get("px", F.col("_k.i")).alias("v"), F.col("_k.w").alias("w"))
             .groupBy("c", "v").agg(F.sum("w").cast("long").alias("n")))
 
 

@@ -20,11 +20,17 @@ from lumenframe.operators.image import exclude_channels
 
 @dataclass(frozen=True)
 class Inputs:
-    """Voxel table, punctum table and the one-row (depth, height, width) table."""
+    """Voxel table, punctum table and the one-row (depth, height, width) table.
+
+    ``tiles`` (c, z, ty, tx, px) of ``tile_side`` pixels, when the image is
+    stored that way, lets ROI sampling skip the unfolded voxels.
+    """
 
     voxels: DataFrame
     puncta: DataFrame
     info: DataFrame
+    tiles: DataFrame | None = None
+    tile_side: int = 0
 
 
 def left_out(settings: ClassifySettings) -> list[int]:
@@ -39,8 +45,13 @@ def left_out(settings: ClassifySettings) -> list[int]:
 
 def channel_mask(inputs: Inputs, settings: ClassifySettings, threshold: str) -> DataFrame:
     """Sparse mask of the analysed channels at thresholds from the ROI samples."""
-    voxels = exclude_channels(inputs.voxels, left_out(settings))
-    bag = R.roi_samples(voxels, inputs.puncta, inputs.info, settings.margin)
+    out = left_out(settings)
+    voxels = exclude_channels(inputs.voxels, out)
+    if inputs.tiles is None:
+        bag = R.roi_samples(voxels, inputs.puncta, inputs.info, settings.margin)
+    else:
+        bag = R.roi_samples_tiled(exclude_channels(inputs.tiles, out), inputs.tile_side, inputs.puncta,
+                                  inputs.info, settings.margin)
     if threshold == "percentile":
         thr = TH.percentile_threshold(bag, settings.threshold.fallback_percentile, weight="n")
     elif threshold == "adaptive":

@@ -132,7 +132,7 @@ def roi_sample(spark, d):
 
 @query(with_ctes(BAG_BASE, f"SELECT c, {q6('thr')} thr FROM bagthr"))
 def roi_threshold(spark, d):
-    bag = R.roi_samples(S.voxels(spark, d), S.puncta(spark, d), S.image_info(spark, d))
+    bag = R.roi_samples_tiled(S.tiles(spark, d), S.TILE, S.puncta(spark, d), S.image_info(spark, d))
     return TH.percentile_threshold(bag, weight="n").withColumn("thr", r6("thr"))
 
 
@@ -142,8 +142,12 @@ _RM = {"rm": """SELECT punctum_id, m.c, m.z, m.y, m.x, m.v FROM roi r JOIN cmask
                 WHERE n_voxels >= 5 AND m.c <> 4"""}
 
 
+def _inputs(spark, d):
+    return P.Inputs(S.voxels(spark, d), S.puncta(spark, d), S.image_info(spark, d), S.tiles(spark, d), S.TILE)
+
+
 def _roi_mask(spark, d):
-    inputs = P.Inputs(S.voxels(spark, d), S.puncta(spark, d), S.image_info(spark, d))
+    inputs = _inputs(spark, d)
     return P.masks_without_neurites(inputs, ClassifySettings(use_axon_dendrite=False, post_cell_channel=None))
 
 
@@ -317,7 +321,7 @@ _DEFAULT = ClassifySettings(overlap_thresh=0.2)
 
 
 def _classified(spark, d):
-    inputs = P.Inputs(S.voxels(spark, d), S.puncta(spark, d), S.image_info(spark, d))
+    inputs = _inputs(spark, d)
     return P.classify_puncta(inputs, _DEFAULT, threshold="percentile")
 
 
@@ -349,5 +353,5 @@ def ch2_coverage(spark, d):
 @query()
 def classify_adaptive(spark, d):
     """The default decision with mixture thresholds; the fit is iterative, so no SQL."""
-    inputs = P.Inputs(S.voxels(spark, d), S.puncta(spark, d), S.image_info(spark, d))
+    inputs = _inputs(spark, d)
     return P.classify_puncta(inputs)
