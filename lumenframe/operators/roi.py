@@ -44,11 +44,13 @@ def roi(puncta: DataFrame, info: DataFrame, margin: int = ROI_MARGIN) -> DataFra
         "y1": F.greatest(F.lit(0), F.col("y_min") - margin),
         "y2": F.least(F.col("height"), F.col("y_max") + margin),
         "z_sample": F.least(F.greatest(F.col("z"), F.lit(0)), F.col("depth") - 1),
-    }).filter("x2 > x1 and y2 > y1")
+    })
 
 
 def _span(lo: str, hi: str) -> Column:
-    return F.explode(F.sequence(F.col(lo), F.col(hi) - 1))
+    """Unfold [lo, hi). An empty range gives no row, which spares a filter on
+    the box: pushed to the scan, that would evaluate the voxel list again."""
+    return F.explode(F.when(F.col(hi) > F.col(lo), F.sequence(F.col(lo), F.col(hi) - 1)))
 
 
 def cover_counts(puncta: DataFrame, info: DataFrame, margin: int = ROI_MARGIN) -> DataFrame:
@@ -102,7 +104,8 @@ def usable(rois: DataFrame) -> DataFrame:
 
 
 def _blocks(lo: str, hi: str) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor((F.col(hi) - 1) / BLOCK)))
+    return F.explode(F.when(F.col(hi) > F.col(lo), F.sequence(
+        F.floor(F.col(lo) / BLOCK), F.floor((F.col(hi) - 1) / BLOCK))))
 
 
 def roi_masks(mask: DataFrame, rois: DataFrame) -> DataFrame:
@@ -121,7 +124,8 @@ def roi_masks(mask: DataFrame, rois: DataFrame) -> DataFrame:
          .filter("z >= 0 and z < depth").drop("depth")
          .withColumn("by", _blocks("y1", "y2")).withColumn("bx", _blocks("x1", "x2")))
     m = mask.select("*", F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx"))
-    hit = (r.join(m, ["z", "by", "bx"])
+    # both sides grow with the data: a merge join, whichever looks small before unfolding
+    hit = (r.hint("merge").join(m, ["z", "by", "bx"])
            .filter("y >= y1 and y < y2 and x >= x1 and x < x2").drop("by", "bx"))
     return hit.select("punctum_id", "x1", "x2", "y1", "y2", (F.col("z") - F.col("_z")).alias("dz"), *mask.columns)
 
