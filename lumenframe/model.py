@@ -93,7 +93,7 @@ class ClassifySettings:
     pair model; when present it takes precedence over ``overlap_thresh``.
     """
 
-    mgrasp_channel: int = 4
+    signal_channel: int = 4
     post_cell_channel: int | None = 2
     use_axon_dendrite: bool = True
     overlap_thresh: float = 0.6

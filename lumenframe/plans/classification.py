@@ -34,10 +34,10 @@ class Inputs:
 
 
 def left_out(settings: ClassifySettings) -> list[int]:
-    """Channels that take no part: mGRASP always, post-cell when unused."""
-    if settings.post_cell_channel == settings.mgrasp_channel:
-        raise ValueError("post-cell channel and mGRASP channel must differ")
-    out = [settings.mgrasp_channel]
+    """Channels that take no part: the punctum signal always, post-cell when unused."""
+    if settings.post_cell_channel == settings.signal_channel:
+        raise ValueError("post-cell channel and signal channel must differ")
+    out = [settings.signal_channel]
     if not settings.use_axon_dendrite and settings.post_cell_channel is not None:
         out.append(settings.post_cell_channel)
     return out
