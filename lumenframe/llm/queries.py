@@ -1,4 +1,4 @@
 """Imports every operator, which registers its query."""
 
-from lumenframe.llm import bpe, exact, packing, shards  # noqa: F401
+from lumenframe.llm import bpe, exact, packing, quality, shards  # noqa: F401
 from lumenframe.llm.catalog import ORACLES, QUERIES  # noqa: F401
