@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenframe.llm import bpe
 from lumenframe.llm.catalog import query
@@ -55,11 +56,10 @@ def pack(df: DataFrame, path: str, longest: int = LONGEST, end_token: int | None
         "doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens",
         F.log2("length").cast("int").alias("bucket"))
     placed = numbered(rows, ["bucket"], "_in_bucket")
-    # Buckets follow each other: a bucket's first number is the count of all smaller buckets.
+    # Buckets follow each other: a bucket's first number is the count of all smaller buckets (at most 32 rows).
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
-    lower, upper = sizes.alias("a"), sizes.alias("b")
-    bases = (lower.join(F.broadcast(upper), F.col("b.bucket") < F.col("a.bucket"), "left")  # at most 32 rows each
-             .groupBy(F.col("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_base")))
+    smaller = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("bucket", F.coalesce(F.sum("_size").over(smaller), F.lit(0)).alias("_base"))
     return (placed.join(F.broadcast(bases), "bucket")
             .withColumn("sequence_id", F.col("_base") + F.col("_in_bucket"))
             .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
