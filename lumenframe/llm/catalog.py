@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from lumenframe.session import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLES[fn.__name__] = sql
         return fn
