@@ -7,16 +7,24 @@ cannot express have none.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenframe.session import ship
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLES[fn.__name__] = sql
         return fn

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +23,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers then import it whatever folder they start in. Clusters that
+    install the package or pass it with --py-files lose nothing by it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenframe_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lumenframe-ship-"), "lumenframe"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    sc.addPyFile(archive)
+    sc._lumenframe_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (local runs, tests) gets a scratch folder.
+    Only a local session that names none (tests) gets a scratch folder; on a
+    cluster executors could not share one, so a missing setting is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenframe-ckpt-"))
 
 
