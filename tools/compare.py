@@ -24,10 +24,11 @@ def connect(sf_dir):
 
 
 def rows(pdf):
+    import pandas as pd
     pdf = pdf[sorted(pdf.columns)]
     out = []
     for rec in pdf.itertuples(index=False):
-        out.append(tuple("null" if v is None or v != v else
+        out.append(tuple("null" if v is None or v is pd.NA or v != v else
                          f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
                          for v in rec))
     return sorted(out)
