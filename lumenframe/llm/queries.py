@@ -1,4 +1,4 @@
 """Imports every operator, which registers its query."""
 
-from lumenframe.llm import bpe, exact, packing, pii, quality, shards, urls, warc  # noqa: F401
+from lumenframe.llm import bpe, exact, near, packing, pii, quality, shards, urls, warc  # noqa: F401
 from lumenframe.llm.catalog import ORACLES, QUERIES  # noqa: F401
