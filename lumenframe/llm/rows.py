@@ -71,13 +71,11 @@ def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     keys = cut(decisions.groupBy("doc_id", "text_key").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    keyed = docs.withColumn("_text_key", text_key())
-    same = lambda k: keyed["doc_id"].eqNullSafe(k["doc_id"]) & (keyed["_text_key"] == k["text_key"])
-    gone = keys.filter("NOT kept")
-    out = keyed.join(small(gone), same(gone), "left_anti")
-    many = keys.filter("kept AND n > 1")
-    if not many.isEmpty():
-        again = lambda k: out["doc_id"].eqNullSafe(k["doc_id"]) & (out["_text_key"] == k["text_key"])
-        one = out.join(small(many), again(many), "left_semi").dropDuplicates(["doc_id", "_text_key"])
-        out = out.join(small(many), again(many), "left_anti").unionByName(one)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    chosen = lambda which: small(keys.filter(which).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    out = docs.withColumn("_text_key", text_key()).join(chosen("NOT kept"), same, "left_anti")
+    if not keys.filter("kept AND n > 1").isEmpty():
+        many = chosen("kept AND n > 1")
+        one = out.join(many, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+        out = out.join(many, same, "left_anti").unionByName(one)
     return out.drop("_text_key")
