@@ -106,14 +106,14 @@ def repeated_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Documents without the passages that an earlier one has, other columns unchanged."""
-    gone = repeated_spans(docs.select("doc_id", "text"), span).filter("removed").groupBy("key").agg(
+    gone = repeated_spans(docs.select("doc_id", "text"), span).filter("removed").groupBy(F.col("key").alias("_gone")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     t = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("_spans", start, lambda s, x: F.struct(x["end"].alias("at"), F.concat(
         s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"])).alias("out")),
         lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.char_length(t))))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == gone["key"], "left")
+    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_gone"), "left")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), t).otherwise(rest)).select(*docs.columns)
 
 

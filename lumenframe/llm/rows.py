@@ -71,8 +71,8 @@ def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     keys = cut(decisions.groupBy("doc_id", "text_key").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    chosen = lambda which: small(keys.filter(which).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("_chosen_id")) & (F.col("_text_key") == F.col("_chosen_key"))
+    chosen = lambda which: small(keys.filter(which).select(F.col("doc_id").alias("_chosen_id"), F.col("text_key").alias("_chosen_key")))
     out = docs.withColumn("_text_key", text_key()).join(chosen("NOT kept"), same, "left_anti")
     if not keys.filter("kept AND n > 1").isEmpty():
         many = chosen("kept AND n > 1")
