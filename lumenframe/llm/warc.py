@@ -241,12 +241,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     parse, parsed = _parser(with_payload)
     pieces = _pieces(spark, path).withColumn("value", F.col("value").cast("binary"))
     found = cut(boundaries(_pieces(spark, path)))
-    # A candidate that is no record belongs to the last record before it (files have a bounded size).
+    # A candidate that is no record may lie inside the last record before it (files have a bounded size).
     order = Window.partitionBy("file").orderBy("offset")
-    owned = found.withColumn("owner", F.last(F.when(F.col("verified"), F.col("offset")), True).over(order))
-    owners = owned.filter("NOT verified AND owner IS NOT NULL").select("file", F.col("owner").alias("offset")).distinct()
-    broken = cut(owned.join(owners.withColumnRenamed("offset", "owner"), ["file", "owner"], "left_semi")
-                 .select("file", "split", "k", "offset", "owner"))
+    holder = F.last(F.when(F.col("verified"), F.struct("offset", "next")), True).over(order)
+    owned = found.withColumn("_holder", holder).filter(F.col("offset") < F.col("_holder.next")).withColumn("owner", F.col("_holder.offset"))
+    owners = owned.filter("NOT verified").select("file", "owner").distinct()
+    broken = cut(owned.join(owners, ["file", "owner"], "left_semi").select("file", "split", "k", "offset", "owner"))
     keys = ["file", "split", "k"]
     whole = found.filter("verified").join(broken.select(*keys), keys, "left_anti").select(*keys, "offset")
     names = [n for n, _ in FIELDS]
