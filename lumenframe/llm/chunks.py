@@ -82,19 +82,23 @@ def repeated_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit(""))
     keyed = df.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), data.cast("binary").alias("data"))
     chunked = cut(keyed.mapInArrow(_chunked, "doc_id long, key long, digests array<long>, ends array<int>"))
-    zipped = F.posexplode(F.arrays_zip("digests", "ends"))
-    each = chunked.select("doc_id", "key", "ends", zipped.alias("k", "c")).select(
-        "doc_id", "key", "k", F.col("c.digests").alias("digest"), F.col("c.ends").alias("end"),
-        F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0)).alias("start"))
+    # Four numbers a chunk: neighbours are known by their ends, ids come back at the end.
+    each = chunked.select("key", "ends", F.posexplode(F.arrays_zip("digests", "ends")).alias("k", "c")).select(
+        "key", F.col("c.digests").alias("digest"), F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.ends").alias("end"))
+    holders = chunked.select("doc_id", "key", F.explode("digests").alias("digest"))
     # Counting is combined before the shuffle, so a passage that everybody has is one row per task.
-    repeated = each.groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("doc_id").alias("first")).filter(
+    repeated = holders.groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("doc_id").alias("first")).filter(
         "a <> b").select("digest", "first")
-    found = each.join(repeated, "digest").select("doc_id", "key", "k", "start", "end", "first").distinct()
-    order = Window.partitionBy("key").orderBy("k")
-    run = found.withColumns({"island": F.col("k") - F.row_number().over(order), "removed": ~F.col("doc_id").eqNullSafe(F.col("first"))})
+    # One exchange by document serves both the distinct rows and the windows.
+    found = each.join(repeated, "digest").select("key", "start", "end", "first").repartition("key").distinct()
+    ids = chunked.select("key", "doc_id").distinct()
+    order = Window.partitionBy("key").orderBy("start")
+    apart = F.coalesce(F.lag("end").over(order) != F.col("start"), F.lit(True)).cast("int")
+    run = (found.withColumn("_apart", apart).withColumn("island", F.sum("_apart").over(order)).join(ids, "key")
+           .withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("first"))))
     # A run's length decides; inside it, what this document has first stays apart from what it repeats.
     whole = Window.partitionBy("key", "island")
-    turn = Window.partitionBy("key", "island").orderBy("k")
+    turn = Window.partitionBy("key", "island").orderBy("start")
     parts = run.withColumns({
         "length": F.max("end").over(whole) - F.min("start").over(whole),
         "turned": F.coalesce(F.lag("removed").over(turn) != F.col("removed"), F.lit(False)).cast("int"),
