@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- fixed values
 # Domain constants that results depend on.
-MAX_CHANNELS = 5            # images carry 3 to 5 channels, numbered from 1
 UINT8_MAX = 255
 UINT16_MAX = 65535
 ROI_MARGIN = 5              # pixels around a punctum; upper bound is exclusive

@@ -1,19 +1,17 @@
 """Channel-combination classification of puncta.
 
-A punctum's pairs (at most ten) travel as one array; thresholds, edges,
+A punctum's channel pairs travel as one array; thresholds, edges,
 cliques and the final label are row-local expressions on it.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.model import (
     AXON_SKIP_BELOW, CH2_MIN_THRESHOLD, CH2_THRESHOLD_FACTOR, CLIQUE_PROB_BONUS, CLIQUE_SIZE_BONUS,
-    DENDRITE_SKIP_ABOVE, LOW_CONFIDENCE, MAX_CHANNELS, REJECTED_SINGLE_CHANNELS,
+    DENDRITE_SKIP_ABOVE, LOW_CONFIDENCE, REJECTED_SINGLE_CHANNELS,
     SINGLE_CHANNEL_CONFIDENCE, WEAK_CHANNELS, ClassifySettings)
 
 
@@ -34,39 +32,29 @@ def pair_threshold(c1: Column, c2: Column, settings: ClassifySettings = Classify
             .when((c1 == 2) | (c2 == 2), F.lit(float(strict))).otherwise(F.lit(float(plain))))
 
 
-def _bit(c1: int, c2: int) -> int:
-    return 1 << ((c1 - 1) * MAX_CHANNELS + c2 - 1)
-
-
-def channel_sets() -> Column:
-    """All channel subsets of two or more: struct<chans, label, size, bits, weak>.
+def linked_sets(edges: Column) -> Column:
+    """Channel sets whose pairs are all among the edges: struct<chans, label, size, weak>.
 
-    ``bits`` has one bit per pair of the set, so "all pairs linked" is one
-    integer test. The array is a constant of 26 entries.
+    Channels join one after the other: a new one extends every set whose
+    members it is linked to. Any channel numbers and any number of channels
+    work; the list is as long as the graph has cliques.
     """
-    rows = []
-    for k in range(2, MAX_CHANNELS + 1):
-        for s in combinations(range(1, MAX_CHANNELS + 1), k):
-            rows.append(F.struct(
-                F.array(*[F.lit(c) for c in s]).alias("chans"),
-                F.lit("_".join(map(str, s))).alias("label"), F.lit(k).alias("size"),
-                F.lit(sum(_bit(a, b) for a, b in combinations(s, 2))).alias("bits"),
-                F.lit(any(c in WEAK_CHANNELS for c in s)).alias("weak")))
-    return F.array(*rows)
+    ends = F.concat(F.transform(edges, lambda e: e["c1"]), F.transform(edges, lambda e: e["c2"]))
+    channels = F.array_sort(F.array_distinct(ends))
 
+    def extend(sets: Column, c: Column) -> Column:
+        linked = lambda m: F.exists(edges, lambda e: (e["c1"] == m) & (e["c2"] == c))
+        fits = F.filter(sets, lambda q: F.forall(q, linked))
+        return F.concat(sets, F.array(F.array(c)), F.transform(fits, lambda q: F.concat(q, F.array(c))))
 
-def pair_bit(e: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), (e["c1"] - 1) * MAX_CHANNELS + e["c2"] - 1)
-
-
-def linked_sets(edges: Column) -> Column:
-    """Channel sets whose pairs are all among the edges."""
-    have = F.aggregate(edges, F.lit(0), lambda bits, e: bits.bitwiseOR(pair_bit(e)))
-    return F.filter(channel_sets(), lambda s: s["bits"].bitwiseAND(have) == s["bits"])
+    sets = F.aggregate(channels, F.array().cast("array<array<int>>"), extend)
+    return F.transform(F.filter(sets, lambda q: F.size(q) >= 2), lambda q: F.struct(
+        q.alias("chans"), F.array_join(F.transform(q, lambda c: c.cast("string")), "_").alias("label"),
+        F.size(q).alias("size"), F.exists(q, lambda c: c.isin(*WEAK_CHANNELS)).alias("weak")))
 
 
 def edges_within(edges: Column, s: Column) -> Column:
-    return F.filter(edges, lambda e: pair_bit(e).bitwiseAND(s["bits"]) != 0)
+    return F.filter(edges, lambda e: F.array_contains(s["chans"], e["c1"]) & F.array_contains(s["chans"], e["c2"]))
 
 
 def mean_p(edges: Column) -> Column:
@@ -145,7 +133,7 @@ def gather(scores: DataFrame) -> DataFrame:
     """(punctum_id, chans, pairs, axon_cov, dendrite_cov) from pair rows with a ``p`` column.
 
     The pair rows are already partitioned by punctum, so this adds no
-    shuffle; a group holds at most ten pairs.
+    shuffle; a group holds one row per channel pair of a punctum.
     """
     pair = F.struct("c1", "c2", F.col("p").cast("double").alias("p"))
     return scores.groupBy("punctum_id").agg(

@@ -7,6 +7,8 @@ equivalence is claimed.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lumenframe.operators.components import BLOCK, contract, label_components
 from lumenframe.session import cut
 
 SEED_SIZE = 6                # fixed value: smallest component kept
-_Z, _Y = 1 << 44, 1 << 22    # node number = z * 2^44 + y * 2^22 + x of a region's first pixel
+_Y, _Z = 1 << 32, 1 << 64    # node number = z * 2^64 + y * 2^32 + x of a region's first pixel
 
 
 def label_volume(mask: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -24,8 +26,8 @@ def label_volume(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     linked, and only those links are contracted.
     """
     plane = label_components(mask, ["z"], 8, block).select(
-        "z", "y", "x", (F.col("z") * F.lit(_Z) + F.floor(F.col("label") / (1 << 32)) * _Y
-                        + F.col("label") % (1 << 32)).alias("node"))
+        "z", "y", "x", (F.col("z").cast("decimal(11,0)") * F.lit(Decimal(_Z))
+                        + F.col("label").cast("decimal(20,0)")).cast("decimal(38,0)").alias("node"))
     plane = cut(plane.join(mask.select("z", "y", "x", "v"), ["z", "y", "x"]))
     near = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"))
                      for a in (-1, 0, 1) for b in (-1, 0, 1)])

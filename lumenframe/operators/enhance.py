@@ -56,9 +56,15 @@ def match_histograms(voxels: DataFrame, reference: DataFrame, keys=("c", "z"), r
 
 
 # ---------------------------------------------------------- tiled equalisation
-def _reflected(pos: Column, size: int, tiles: int) -> Column:
-    """A pixel's positions after mirror padding to a multiple of the tile count."""
-    pad = (-size) % tiles
+def _padding(height: int, width: int, grid: tuple[int, int]) -> tuple[int, int]:
+    """Rows and columns added so that tiles fit: none if both axes are divisible,
+    else up to the next multiple on both, a full tile count on a divisible one."""
+    rows, cols = grid
+    return (0, 0) if height % rows == 0 and width % cols == 0 else (rows - height % rows, cols - width % cols)
+
+
+def _reflected(pos: Column, size: int, pad: int) -> Column:
+    """A pixel's positions after mirror padding."""
     mirrored = F.when((pos < size - 1) & (2 * (size - 1) - pos < size + pad), 2 * (size - 1) - pos)
     return F.explode(F.array_compact(F.array(pos, mirrored)))
 
@@ -67,11 +73,12 @@ def tile_tables(voxels: DataFrame, height: int, width: int, clip: float, grid: t
                 keys: Sequence[str]) -> DataFrame:
     """(keys, ty, tx, lut array<int>[256]): clipped, equalising table of every tile."""
     rows, cols = grid
-    th, tw = -(-height // rows), -(-width // cols)
+    ph, pw = _padding(height, width, grid)
+    th, tw = (height + ph) // rows, (width + pw) // cols
     area = th * tw
     limit = max(int(clip * area / LEVELS), 1) if clip > 0 else area
-    counts = (voxels.withColumn("_y", _reflected(F.col("y"), height, rows))
-              .withColumn("_x", _reflected(F.col("x"), width, cols))
+    counts = (voxels.withColumn("_y", _reflected(F.col("y"), height, ph))
+              .withColumn("_x", _reflected(F.col("x"), width, pw))
               .groupBy(*keys, F.floor(F.col("_y") / th).cast("int").alias("ty"),
                        F.floor(F.col("_x") / tw).cast("int").alias("tx"), "v")
               .agg(F.count(F.lit(1)).cast("int").alias("n")))
@@ -106,7 +113,8 @@ def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5
     """
     keys = list(keys)
     rows, cols = grid
-    th, tw = -(-height // rows), -(-width // cols)
+    ph, pw = _padding(height, width, grid)
+    th, tw = (height + ph) // rows, (width + pw) // cols
     luts = tile_tables(voxels, height, width, clip, grid, keys)
 
     def corner(dy, dx):

@@ -75,13 +75,18 @@ def stitch(tile_voxels: DataFrame, keys=("c",)) -> DataFrame:
             .agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("coverage")))
 
 
+def _lines(frame: DataFrame, channels: Sequence[int], depth: Column, height: Column) -> DataFrame:
+    """Every (c, z, y) of a one-row ``frame``, dealt over the tasks by slice before lines are unfolded."""
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = (frame.withColumn("z", F.explode(F.sequence(F.lit(0), depth - 1)))
+              .withColumn("c", F.explode(F.array(*[F.lit(int(c)) for c in channels]))).repartition(parts, "c", "z"))
+    return slices.withColumn("y", F.explode(F.sequence(F.lit(0), height - 1)))
+
+
 def fill_uncovered(stitched: DataFrame, channels: Sequence[int], info: DataFrame) -> DataFrame:
     """Add the voxels no tile covers, with value 0."""
-    grid = (info.select(
-        F.explode(F.array(*[F.lit(int(c)) for c in channels])).alias("c"), "depth", "height", "width")
-        .select("c", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("z"), "height", "width")
-        .select("c", "z", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "width")
-        .select("c", "z", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")))
+    lines = _lines(info.select("depth", "height", "width"), channels, F.col("depth"), F.col("height"))
+    grid = lines.select("c", "z", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     missing = grid.join(stitched.select("c", *XYZ), ["c", *XYZ], "left_anti")
     return stitched.unionByName(
         missing.withColumn("v", F.lit(0.0)).withColumn("coverage", F.lit(0).cast("long")))
@@ -180,12 +185,12 @@ def rgb_composite(voxels: DataFrame, colors: Mapping[int, tuple[int, int, int]],
 
 
 def channels_last(voxels: DataFrame, channels: Sequence[int] | None = None) -> DataFrame:
-    """(y, x, px): the channel values of each pixel of a one-slice image, in channel order."""
+    """(z, y, x, px): the channel values of each pixel, in channel order; slices stay apart."""
     if channels is not None:
         voxels = voxels.filter(F.col("c").isin(*channels))
-    return (voxels.groupBy("y", "x")
+    return (voxels.groupBy("z", "y", "x")
             .agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("_cv"))
-            .select("y", "x", F.transform("_cv", lambda s: s["v"]).alias("px")))
+            .select("z", "y", "x", F.transform("_cv", lambda s: s["v"]).alias("px")))
 
 
 # ------------------------------------------------------------ geometry changes
@@ -223,18 +228,24 @@ def _reframe(voxels, info, channels, before):
             (F.col(a) >= 0) & (F.col(a) < F.col(f"_n{a}")))
     out = moved.select(*voxels.columns)
 
-    grid = frame.withColumn("c", F.explode(F.array(*[F.lit(int(c)) for c in channels])))
+    # Only padding is unfolded: whole lines outside the image, and what stands left and right of it.
+    lines = _lines(frame, channels, F.col("_nz"), F.col("_ny"))
     inside = F.lit(True)
-    for a, side in size.items():
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"_n{a}") - 1)))
+    for a in ("z", "y"):
         source = F.col(a) - F.col(f"_f{a}")
-        inside = inside & (source >= 0) & (source < F.col(side))
+        inside = inside & (source >= 0) & (source < F.col(size[a]))
+    none = F.array().cast("array<int>")
+    span = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(none)
+    whole = span(F.lit(0), F.col("_nx"))
+    sides = F.concat(span(F.lit(0), F.least(F.col("_fx"), F.col("_nx"))),
+                     span(F.greatest(F.col("_fx") + F.col("width"), F.lit(0)), F.col("_nx")))
+    grid = lines.withColumn("x", F.explode(F.when(inside, sides).otherwise(whole)))
     zero = F.lit(0).cast(dict(voxels.dtypes)["v"])
-    return out.unionByName(grid.filter(~inside).select("c", "z", "y", "x", zero.alias("v")))
+    return out.unionByName(grid.select("c", "z", "y", "x", zero.alias("v")))
 
 
-def patches(voxels: DataFrame, height: int, width: int, ph: int, pw: int) -> DataFrame:
-    """Cut slices into patches: (c, z, py, px, y, x, v), y and x local.
+def patches(voxels: DataFrame, height: int, width: int, ph: int, pw: int, keys=("c", "z")) -> DataFrame:
+    """Cut slices into patches: (keys, py, px, y, x, v), y and x local.
 
     The last patch of a row or column is aligned to the image end, so a voxel
     may belong to two patches per axis.
@@ -250,7 +261,7 @@ def patches(voxels: DataFrame, height: int, width: int, ph: int, pw: int) -> Dat
         return F.explode(F.array_compact(options))
 
     return (voxels.withColumn("_r", slots("y", height, ph)).withColumn("_q", slots("x", width, pw))
-            .select("c", "z", F.col("_r.p").alias("py"), F.col("_q.p").alias("px"),
+            .select(*keys, F.col("_r.p").alias("py"), F.col("_q.p").alias("px"),
                     (F.col("y") - F.col("_r.o")).alias("y"),
                     (F.col("x") - F.col("_q.o")).alias("x"), "v"))
 

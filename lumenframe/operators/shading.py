@@ -17,7 +17,7 @@ from lumenframe.functions import lowrank as L
 from lumenframe.functions.resample import resize_stack
 from lumenframe.model import FlatfieldSettings
 from lumenframe.operators.image import clip_pixel, saturate, stitch
-from lumenframe.operators.relational import BROADCAST_ROWS, attach
+from lumenframe.operators.relational import attach
 from lumenframe.session import cut
 
 LOCAL_VALUES = 4_000_000     # a stack up to this many values is solved inside one task
@@ -195,18 +195,35 @@ def estimate_flatfield(tiles: DataFrame, shape: tuple[int, int],
 
 
 def apply_flatfield(tile_voxels: DataFrame, flatfield: DataFrame, max_value: int) -> DataFrame:
-    """Divide tile voxels (c, ..., ly, lx, v) by the flatfield; saturated pixels stay.
+    """(v - dark) / flat for tile voxels (keys, ..., ly, lx, v); saturated pixels stay.
 
-    Channels without a flatfield pass through. The flatfield has one row per
-    tile pixel and channel; up to a few hundred thousand rows it is broadcast,
-    beyond that it is joined by shuffle on (c, ly, lx), which spreads evenly.
+    The flatfield's own key columns (``c``, or scene and ``c``) choose the
+    field; images without one pass through, and a field without ``dark`` has
+    none. The lookup is broadcast by its measured size; ``correct_tiles``
+    moves no pixel at any size.
     """
-    ff = cut(flatfield.select("c", F.col("y").alias("ly"), F.col("x").alias("lx"), "flat"))
-    ff = F.broadcast(ff) if ff.count() <= BROADCAST_ROWS else ff
-    joined = tile_voxels.join(ff, ["c", "ly", "lx"], "left")
-    corrected = saturate(F.col("v") / F.col("flat"), F.col("v"), max_value)
-    return joined.withColumn("v", F.when(F.col("flat").isNull(), F.col("v").cast("double"))
-                             .otherwise(corrected)).drop("flat")
+    keys = [k for k in flatfield.columns if k not in ("y", "x", "flat", "dark")]
+    dark = F.col("dark") if "dark" in flatfield.columns else F.lit(0.0)
+    ff = flatfield.select(*keys, F.col("y").alias("ly"), F.col("x").alias("lx"), F.col("flat").alias("_flat"), dark.alias("_dark"))
+    corrected = saturate((F.col("v") - F.col("_dark")) / F.col("_flat"), F.col("v"), max_value)
+    return attach(tile_voxels, ff, [*keys, "ly", "lx"], "left").select(
+        *[F.when(F.col("_flat").isNull(), F.col("v").cast("double")).otherwise(corrected).alias("v") if c == "v" else c
+          for c in tile_voxels.columns])
+
+
+def correct_tiles(tiles: DataFrame, flatfield: DataFrame, max_value: int) -> DataFrame:
+    """``apply_flatfield`` for tile rows (keys, ..., px): a field is one array per key,
+    so only (key, field) rows meet the tiles, never pixels."""
+    keys = [k for k in flatfield.columns if k not in ("y", "x", "flat", "dark")]
+    dark = F.col("dark") if "dark" in flatfield.columns else F.lit(0.0)
+    pixel = F.array_sort(F.collect_list(F.struct("y", "x", F.struct("flat", dark.alias("dark")).alias("f"))))
+    fields = flatfield.groupBy(*keys).agg(F.transform(pixel, lambda p: p["f"]["flat"]).alias("_flat"),
+                                          F.transform(pixel, lambda p: p["f"]["dark"]).alias("_dark"))
+    plain = F.transform("px", lambda v: v.cast("double"))
+    level = F.zip_with(F.zip_with("px", "_dark", lambda v, d: v - d), "_flat", lambda v, f: v / f)
+    kept = F.zip_with("px", level, lambda v, w: saturate(w, v, max_value))
+    return attach(tiles, fields, keys, "left").select(
+        *[F.when(F.col("_flat").isNull(), plain).otherwise(kept).alias("px") if c == "px" else c for c in tiles.columns])
 
 
 def correct_shading(tile_voxels: DataFrame, flatfield: DataFrame, max_value: int, keys=("c",)) -> DataFrame:
@@ -244,16 +261,19 @@ def subtract_background(tile_voxels: DataFrame, mask: DataFrame, background: Dat
                         .otherwise(F.col("v").cast("double"))).drop("_in", "background"))
 
 
-def interpolate_background(grid: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, gy, gx, background) at ``wanted`` cells by a cubic radial basis through ``grid``.
+def interpolate_background(grid: DataFrame, wanted: DataFrame, keys=("c", "z")) -> DataFrame:
+    """(keys, gy, gx, background) at ``wanted`` cells by a cubic radial basis through ``grid``.
 
-    One row per tile of a scene and channel enters the solve, not pixels.
+    One solve per grid (a slice of a scene and channel): a group holds one row
+    per tile of a slice, whatever the depth of the stack.
     """
-    def fit(key, known, ask):
+    keys = list(keys)
+
+    def fit(key, ask, known):
         pts, val = known[["gy", "gx"]].to_numpy(float), known["background"].to_numpy(float)
         at = ask[["gy", "gx"]].to_numpy(float)
         dist = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) ** 3
-        out = ask[["c", "gy", "gx"]].copy()
+        out = ask[[*keys, "gy", "gx"]].copy()
         if len(pts):
             out["background"] = dist(at, pts) @ np.linalg.lstsq(dist(pts, pts), val, rcond=None)[0] \
                 if len(pts) > 1 else val[0]
@@ -262,13 +282,14 @@ def interpolate_background(grid: DataFrame, wanted: DataFrame) -> DataFrame:
         return out
 
     known = grid.filter("background <> 0")
-    return wanted.select("c", "gy", "gx").distinct().groupBy("c").cogroup(known.groupBy("c")).applyInPandas(
-        lambda key, ask, known: fit(key, known, ask), "c int, gy int, gx int, background double")
+    cells = wanted.select(*keys, "gy", "gx").distinct()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
+    return cells.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(fit, f"{kinds}, background double")
 
 
 def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray, dark: np.ndarray | None = None,
                       working_size: int = 128, rounds: int = 5, max_iterations: int = 500) -> DataFrame:
-    """(..., base): background level of every tile row of one channel, given its flatfield.
+    """(..., base, converged): background level of every tile row of one channel, given its flatfield.
 
     Tiles are independent once the step size is known, so a round is one
     map over the rows; only the weight total is shared between rounds.
@@ -280,7 +301,7 @@ def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray
     small = resize_tiles(tiles, shape, (side, side))
     stack = DistributedStack(small)
     mu0 = 12.5 / L.leading_value(stack, side * side)
-    state = cut(small.select(*ids, "px", F.transform("px", lambda _: F.lit(1.0)).alias("w"), F.lit(0.0).alias("base")))
+    state = cut(small.select(*ids, "px", F.transform("px", lambda _: F.lit(1.0)).alias("w"), F.lit(0.0).alias("base"), F.lit(False).alias("converged")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
     scale = 1.0
 
@@ -289,21 +310,28 @@ def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray
             if not batch.num_rows:
                 continue
             d, w = _matrix(batch.column("px")), _matrix(batch.column("w")) * scale
-            coef, y, mu = d.mean(axis=1), np.zeros_like(d), mu0
-            norm = np.linalg.norm(d)
+            # Every tile stops by its own residual, so batches do not matter.
+            coef, y = d.mean(axis=1), np.zeros_like(d)
+            a, e = np.zeros_like(d), np.zeros_like(d)
+            norm, mu = np.linalg.norm(d, axis=1), mu0
+            open_ = np.arange(len(d))
             for _ in range(max_iterations):
-                a = np.outer(coef, field) + off
-                e = L.shrink(d - a + y / mu, w / mu)
-                z = d - a - e
-                y, mu = y + mu * z, min(mu * 1.5, mu0 * 1e7)
-                coef = np.maximum((d - e).mean(axis=1) - off.mean(), 0.0)
-                if np.linalg.norm(z) < 1e-6 * norm:
+                a[open_] = coef[open_, None] * field + off
+                e[open_] = L.shrink(d[open_] - a[open_] + y[open_] / mu, w[open_] / mu)
+                z = d[open_] - a[open_] - e[open_]
+                y[open_] += mu * z
+                mu = min(mu * 1.5, mu0 * 1e7)
+                coef[open_] = np.maximum((d[open_] - e[open_]).mean(axis=1) - off.mean(), 0.0)
+                open_ = open_[np.linalg.norm(z, axis=1) >= 1e-6 * norm[open_]]
+                if not len(open_):
                     break
+            done = np.ones(len(d), bool)
+            done[open_] = False
             level = a.mean(axis=1)[:, None]
             new = 1.0 / (np.abs(e / np.where(level == 0, 1e-6, level)) + 0.1)
             px = batch.column("px")
             lists = pa.ListArray.from_arrays(px.offsets, pa.array(new.ravel()))
-            cols = {"w": lists, "base": pa.array(coef)}
+            cols = {"w": lists, "base": pa.array(coef), "converged": pa.array(done)}
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in batch.schema.names],
                                              names=batch.schema.names)
 
@@ -312,4 +340,4 @@ def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray
         t = state.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, v: a + v)).alias("s"),
                       F.sum(F.size("w")).alias("n")).first()
         scale = t["n"] / t["s"] if t["s"] else 1.0
-    return state.select(*ids, "base")
+    return state.select(*ids, "base", "converged")

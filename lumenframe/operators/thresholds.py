@@ -22,9 +22,12 @@ def dprime(mu0: Column, sd0: Column, mu1: Column, sd1: Column) -> Column:
 
 
 def adaptive_threshold(voxels: DataFrame, settings: ThresholdSettings = ThresholdSettings(),
-                       keys=("c",), weight: str | None = None) -> DataFrame:
+                       keys=("c",), weight: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(keys, thr, dprime) by a two-component mixture on the value histogram.
 
+    ``wanted`` (keys) lists the groups that must have a row; one without any
+    pixel gets threshold 0.
+
     The histogram holds at most 65,536 rows per group, so the grouped kernel
     sees a fixed-size input however many voxels stand behind it. Groups with
     too few pixels, a poor separation or a failed fit use the percentile.
@@ -47,7 +50,10 @@ def adaptive_threshold(voxels: DataFrame, settings: ThresholdSettings = Threshol
         (F.col("sd0") > 0) | (F.col("sd1") > 0),
         dprime(F.col("mu0"), F.col("sd0"), F.col("mu1"), F.col("sd1"))))
     usable = F.col("dprime") >= settings.dprime_thresh
-    return fallback.join(d, keys, "left").select(
+    out = fallback.join(d, keys, "left").select(
         *keys,
         F.when(usable, (F.col("mu0") + F.col("mu1")) / 2).otherwise(F.col("pct")).alias("thr"),
         "dprime")
+    if wanted is None:
+        return out
+    return wanted.select(*keys).distinct().join(out, keys, "left").withColumn("thr", F.coalesce("thr", F.lit(0.0)))

@@ -55,7 +55,7 @@ def channel_mask(inputs: Inputs, settings: ClassifySettings, threshold: str) ->
     if threshold == "percentile":
         thr = TH.percentile_threshold(bag, settings.threshold.fallback_percentile, weight="n")
     elif threshold == "adaptive":
-        thr = TH.adaptive_threshold(bag, settings.threshold, weight="n")
+        thr = TH.adaptive_threshold(bag, settings.threshold, weight="n", wanted=voxels.select("c"))
     else:
         raise ValueError(f"unknown threshold {threshold!r}")
     return M.above_threshold(voxels, thr)

@@ -42,7 +42,6 @@ def training_pairs(enhanced: DataFrame, clean, noisy, height: int, width: int, p
     """Clean and noisy patches zipped by position: (slot, z_clean, z_noisy, py, px, y, x, clean, noisy)."""
     def cut_out(slices, name):
         picked = I.take_slices(enhanced, slices)
-        p = I.patches(picked.withColumn("c", F.col("slot") * 1000 + F.col("c")), height, width, patch, patch)
-        return p.select(F.floor(F.col("c") / 1000).cast("int").alias("slot"), (F.col("c") % 1000).cast("int").alias("c"),
-                        "py", "px", "y", "x", F.col("z").alias(f"z_{name}"), F.col("v").alias(name))
+        p = I.patches(picked, height, width, patch, patch, keys=("slot", "c", "z"))
+        return p.select("slot", "c", "py", "px", "y", "x", F.col("z").alias(f"z_{name}"), F.col("v").alias(name))
     return cut_out(clean, "clean").join(cut_out(noisy, "noisy"), ["slot", "c", "py", "px", "y", "x"])

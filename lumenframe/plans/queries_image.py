@@ -33,10 +33,10 @@ def channel_exclude(spark, d):
 
 @query(with_ctes("img", """
     SELECT CAST(dense_rank() OVER (ORDER BY name) AS INT) c, z, y, x, v
-    FROM img JOIN (VALUES (1, 's_ch2'), (3, 's_ch3'), (5, 's_ch10')) n(ch, name) ON c = ch"""))
+    FROM img JOIN (VALUES (1, 's_ch2'), (2, 's_ch1'), (3, 's_ch3'), (4, 's_ch7'), (5, 's_ch10')) n(ch, name) ON c = ch"""))
 def merge_channels(spark, d):
     v = S.voxels(spark, d)
-    return I.merge_channels({f"s_ch{n}": I.channel_split(v, c) for c, n in ((1, 2), (3, 3), (5, 10))})
+    return I.merge_channels({f"s_ch{n}": I.channel_split(v, c) for c, n in ((1, 2), (2, 1), (3, 3), (4, 7), (5, 10))})
 
 
 @query(with_ctes("img", """
@@ -191,11 +191,11 @@ def rgb_max(spark, d):
 
 
 @query(with_ctes("img", """
-    SELECT y, x, max(v) FILTER (WHERE c = 1) p1, max(v) FILTER (WHERE c = 3) p3, max(v) FILTER (WHERE c = 5) p5
-    FROM img WHERE z = 0 GROUP BY y, x"""))
+    SELECT z, y, x, max(v) FILTER (WHERE c = 1) p1, max(v) FILTER (WHERE c = 3) p3, max(v) FILTER (WHERE c = 5) p5
+    FROM img WHERE c IN (1, 3, 5) GROUP BY z, y, x"""))
 def channels_last(spark, d):
-    hwc = I.channels_last(S.voxels(spark, d).filter("z = 0"), [1, 3, 5])
-    return hwc.select("y", "x", *[F.get("px", F.lit(i)).alias(f"p{c}") for i, c in enumerate((1, 3, 5))])
+    hwc = I.channels_last(S.voxels(spark, d), [1, 3, 5])
+    return hwc.select("z", "y", "x", *[F.get("px", F.lit(i)).alias(f"p{c}") for i, c in enumerate((1, 3, 5))])
 
 
 @query(with_ctes("img", """

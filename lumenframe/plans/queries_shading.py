@@ -45,8 +45,9 @@ def _known_field(spark):
              WHEN v = 60000 THEN 60000::DOUBLE ELSE v / {_FLAT} END)))) AS INT) v
     FROM img GROUP BY c, z, ty * 6 + ly, tx * 6 + lx"""))
 def flatfield_apply(spark, d):
-    out = SH.correct_shading(_tile_voxels(spark, d, 6), _known_field(spark), 60000)
-    return out.select("c", "z", "y", "x", "v")
+    tiles = SH.correct_tiles(S.tiles(spark, d), _known_field(spark), 60000)
+    out = I.stitch(S.unfold(tiles, 6))
+    return out.select("c", "z", "y", "x", I.clip_pixel(F.col("v"), 60000).alias("v"))
 
 
 @query()
@@ -108,11 +109,11 @@ def background_subtract(spark, d):
 
 @query()
 def background_interpolate(spark, d):
-    """Smooth background over the slice/tile grid; a dense solve over tiles, so no SQL."""
+    """Smooth background over the tile grid of every slice; a solve per grid, so no SQL."""
     bg = SH.tile_background(_tile_voxels(spark, d), _disc(spark), _TILE_KEY)
-    grid = bg.filter("ty = 0").select("c", F.col("z").alias("gy"), F.col("tx").alias("gx"), "background")
-    wanted = S.tiles(spark, d).select("c", F.col("z").alias("gy"), F.col("tx").alias("gx"))
-    return SH.interpolate_background(grid, wanted)
+    grid = bg.select("c", "z", F.col("ty").alias("gy"), F.col("tx").alias("gx"), "background")
+    wanted = S.tiles(spark, d).select("c", "z", F.col("ty").alias("gy"), F.col("tx").alias("gx"))
+    return SH.interpolate_background(grid, wanted, ["c", "z"])
 
 
 # ------------------------------------------------------------------- resampling
@@ -162,7 +163,7 @@ def chromatic_warp(spark, d):
 # ---------------------------------------------------------- detection and export
 _DET = {
     "m": """SELECT z, y, x, v FROM img JOIN (SELECT quantile_cont(v, 0.9) thr FROM img WHERE c = 4) ON v > thr WHERE c = 4""",
-    "reach": """SELECT z, y, x, z * 17592186044416 + y * 4194304 + x AS code FROM m
+    "reach": """SELECT z, y, x, z::HUGEINT * 18446744073709551616 + y * 4294967296 + x AS code FROM m
                 UNION SELECT b.z, b.y, b.x, a.code FROM reach a JOIN m b
                 ON abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1""",
     "lab": "SELECT z, y, x, min(code) label FROM reach GROUP BY z, y, x",
@@ -175,14 +176,14 @@ def _mask4(spark, d):
 
 
 @query(with_ctes("img", f"""
-    SELECT label punctum_id, {q6('sum(x * v::DOUBLE) / sum(v)')} x, {q6('sum(y * v::DOUBLE) / sum(v)')} y,
+    SELECT CAST(label AS VARCHAR) punctum_id, {q6('sum(x * v::DOUBLE) / sum(v)')} x, {q6('sum(y * v::DOUBLE) / sum(v)')} y,
            {q6('sum(z * v::DOUBLE) / sum(v)')} z, {q6('avg(v) / max(v)')} score,
            {q6('cbrt(count(*) * 3.0::DOUBLE / (4.0::DOUBLE * pi()))')} radius, count(*) vol_size, sum(v)::DOUBLE mass,
            {q6('avg(v)')} mean_intensity, max(v)::DOUBLE max_intensity, {q6('stddev_pop(v)')} sd_intensity,
            CAST(count(*) AS INT) n_voxels, min(x) x_min, max(x) x_max, min(y) y_min, max(y) y_max
     FROM lab JOIN m USING (z, y, x) GROUP BY label HAVING count(*) >= 6""", _DET, recursive=True))
 def detect_puncta(spark, d):
-    out = DT.detect(_mask4(spark, d), block=8)
+    out = DT.detect(_mask4(spark, d), block=8).withColumn("punctum_id", F.col("punctum_id").cast("string"))
     return out.withColumns({c: r6(c) for c in ("x", "y", "z", "score", "radius", "mean_intensity", "sd_intensity")})
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.relational import ranked
+
 # ---------------------------------------------------------------- fixed values
 # File name rules (extension first; names already filtered are rejected).
 EXTENSION = ".nimp"
@@ -43,8 +45,8 @@ def choose_files(names: DataFrame, folder: str = "folder") -> DataFrame:
 
 
 def frame_order(names: DataFrame, folder: str = "folder") -> DataFrame:
-    """Add z: position of a file in its folder by name. For listings, not pixels."""
-    return names.withColumn("z", F.row_number().over(Window.partitionBy(folder).orderBy("name")) - 1)
+    """Add z: position of a file in its folder by name. A folder may have any number of files."""
+    return ranked(names, [folder], ["name"], "z")
 
 
 def puncta_info(puncta: DataFrame, legacy: bool = False) -> DataFrame:

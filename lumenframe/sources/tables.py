@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.model import MAX_CHANNELS
-
+CHANNELS = 5          # channels of the view
 TILE = 8              # tile side in pixels (64 values)
 PLANE_TILES = 2       # tiles per plane side
 PLANE = TILE * PLANE_TILES
@@ -26,10 +25,10 @@ def _level(e):
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c, z, ty, tx, px array<int>): 16-bit tiles from the embedding table."""
-    t = F.expr(f"vec_id div {MAX_CHANNELS}")
+    t = F.expr(f"vec_id div {CHANNELS}")
     in_plane = PLANE_TILES * PLANE_TILES
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        (F.col("vec_id") % MAX_CHANNELS + 1).cast("int").alias("c"),
+        (F.col("vec_id") % CHANNELS + 1).cast("int").alias("c"),
         F.floor(t / in_plane).cast("int").alias("z"),
         F.floor((t % in_plane) / PLANE_TILES).cast("int").alias("ty"),
         (t % PLANE_TILES).cast("int").alias("tx"),
@@ -51,12 +50,12 @@ def unfold(tile_df: DataFrame, stride: int = TILE) -> DataFrame:
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c, z, y, x, v int) with v in 0..65535."""
-    t, side = F.expr(f"vec_id div {MAX_CHANNELS}"), PLANE_TILES
+    t, side = F.expr(f"vec_id div {CHANNELS}"), PLANE_TILES
     ty = F.floor((t % (side * side)) / side)
     cell = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", F.posexplode("embedding").alias("_i", "_e"))
     return cell.select(
-        (F.col("vec_id") % MAX_CHANNELS + 1).cast("int").alias("c"),
+        (F.col("vec_id") % CHANNELS + 1).cast("int").alias("c"),
         F.floor(t / (side * side)).cast("int").alias("z"),
         (ty * TILE + F.floor(F.col("_i") / TILE)).cast("int").alias("y"),
         (t % side * TILE + F.col("_i") % TILE).cast("int").alias("x"),

@@ -124,7 +124,7 @@ def test_lookup_join_without_broadcast(spark, monkeypatch):
                                  F.col("id").alias("v"))
     look = spark.createDataFrame([(z, z * 10) for z in range(6)], "z int, w int")
     small = RL.attach(v, look, ["z"], "left")
-    monkeypatch.setattr(RL, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(RL, "BROADCAST_BYTES", 0)
     large = RL.attach(v, look, ["z"], "left")
     assert small.count() == 5000 and small.exceptAll(large.select(*small.columns)).count() == 0
 
