@@ -7,8 +7,12 @@ row-local expression on bit words, so nothing is shuffled again.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions import words as W
 from lumenframe.operators.relational import by_key
@@ -107,23 +111,58 @@ def pair_masks(grouped: DataFrame) -> DataFrame:
                         _combined(F.col("c2"), F.col("_shared")).alias("m2"))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in "abi"])))
+def scale_counts(m1: pa.Array, m2: pa.Array, roi: pa.Array) -> pa.Array:
+    """Pixels of two masks and of their intersection: eroded, as they are, dilated.
+
+    The words of a whole batch stand in one buffer; a word's neighbours in its
+    own mask are the shifted buffer with zeros at the mask's ends. A missing
+    mask gives zeros.
+    """
+    there = pc.and_(m1.is_valid(), m2.is_valid())
+    first, second, frame = (x.filter(there) for x in (m1, m2, roi))
+    sizes = pc.list_value_length(first).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    words = [x.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for x in (first, second, frame)]
+    one = np.uint64(1)
+
+    def beside(w):
+        before, after = np.zeros_like(w), np.zeros_like(w)
+        before[1:], after[:-1] = w[:-1], w[1:]
+        before[ends - sizes], after[ends - 1] = 0, 0
+        return before, after
+
+    def eroded(w):
+        before, after = beside(w)
+        return w & (w << one) & (w >> one) & before & after
+
+    def dilated(w):
+        before, after = beside(w)
+        return (w | (w << one) | (w >> one) | before | after) & words[2]
+
+    def count(w):
+        total = np.concatenate([[0], np.cumsum(np.bitwise_count(w & np.uint64(W.CORE)).astype(np.int64))])
+        return total[ends] - total[ends - sizes]
+
+    out = np.zeros((len(m1), 3, 3), np.int32)
+    rows = np.flatnonzero(there.to_numpy(zero_copy_only=False))
+    for k, change in enumerate((eroded, lambda w: w, dilated)):
+        a, b = change(words[0]), change(words[1])
+        for j, w in enumerate((a, b, a & b)):
+            out[rows, k, j] = count(w)
+    flat = out.reshape(-1, 3)
+    return pa.FixedSizeListArray.from_arrays(pa.StructArray.from_arrays([pa.array(flat[:, j]) for j in range(3)], ["a", "b", "i"]), 3).cast(
+        pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("i", pa.int32())])))
+
+
 def multiscale(pairs: DataFrame) -> DataFrame:
     """Jaccard / Dice after erosion, as is, and after dilation; empty unions are skipped.
 
     Scale factors 0.8, 1.0 and 1.2 all resolve to a one-pixel cross or
     to no change. Adds jacc_mean, jacc_std, dice_mean and score.
     """
-    wide = pairs.withColumns({
-        "_e1": W.erode(F.col("m1")), "_e2": W.erode(F.col("m2")),
-        "_d1": W.dilate(F.col("m1"), F.col("roi")), "_d2": W.dilate(F.col("m2"), F.col("roi"))})
-
-    def scale(a, b):
-        return F.struct(W.count(F.col(a)).alias("a"), W.count(F.col(b)).alias("b"),
-                        W.count(W.both(F.col(a), F.col(b))).alias("i"))
-
-    wide = wide.withColumn("_s", F.filter(
-        F.array(scale("_e1", "_e2"), scale("m1", "m2"), scale("_d1", "_d2")),
-        lambda s: s["a"] + s["b"] - s["i"] > 0))
+    wide = pairs.withColumn("_s", F.filter(
+        scale_counts(F.col("m1"), F.col("m2"), F.col("roi")), lambda s: s["a"] + s["b"] - s["i"] > 0))
     wide = wide.withColumns({
         "_j": F.transform("_s", lambda s: s["i"] / (s["a"] + s["b"] - s["i"])),
         "_d": F.transform("_s", lambda s: 2 * s["i"] / (s["a"] + s["b"]))})
