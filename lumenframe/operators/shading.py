@@ -211,9 +211,10 @@ def apply_flatfield(tile_voxels: DataFrame, flatfield: DataFrame, max_value: int
           for c in tile_voxels.columns])
 
 
-def correct_tiles(tiles: DataFrame, flatfield: DataFrame, max_value: int) -> DataFrame:
+def correct_tiles(tiles: DataFrame, flatfield: DataFrame, max_value: int | None) -> DataFrame:
     """``apply_flatfield`` for tile rows (keys, ..., px): a field is one array per key,
-    so only (key, field) rows meet the tiles, never pixels."""
+    so only (key, field) rows meet the tiles, never pixels. Without ``max_value``
+    saturated pixels are corrected like others."""
     keys = [k for k in flatfield.columns if k not in ("y", "x", "flat", "dark")]
     dark = F.col("dark") if "dark" in flatfield.columns else F.lit(0.0)
     pixel = F.array_sort(F.collect_list(F.struct("y", "x", F.struct("flat", dark.alias("dark")).alias("f"))))
@@ -221,7 +222,7 @@ def correct_tiles(tiles: DataFrame, flatfield: DataFrame, max_value: int) -> Dat
                                           F.transform(pixel, lambda p: p["f"]["dark"]).alias("_dark"))
     plain = F.transform("px", lambda v: v.cast("double"))
     level = F.zip_with(F.zip_with("px", "_dark", lambda v, d: v - d), "_flat", lambda v, f: v / f)
-    kept = F.zip_with("px", level, lambda v, w: saturate(w, v, max_value))
+    kept = level if max_value is None else F.zip_with("px", level, lambda v, w: saturate(w, v, max_value))
     return attach(tiles, fields, keys, "left").select(
         *[F.when(F.col("_flat").isNull(), plain).otherwise(kept).alias("px") if c == "px" else c for c in tiles.columns])
 

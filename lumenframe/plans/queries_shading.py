@@ -13,6 +13,7 @@ from lumenframe.operators import masks as M
 from lumenframe.operators import shading as SH
 from lumenframe.operators import thresholds as TH
 from lumenframe.plans import denoising as DN
+from lumenframe.plans import shading as SP
 from lumenframe.plans.catalog import q6, query, r6, with_ctes
 from lumenframe.sources import puncta_files as PF
 from lumenframe.sources import tables as S
@@ -116,6 +117,43 @@ def background_interpolate(spark, d):
     return SH.interpolate_background(grid, wanted, ["c", "z"])
 
 
+_FULL = {
+    "disc": _DISC["disc"],
+    "t": f"""SELECT c, z, ty, tx, CAST(ty * 6 + ly AS INT) y, CAST(tx * 6 + lx AS INT) x,
+                    (CASE WHEN c = 3 THEN 65535 - v ELSE v END - {{dark}}) / {{flat}} v FROM img""",
+    "m": "SELECT t.*, k FROM t LEFT JOIN (SELECT y, x, 1 k FROM disc) USING (y, x)",
+    "b": """SELECT c, z, ty, tx, median(v) FILTER (WHERE k IS NULL) background FROM m WHERE c IN (2, 3)
+            GROUP BY c, z, ty, tx HAVING count(k) / count(*) < 0.9 AND count(*) > count(k)""",
+}
+_FULL["t"] = _FULL["t"].format(dark="CASE WHEN c IN (1, 2, 4) THEN 500.0::DOUBLE + ly ELSE 0 END",
+                               flat=f"CASE WHEN c IN (1, 2, 4) THEN {_FLAT} ELSE 1 END")
+
+
+def _full(spark, d, method, **more):
+    field = _known_field(spark).withColumn("dark", 500.0 + F.col("y"))
+    return SP.full_correction(S.tiles(spark, d), field, S.TILE, 6, 65535, invert=[3], background=[2, 3], method=method,
+                              mask=_disc(spark), **more)
+
+
+@query(with_ctes("img", """
+    SELECT c, z, y, x, CASE WHEN c <> 3 THEN v WHEN v = 0 THEN 0 ELSE 65535 - v END v
+    FROM (SELECT c, z, y, x, CAST(trunc(greatest(0, least(65535, avg(v - CASE WHEN k IS NULL THEN coalesce(background, 0) ELSE 0 END)))) AS INT) v
+          FROM m LEFT JOIN b USING (c, z, ty, tx) GROUP BY c, z, y, x)""", _FULL))
+def full_correction(spark, d):
+    """Dark field, flat field, background from an annotated region, inversion, stitching."""
+    return _full(spark, d, "annotation")
+
+
+@query(with_ctes("img", """
+    SELECT c, z, y, x, CASE WHEN c <> 3 THEN v WHEN v = 0 THEN 0 ELSE 65535 - v END v
+    FROM (SELECT c, z, y, x, CAST(trunc(greatest(0, least(65535, avg(v - CASE WHEN c IN (2, 3) THEN 1000 + ty ELSE 0 END)))) AS INT) v
+          FROM t GROUP BY c, z, y, x)""", {"t": _FULL["t"]}))
+def full_correction_base(spark, d):
+    """The same with a given level per tile."""
+    base = S.tiles(spark, d).select("c", "z", "ty", "tx", (1000.0 + F.col("ty")).alias("base"))
+    return _full(spark, d, "base", base=base)
+
+
 # ------------------------------------------------------------------- resampling
 def _lin(axis, step, stretch):
     return f"greatest(0, 1 - abs(((o + 0.5::DOUBLE) * {step} - 0.5 - {axis}) / {stretch}))"
