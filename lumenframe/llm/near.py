@@ -49,7 +49,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 STEP = 400_000         # shingles that go through the signature rounds together
 CHUNK = 1 << 18        # shingles on either side of a comparison task
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
