@@ -107,6 +107,7 @@ class MicroTiffReader(DataSourceReader):
         self.y_range = (bound("y_start") or 0, bound("y_end"))
         self.x_range = (bound("x_start") or 0, bound("x_end"))
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        self.pixels = str(options.get("pixels", "true")).lower() != "false"
 
     def partitions(self):
         out = []
@@ -129,7 +130,14 @@ class MicroTiffReader(DataSourceReader):
                     continue
                 if share.last is not None and number >= share.last:
                     break
-                yield from self._bands(f, share.path, number, page)
+                yield from self._bands(f, share.path, number, page) if self.pixels else self._header(share.path, number, page)
+
+    @staticmethod
+    def _header(path, number, page):
+        """One row without pixels: what the page's directory says."""
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([path]), *[pa.array([v], pa.int32()) for v in (number, 0, 0, page.width, page.height, page.bits)],
+             pa.array([[]], pa.list_(pa.int32()))], names=["path", "page", "y0", "rows", "width", "height", "bits", "px"])
 
     def _bands(self, f, path, number, page):
         kind = np.dtype(page.order + ("u1" if page.bits == 8 else "u2"))
@@ -157,12 +165,18 @@ class Written(WriterCommitMessage):
 
 
 class MicroTiffWriter(DataSourceWriter):
-    """Lines (name, pages, page, y, xs, px) to files; a partition must hold whole files in line order."""
+    """Lines (name, pages, page, y, xs, px) to files; a partition must hold whole files in line order.
+
+    The folder must be one that driver and executors share. Tasks write
+    temporary files; the driver gives them their names when all tasks are
+    done, so a lost or repeated task leaves no half file and no double one.
+    """
 
     def __init__(self, options, overwrite):
         self.folder = options["path"]
         self.width, self.height = int(options["width"]), int(options["height"])
         self.bits = int(options.get("bits", 16))
+        self.overwrite = overwrite
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -185,10 +199,29 @@ class MicroTiffWriter(DataSourceWriter):
             done.append(out.finish())
 
     def commit(self, messages):
-        return None
+        written = [pair for m in messages if m is not None for pair in m.files]
+        for temporary, final in written:
+            if not os.path.exists(temporary):
+                raise FileNotFoundError(f"{temporary}: executors and driver must share {self.folder}")
+        for temporary, final in written:
+            os.replace(temporary, final)
+        self._drop_leftovers({final for _, final in written})
+        if self.overwrite:
+            for old in set(files_of(self.folder)) - {final for _, final in written}:
+                os.remove(old)
 
     def abort(self, messages):
-        return None
+        for m in messages:
+            for temporary, _ in m.files if m is not None else ():
+                if os.path.exists(temporary):
+                    os.remove(temporary)
+
+    @staticmethod
+    def _drop_leftovers(finals):
+        """Temporary files of attempts that lost."""
+        for final in finals:
+            for left in glob.glob(glob.escape(final) + ".*.tmp"):
+                os.remove(left)
 
 
 class PageFile:
@@ -237,8 +270,7 @@ class PageFile:
     def finish(self):
         self._fill(max(self.page, self.pages - 1), self.height)
         self.f.close()
-        os.replace(self.temporary, self.final)
-        return self.final
+        return self.temporary, self.final
 
 
 class MicroTiff(DataSource):
@@ -282,7 +314,7 @@ def to_voxels(bands: DataFrame, channels: int = 1, channel_last: bool = True, de
 
 
 def image_infos(bands: DataFrame) -> DataFrame:
-    """(path, pages, height, width, bits) per file."""
+    """(path, pages, height, width, bits) per file. Read with option pixels=false, no pixel is decoded."""
     return bands.groupBy("path").agg(
         (F.max("page") + 1).alias("pages"), F.max("height").alias("height"),
         F.max("width").alias("width"), F.max("bits").alias("bits"))
