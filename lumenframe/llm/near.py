@@ -35,8 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.catalog import query
@@ -47,9 +46,8 @@ from lumenframe.session import cut
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-STEP = 400_000         # shingles that go through the signature rounds together
+STEP = 200_000         # shingles that go through the signature rounds together
 CHUNK = 1 << 18        # shingles on either side of a comparison task
-CACHED_WORDS = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -61,28 +59,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def shingles(text: str, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingle hashes of a normalised text, and their counts."""
-    words = text.split(" ") if text else []
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1) if len(h) else 0
+def shingles(words: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes of a text, given the hashes of its words, and their counts."""
+    n = max(1, len(words) - k + 1) if len(words) else 0
     total = np.zeros(n, np.uint64)
-    for i in range(min(k, len(h))):
-        total += h[i:i + n] * ODD[i]
+    for i in range(min(k, len(words))):
+        total += words[i:i + n] * ODD[i]
     return np.unique(mix(total), return_counts=True)
 
 
+def each_words(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Word hashes of every row, without copying."""
+    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield values[a:b]
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = BANDS * ROWS) -> np.ndarray:
     """(texts, slots): the shingle that arrives first in each slot. Every set has a shingle."""
     doc = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
@@ -133,8 +125,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch[c] for c in ("doc_id", "text_key", "words_key")]
         start, sets, size = 0, [], 0
-        for i, text in enumerate(batch["norm"]):
-            sets.append(shingles(text.as_py()))
+        for i, words in enumerate(each_words(batch["words"])):
+            sets.append(shingles(words))
             size += len(sets[-1][0])
             if size >= STEP or i + 1 == batch.num_rows:
                 some = [k for k, s in enumerate(sets) if len(s[0])]
@@ -151,8 +143,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle hashes and counts as bytes."""
     for batch in batches:
-        for i, text in enumerate(batch["norm"]):
-            h, c = shingles(text.as_py())
+        for i, words in enumerate(each_words(batch["words"])):
+            h, c = shingles(words)
             yield pa.RecordBatch.from_arrays([batch["words_key"].slice(i, 1), pa.array([h.tobytes()], pa.binary()),
                                               pa.array([c.astype(np.uint32).tobytes()], pa.binary())], ["words_key", "h", "c"])
 
@@ -203,6 +195,12 @@ def _cross(table: pa.Table) -> pa.Table:
 
 
 # ------------------------------------------------------------------ jobs
+def word_hashes(norm: str) -> Column:
+    """Hashes of the words of a normalised text; only these numbers reach Python."""
+    hashed = F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
+    return F.when(F.col(norm) == "", F.array().cast("array<bigint>")).otherwise(hashed)
+
+
 def _links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u <> w").distinct()
 
@@ -213,7 +211,7 @@ def near_classes(df: DataFrame) -> DataFrame:
     norm = F.regexp_replace(F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(space)), "[\\x20\\x09-\\x0D]+", " ")
     normed = df.select("doc_id", text_key().alias("text_key"), norm.alias("norm")).withColumn(
         "words_key", F.unhex(F.md5(F.col("norm").cast("binary"))))
-    rows = cut(normed.mapInArrow(_signed, "doc_id long, text_key binary, words_key binary, n_shingles long, buckets array<long>"))
+    rows = cut(normed.select("doc_id", "text_key", "words_key", word_hashes("norm").alias("words")).mapInArrow(_signed, "doc_id long, text_key binary, words_key binary, n_shingles long, buckets array<long>"))
 
     texts = rows.dropDuplicates(["words_key"])
     every = texts.select("words_key", "n_shingles", F.explode("buckets").alias("bucket"))
@@ -227,7 +225,7 @@ def near_classes(df: DataFrame) -> DataFrame:
 
     wanted = small(cut(members.select("words_key").distinct()))
     sets = cut(normed.select("words_key", "norm").join(wanted, "words_key", "left_semi").dropDuplicates(["words_key"])
-               .mapInArrow(_sets, "words_key binary, h binary, c binary"))
+               .select("words_key", word_hashes("norm").alias("words")).mapInArrow(_sets, "words_key binary, h binary, c binary"))
     # A hub may meet a third of all texts: both sides are salted by the other text.
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("words_key"), F.lit(tasks(df.sparkSession))))
     left = salted.select("hub", "salt").distinct().join(sets.toDF("hub", "ha", "ca"), "hub")

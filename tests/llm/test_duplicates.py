@@ -134,12 +134,13 @@ def test_repeated_passages(spark, no_docs):
     assert {r.doc_id for r in spans} == {100, 101, 102, 103, None}
     for r in spans:
         part = (text[r.doc_id] if r.doc_id else passage)[r.start:r.end]
-        # the last words of 101 end the text there as in the row without id, but not in 100
-        assert r.first_doc_id in (100, 101) and part in text[r.first_doc_id] and r.removed == (r.doc_id != r.first_doc_id)
+        # a passage at the start or end of two texts may share a chunk there that 100 does not have
+        assert r.first_doc_id in (100, 101, 102) and part in text[r.first_doc_id] and r.removed == (r.doc_id != r.first_doc_id)
     longest = {d: sum(r.end - r.start for r in spans if r.doc_id == d) for d in (100, 101, 102, 103)}
     assert min(longest.values()) > len(passage) - 160
     out = {r.doc_id: r.text for r in chunks.drop_repeats(df).filter("doc_id >= 100").collect()}
-    assert out[100] == text[100] and len(out[102]) == len(text[102]) - longest[102] and out[104] is None
+    gone = sum(r.end - r.start for r in spans if r.doc_id == 102 and r.removed)
+    assert out[100] == text[100] and gone and len(out[102]) == len(text[102]) - gone and out[104] is None
     assert chunks.drop_repeats(df).columns == df.columns and chunks.repeated_spans(no_docs).count() == 0
 
 
