@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.llm.catalog import query
-from lumenframe.llm.rows import documents, keep_one, small, tasks, text_key
+from lumenframe.llm.rows import documents, keep_one, tasks, text_key
 from lumenframe.session import cut
 
 LEAD = 8  # leading normalised bytes in the splitter key
