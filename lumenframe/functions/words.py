@@ -82,10 +82,6 @@ def either(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: p.bitwiseOR(q))
 
 
-def minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
-
-
 def count(words: Column) -> Column:
     """Number of set pixels (halo copies excluded)."""
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w.bitwiseAND(F.lit(CORE))))

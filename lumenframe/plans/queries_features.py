@@ -14,7 +14,7 @@ from lumenframe.operators import roi as R
 from lumenframe.operators import skeleton as SK
 from lumenframe.plans.catalog import BAG_BASE, q6, query, r6, reach, with_ctes
 from lumenframe.plans.queries_puncta import (
-    _CLIQUE, _MASK, _PAIRS, _RM, _mask, _neurites, _roi_mask)
+    _CLIQUE, _PAIRS, _RM, _mask, _neurites, _roi_mask)
 from lumenframe.sources import tables as S
 
 _BASE = BAG_BASE + " cmask"
