@@ -34,9 +34,9 @@ from lumenframe.llm.catalog import query
 from lumenframe.llm.rows import documents, tokenizer_path
 
 # Words remembered per Python worker; a full memory is emptied, never wrong.
-CACHE_WORDS = 250_000
-CACHE_PIECES = 500_000
-CACHE_PAIRS = 300_000
+CACHE_WORDS = 150_000
+CACHE_PIECES = 250_000
+CACHE_PAIRS = 200_000
 LONGEST_CACHED = 64
 SHIFT = 20    # a match is its length above this many bits of token id
 MASK = (1 << SHIFT) - 1
