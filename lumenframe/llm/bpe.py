@@ -35,7 +35,7 @@ from lumenframe.llm.rows import documents, tokenizer_path
 
 # Words remembered per Python worker; a full memory is emptied, never wrong.
 CACHE_WORDS = 150_000
-CACHE_PIECES = 250_000
+CACHE_PIECES = 350_000
 CACHE_PAIRS = 200_000
 LONGEST_CACHED = 64
 SHIFT = 20    # a match is its length above this many bits of token id
