@@ -21,11 +21,16 @@ from lumenframe.llm.rows import documents
 from lumenframe.session import cut
 
 WINDOW = 5
+BLOCK = 250
 ROUNDS = 30
 SPACE = " \t\n\x0b\f\r"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_distinct_words", "n_upper", "n_exclaims", "n_sentences", "n_lines"]
+MORE = ["n_distinct_words", "n_block_distinct", "n_upper", "n_exclaims", "n_sentences", "n_lines"]
 
+# Rules whose distinct words are counted anew in every block of BLOCK words, summed over all blocks: the share of
+# distinct words in a whole text falls with its length, however good it is. Passages that come again far apart are
+# the matter of the rule "repeats".
+BLOCKWISE = {"variety"}
 # Rule: (when it votes bad, when it votes good; None: never). Ratios are written as products.
 RULES: dict[str, tuple[str, str | None]] = {
     "symbols": ("10 * n_symbols > n_words", None),
@@ -45,6 +50,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def block_distinct(words: Column, k: int = BLOCK) -> Column:
+    """Sum of the distinct words of consecutive blocks of ``k`` words; the last block may be shorter."""
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - 1, F.lit(0)) / k).cast("int"))
+    return F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + F.size(F.array_distinct(F.slice(words, b * k + 1, F.lit(k)))))
+
+
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
     """Words inside windows of ``k`` that occur twice or more in the row."""
     def covered(windows: Column) -> Column:
@@ -69,13 +80,14 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
     counts = let(words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
-        repeated_words(w).alias("n_repeat_words")))
+        block_distinct(w).alias("n_block_distinct"), repeated_words(w).alias("n_repeat_words")))
     full = let(F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""), lambda x: F.struct(
         F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("distinct")))
     left = lambda drop: F.char_length(F.regexp_replace(raw, F.lit(drop), F.lit(""))).cast("long")
     out = df.drop(*BASE, *MORE, "base_failed").withColumns({"_w": counts, "_l": full})
     return out.withColumns({
         "n_words": F.col("_w.n_words"), "n_distinct_words": F.col("_w.n_distinct_words"),
+        "n_block_distinct": F.col("_w.n_block_distinct"),
         "n_repeat_words": F.col("_w.n_repeat_words"),
         "word_chars": left("[\\x20\\x09-\\x0D]+"),
         "n_symbols": left("[^#*$%&|<>]+"),
@@ -88,8 +100,10 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def votes(rules=None) -> Column:
     """Votes of all rules as an array of -1, 0, 1."""
-    return F.array(*[F.when(F.expr(bad), F.lit(-1)).when(F.expr(good) if good else F.lit(False), F.lit(1)).otherwise(F.lit(0))
-                     for bad, good in (rules or RULES).values()])
+    def condition(name: str, rule: str) -> Column:
+        return F.expr(rule.replace("n_distinct_words", "n_block_distinct") if name in BLOCKWISE else rule)
+    return F.array(*[F.when(condition(name, bad), F.lit(-1)).when(condition(name, good) if good else F.lit(False), F.lit(1)).otherwise(F.lit(0))
+                     for name, (bad, good) in (rules or RULES).items()])
 
 
 def label_model(featured: DataFrame, rules=None, rounds: int = ROUNDS) -> DataFrame:

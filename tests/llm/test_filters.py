@@ -71,6 +71,34 @@ def test_label_model(spark, documents_table):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(r.doc_id for r in rows if r.kept)
 
 
+def test_variety_does_not_depend_on_length(spark, documents_table):
+    import random
+    rng = random.Random(3)
+    # Prose whose vocabulary grows more slowly than the text, as in any language.
+    letters, words, text = "abcdefghijklmnop", [], []
+    for k in range(20_000):
+        if not words or rng.random() < 3 / (k + 9) ** 0.3:
+            words.append("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))))
+            text.append(words[-1])
+        else:
+            text.append(rng.choice(words))
+    text = [w + "." if k % 12 == 11 else w for k, w in enumerate(text)]
+    poor = [rng.choice(words[:40]) for _ in range(20_000)]
+    sizes = (4_000, 20_000)
+    rows = [(-n, " ".join(text[:n])) for n in sizes] + [(-1, " ".join(poor))]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = quality.judge(quality.features(documents_table.select("doc_id", "text").unionByName(long)))
+    got = {r.doc_id: r for r in judged.filter("doc_id < 0").withColumn("vote", quality.votes()[list(quality.RULES).index("variety")]).collect()}
+    assert got[-20_000].n_distinct_words < 0.45 * 20_000
+    for n in sizes:
+        assert got[-n].n_block_distinct == sum(len(set(text[i:i + quality.BLOCK])) for i in range(0, n, quality.BLOCK))
+        assert got[-n].vote >= 0 and got[-n].kept, (n, got[-n].posterior)
+    assert got[-1].vote == -1
+    for size, k in ((0, 3), (1, 3), (6, 3), (7, 3)):
+        row = spark.range(1).select(quality.block_distinct(F.array_repeat(F.lit("w"), size), k).alias("n")).first()
+        assert row.n == -(-size // k)
+
+
 def test_quality_against_labels(spark):
     rows = QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
