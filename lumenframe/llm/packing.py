@@ -46,14 +46,14 @@ def pieces(df: DataFrame, ids: str = "ids", longest: int = LONGEST) -> DataFrame
 
 
 def pack(df: DataFrame, path: str, longest: int = LONGEST, end_token: int | None = END_TOKEN) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset): every piece and its place.
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset, bucket): every piece and its place.
 
-    ``pieces`` has the ids themselves, in the same order.
+    ``ids`` are the piece's token ids, four little-endian bytes each.
     """
     end = F.lit((end_token or 0).to_bytes(4, "little") if end_token is not None else b"")
     tokens = df.select("doc_id", F.concat(bpe.encoder(df.sparkSession, path)("text"), end).alias("ids"))
     rows = pieces(tokens, "ids", longest).select(
-        "doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens",
+        "doc_id", "start", "length", F.col("piece").alias("ids"), "doc_tokens",
         F.log2("length").cast("int").alias("bucket"))
     placed = numbered(rows, ["bucket"], "_in_bucket")
     # Buckets follow each other: a bucket's first number is the count of all smaller buckets (at most 32 rows).
@@ -62,11 +62,11 @@ def pack(df: DataFrame, path: str, longest: int = LONGEST, end_token: int | None
     bases = sizes.select("bucket", F.coalesce(F.sum("_size").over(smaller), F.lit(0)).alias("_base"))
     return (placed.join(F.broadcast(bases), "bucket")
             .withColumn("sequence_id", F.col("_base") + F.col("_in_bucket"))
-            .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+            .select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                     F.lit(0).cast("long").alias("offset"), "bucket"))
 
 
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into sequences of power-of-two length."""
-    return pack(documents(spark, sf_dir), tokenizer_path())
+    return pack(documents(spark, sf_dir), tokenizer_path()).drop("ids")

@@ -105,3 +105,19 @@ def test_packing_query(spark, documents_table, tokenizer, no_docs):
     rows = QUERIES["op9_packing"](spark, SF).collect()
     check_pieces(rows, [(d.doc_id, d.text) for d in documents_table.collect()], tokenizer, 4096)
     assert packing.pack(no_docs, tokenizer_path()).count() == 0
+
+
+def test_pack_returns_the_ids_at_their_place(spark, tokenizer):
+    from corpus_pipeline import STAGES
+    # Equal ids with different texts: only the rows themselves tell what belongs together.
+    some = [(1, "one text of some words"), (1, "another text under the same id"), (None, "no id at all"), (2, None), (3, "w x y " * 2000)]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    want = []
+    for i, t in some:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want += [(str(i), a, n, packed(ids[a:a + n])) for a, n in plain_pieces(len(ids), 4096)]
+    for rows in (packing.pack(df, tokenizer_path()).collect(), dict(STAGES)["packing"](spark, df, SF).collect()):
+        assert sorted((str(r.doc_id), r.start, r.length, bytes(r.ids)) for r in rows) == sorted(want)
+        assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and r.offset == 0 for r in rows)
+        assert sorted(r.sequence_id for r in rows) == list(range(len(want)))
+    assert "ids" not in QUERIES["op9_packing"](spark, SF).columns
