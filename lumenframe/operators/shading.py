@@ -288,41 +288,88 @@ def interpolate_background(grid: DataFrame, wanted: DataFrame, keys=("c", "z"))
     return cells.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(fit, f"{kinds}, background double")
 
 
-def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray, dark: np.ndarray | None = None,
-                      working_size: int = 128, rounds: int = 5, max_iterations: int = 500) -> DataFrame:
-    """(..., base, converged): background level of every tile row of one channel, given its flatfield.
+def _leading_values(rows: DataFrame, n: int, size: int) -> np.ndarray:
+    """Largest singular value of each stack ``_f`` in 0..n-1 by power iteration, one aggregate a round for all."""
+    v, last, out = np.full((n, size), 1 / np.sqrt(size)), np.zeros(n), np.zeros(n)
+    open_ = np.ones(n, bool)
 
-    Tiles are independent once the step size is known, so a round is one
-    map over the rows; only the weight total is shared between rounds.
+    def run(batches, v):
+        total: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                d, f = _matrix(batch.column("px")), batch.column("_f").to_numpy(zero_copy_only=False)
+                for k in np.unique(f):
+                    mine = d[f == k]
+                    total[k] = total.get(k, 0) + mine.T @ (mine @ v[k])
+        for k, u in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k), pa.int32()), pa.array(np.arange(size), pa.int32()), pa.array(u)],
+                                             names=["f", "i", "v"])
+
+    for _ in range(200):
+        parts = rows.select("_f", "px").mapInArrow(lambda it, v=v: run(it, v), "f int, i int, v double")
+        got, u = parts.groupBy("f", "i").agg(F.sum("v").alias("v")).toPandas(), np.zeros((n, size))
+        u[got["f"], got["i"]] = got["v"]
+        norm = np.linalg.norm(u, axis=1)
+        out = np.where(open_, norm, out)
+        v = np.where(open_[:, None], u / np.where(norm == 0, 1, norm)[:, None], v)
+        open_ = open_ & (norm > 0) & (np.abs(norm - last) > 1e-10 * norm)
+        if not open_.any():
+            break
+        last = norm
+    return np.sqrt(out)
+
+
+def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray | dict, dark: np.ndarray | dict | None = None,
+                      working_size: int = 128, rounds: int = 5, max_iterations: int = 500, key: str = "c") -> DataFrame:
+    """(..., base, converged): background level of every tile row, given its flatfield.
+
+    ``flat`` and ``dark`` are arrays for tiles of one channel, or a dictionary
+    of arrays by the value of the column ``key``: every channel is then a stack
+    with its own field, step size and weight total. A tile without a field is
+    an error.
+
+    Tiles are independent once the step sizes are known, so a round is one
+    map over the rows; only the weight totals are shared between rounds.
     """
     side = working_size
-    field = resize_stack(np.asarray(flat, float), side, side).ravel()
-    off = np.zeros(side * side) if dark is None else resize_stack(np.asarray(dark, float), side, side).ravel()
+    names = list(flat) if isinstance(flat, dict) else [None]
+    of = lambda given, k: given[k] if isinstance(given, dict) else given
+    small_field = lambda v: resize_stack(np.asarray(v, float), side, side).ravel()
+    fields = np.stack([small_field(of(flat, k)) for k in names])
+    offs = np.stack([np.zeros(side * side) if dark is None else small_field(of(dark, k)) for k in names])
+    if isinstance(flat, dict):
+        which = F.raise_error(F.concat(F.lit("no field for channel "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("int")
+        for i, k in enumerate(names):
+            which = F.when(F.col(key) == k, F.lit(i)).otherwise(which)
+    else:
+        which = F.lit(0)
     ids = [c for c in tiles.columns if c != "px"]
-    small = resize_tiles(tiles, shape, (side, side))
-    stack = DistributedStack(small)
-    mu0 = 12.5 / L.leading_value(stack, side * side)
-    state = cut(small.select(*ids, "px", F.transform("px", lambda _: F.lit(1.0)).alias("w"), F.lit(0.0).alias("base"), F.lit(False).alias("converged")))
+    small = cut(resize_tiles(tiles, shape, (side, side)).withColumn("_f", which))
+    lead = _leading_values(small, len(names), side * side)
+    mu0s = 12.5 / np.where(lead == 0, 1, lead)
+    state = cut(small.select(*ids, "_f", "px", F.transform("px", lambda _: F.lit(1.0)).alias("w"), F.lit(0.0).alias("base"), F.lit(False).alias("converged")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    scale = 1.0
+    scale = np.ones(len(names))
 
     def run(batches, scale):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, w = _matrix(batch.column("px")), _matrix(batch.column("w")) * scale
+            f = batch.column("_f").to_numpy(zero_copy_only=False)
+            field, off, mu0 = fields[f], offs[f], mu0s[f][:, None]
+            d, w = _matrix(batch.column("px")), _matrix(batch.column("w")) * scale[f][:, None]
             # Every tile stops by its own residual, so batches do not matter.
             coef, y = d.mean(axis=1), np.zeros_like(d)
             a, e = np.zeros_like(d), np.zeros_like(d)
             norm, mu = np.linalg.norm(d, axis=1), mu0
             open_ = np.arange(len(d))
             for _ in range(max_iterations):
-                a[open_] = coef[open_, None] * field + off
-                e[open_] = L.shrink(d[open_] - a[open_] + y[open_] / mu, w[open_] / mu)
+                a[open_] = coef[open_, None] * field[open_] + off[open_]
+                e[open_] = L.shrink(d[open_] - a[open_] + y[open_] / mu[open_], w[open_] / mu[open_])
                 z = d[open_] - a[open_] - e[open_]
-                y[open_] += mu * z
-                mu = min(mu * 1.5, mu0 * 1e7)
-                coef[open_] = np.maximum((d[open_] - e[open_]).mean(axis=1) - off.mean(), 0.0)
+                y[open_] += mu[open_] * z
+                mu = np.minimum(mu * 1.5, mu0 * 1e7)
+                coef[open_] = np.maximum((d[open_] - e[open_]).mean(axis=1) - off[open_].mean(axis=1), 0.0)
                 open_ = open_[np.linalg.norm(z, axis=1) >= 1e-6 * norm[open_]]
                 if not len(open_):
                     break
@@ -338,7 +385,9 @@ def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray
 
     for _ in range(rounds):
         state = cut(state.mapInArrow(lambda it, s=scale: run(it, s), kinds))
-        t = state.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, v: a + v)).alias("s"),
-                      F.sum(F.size("w")).alias("n")).first()
-        scale = t["n"] / t["s"] if t["s"] else 1.0
+        totals = state.groupBy("_f").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, v: a + v)).alias("s"),
+                                         F.sum(F.size("w")).alias("n")).collect()  # one row per channel
+        scale = np.ones(len(names))
+        for t in totals:
+            scale[t["_f"]] = t["n"] / t["s"] if t["s"] else 1.0
     return state.select(*ids, "base", "converged")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lumenframe.model import FlatfieldSettings
@@ -65,8 +64,11 @@ def shading_correction(spark, d):
 
 @query()
 def base_fluorescence(spark, d):
-    one = S.tiles(spark, d).filter("c = 1")
-    return SH.base_fluorescence(one, (S.TILE, S.TILE), np.ones((S.TILE, S.TILE)), working_size=S.TILE)
+    """Level of every tile of every channel, each channel with its own estimated field."""
+    tiles = S.tiles(spark, d)
+    fields = SH.estimate_flatfield(tiles.select("c", "px"), (S.TILE, S.TILE), _FIELD).toPandas().sort_values(["c", "y", "x"])
+    of = lambda name: {int(c): f[name].to_numpy().reshape(S.TILE, S.TILE) for c, f in fields.groupby("c")}
+    return SH.base_fluorescence(tiles, (S.TILE, S.TILE), of("flat"), of("dark"), working_size=S.TILE)
 
 
 @query(with_ctes("img", """
@@ -198,6 +200,22 @@ def chromatic_warp(spark, d):
     return moved.withColumn("v", r6("v"))
 
 
+@query(with_ctes("img info", """
+    SELECT c, z, y, x, v::DOUBLE v FROM img WHERE c <> 4 UNION ALL
+    SELECT 4 c, o.z, o.y, o.x, floor((coalesce(sum(m.v * greatest(0, 1 - abs(sz - m.z)) * greatest(0, 1 - abs(sy - m.y)) * greatest(0, 1 - abs(sx - m.x))), 0)) * 1e6 + 0.5) / 1e6 v
+    FROM (SELECT z, y, x, z + 0.25::DOUBLE sz, 1.02::DOUBLE * y + 0.01::DOUBLE * x - 0.4::DOUBLE sy,
+                 -0.03::DOUBLE * y + 0.97::DOUBLE * x + 0.6::DOUBLE sx FROM img WHERE c = 4) o CROSS JOIN info
+    LEFT JOIN (SELECT z, y, x, v FROM img WHERE c = 4) m
+      ON m.z BETWEEN floor(sz) AND floor(sz) + 1 AND m.y BETWEEN floor(sy) AND floor(sy) + 1
+     AND m.x BETWEEN floor(sx) AND floor(sx) + 1
+     AND sz >= 0 AND sz <= depth - 1 AND sy >= 0 AND sy <= 15 AND sx >= 0 AND sx <= 15
+    GROUP BY o.z, o.y, o.x"""))
+def chromatic_correct(spark, d):
+    """The whole image with one channel warped, before pixels are cut to integers (sums of equal terms differ in the last bit)."""
+    out = CH.correct_channel(S.voxels(spark, d), S.image_info(spark, d), 4, _A, _T, integer=False)
+    return out.withColumn("v", r6(F.col("v").cast("double")))
+
+
 # ---------------------------------------------------------- detection and export
 _DET = {
     "m": """SELECT z, y, x, v FROM img JOIN (SELECT quantile_cont(v, 0.9) thr FROM img WHERE c = 4) ON v > thr WHERE c = 4""",

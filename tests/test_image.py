@@ -163,6 +163,32 @@ def test_base_fluorescence(spark):
     assert np.abs(got.base.to_numpy() - level).max() < 2
 
 
+def test_base_fluorescence_of_all_channels(spark):
+    rows, fields = [], {}
+    for c in (1, 7):
+        d, flat, _ = stack(n=10)
+        fields[c] = flat if c == 1 else flat[:, ::-1].copy()
+        rows += [(c, i, [float(v) * c for v in (t if c == 1 else t[:, ::-1]).ravel()]) for i, t in enumerate(d)]
+    kinds = "c int, t int, px array<double>"
+    both = SH.base_fluorescence(spark.createDataFrame(rows, kinds), (12, 12), fields, working_size=12).collect()
+    assert len(both) == 20
+    for c, flat in fields.items():
+        alone = SH.base_fluorescence(spark.createDataFrame([r for r in rows if r[0] == c], kinds), (12, 12), flat, working_size=12).collect()
+        want = {r.t: r.base for r in alone}
+        assert all(r.base == pytest.approx(want[r.t], rel=1e-6) for r in both if r.c == c)
+    with pytest.raises(Exception, match="no field for channel 7"):
+        SH.base_fluorescence(spark.createDataFrame(rows, kinds), (12, 12), {1: fields[1]}, working_size=12).collect()
+
+
+def test_shading_queries_take_every_channel(spark, sf_dir):
+    from lumenframe.plans import QUERIES
+    from lumenframe.sources import tables as S
+    tiles = {(r.c, r.z, r.ty, r.tx) for r in S.tiles(spark, sf_dir).drop("px").collect()}
+    got = QUERIES["base_fluorescence"](spark, sf_dir).collect()
+    assert len(got) == len(tiles) and {(r.c, r.z, r.ty, r.tx) for r in got} == tiles
+    assert QUERIES["chromatic_correct"](spark, sf_dir).count() == S.voxels(spark, sf_dir).count()
+
+
 def test_radial_background(spark):
     grid = spark.createDataFrame([(1, y, x, float(3 * y + x + 1)) for y in range(3) for x in range(3) if (y, x) != (1, 1)],
                                  "c int, gy int, gx int, background double")
