@@ -6,10 +6,14 @@ its format and its context, and a threshold calibrated on held-out documents
 selects the spans that are added. Base spans always stay.
 
 The classifier is trained here without hand labels: a candidate is positive
-if a base span covers most of it. All candidates of the corpus take part, as
+if a base span covers most of it. A candidate that failed a check (a card
+number with a wrong check sum, an address part over 255, a plus sign with too
+few digits) or whose features no base span has is negative. The rest, with the
+features of base spans but no marker to check, is unlabelled: it takes no part
+in fitting and calibration, so its share decides nothing. All other candidates of the corpus take part, as
 counts of feature vectors; every feature has few values, so this table stays
 small however large the corpus is. Documents are split by a hash of the text,
-one half for fitting and one for calibration. The fitted trees become one SQL
+one half for fitting and one for calibration, and equal texts count once. The fitted trees become one SQL
 expression, so scoring stays inside the scan.
 
 Patterns are written so that no text makes them back-track or recurse: runs
@@ -34,7 +38,7 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm.catalog import query
 from lumenframe.llm.quality import let
-from lumenframe.llm.rows import documents
+from lumenframe.llm.rows import documents, text_key
 from lumenframe.session import cut
 
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -125,6 +129,8 @@ def candidates(text: Column) -> Column:
         groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
         before = F.substring(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CONTEXT)).cast("int"))
         quad = m.rlike("^[0-9]++(?:\\.[0-9]++){3}$")
+        # Forms that the base checks judge: if no base span covers such a candidate, it failed.
+        checked = F.lit(False) if generator else quad | m.startswith("+") | (n.between(14, 19) & m.rlike("^[0-9](?:[\\x20-]?[0-9])++$"))
         kind = F.lit(0) if generator else F.when(quad, 1).when(n >= 13, 2).otherwise(3)
         value = {
             "generator": F.lit(generator), "digits": F.least(n, F.lit(20)), "groups": F.least(F.size(groups), F.lit(6)),
@@ -132,7 +138,7 @@ def candidates(text: Column) -> Column:
             "parens": F.least(count("[^()]+"), F.lit(2)), "dashes": F.least(count("[^-]+"), F.lit(3)),
             "dots": F.least(count("[^.]+"), F.lit(4)), "spaces": F.least(count("[^\\x20]+"), F.lit(3)),
             "cue": before.rlike(CUES).cast("int"), "label_before": before.rlike("[:=#]\\W{0,2}$").cast("int")}
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"),
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), checked.alias("checked"),
                         *[value[f].cast("int").alias(f) for f in FEATURES])
     def of(generator: int, pattern: str) -> Column:
         return F.transform(matches(text, pattern), lambda x: describe(x, generator))
@@ -167,10 +173,18 @@ def fit(df: DataFrame, text: str = "text") -> Selector | None:
     """Selector trained on the candidates of ``df``; None if they have one class only."""
     raw = F.coalesce(F.col(text), F.lit(""))
     seen = df.select(raw.alias("_t")).select("_t", candidates(F.col("_t")).alias("_c")).filter(F.size("_c") > 0)
-    seen = seen.select(F.xxhash64("_t").bitwiseAND(1).alias("half"), "_c", base_spans(F.col("_t")).alias("_b"))
-    rows = seen.select("half", F.explode(F.transform("_c", lambda c: F.struct(
-        *[c[f].alias(f) for f in FEATURES], covered(c, F.col("_b")).cast("double").alias("label")))).alias("x"))
-    table = cut(rows.select("half", "x.*").groupBy("half", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    seen = seen.select(F.xxhash64("_t").bitwiseAND(1).alias("half"), text_key("_t").alias("_k"), "_c", base_spans(F.col("_t")).alias("_b"))
+    labelled = seen.select("half", "_k", F.transform("_c", lambda c: F.struct(
+        *[c[f].alias(f) for f in FEATURES], c["checked"].alias("checked"), covered(c, F.col("_b")).cast("double").alias("label"))).alias("_x"))
+    rows = labelled.dropDuplicates(["_k"]).select("half", F.explode("_x").alias("x"))
+    counts = rows.select("half", "x.*").groupBy("half", "label", "checked", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    alike = F.max("label").over(Window.partitionBy(*FEATURES)) > 0
+    known = counts.withColumn("known", (F.col("label") > 0) | F.col("checked") | ~alike)
+    every = cut(known.groupBy("half", "label", "known", *FEATURES).agg(F.sum("n").alias("n")))
+    table = every.filter("known")
+    if table.filter("label = 0").isEmpty():
+        # Nothing speaks against any candidate: what looks like base spans is added.
+        return None if every.filter("NOT known").isEmpty() else Selector([], 0.0)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
     train = ready.filter("half = 0")
     if train.select("label").distinct().count() < 2:

@@ -157,6 +157,24 @@ def test_added_spans_and_redaction(spark, no_docs):
     assert pii.fit(no_docs) is None and pii.redact(no_docs).count() == 0
 
 
+def test_share_of_phones_without_plus_does_not_matter(spark):
+    for share in (5, 30):
+        n = 600
+        bare = {i for i in range(n) if i * 37 % 100 < share}
+        rows = [(i, f"call {'' if i in bare else '+'}1 (0{i % 90 + 10}) 555-{1000 + i} or write to u{i}@mail.example.com, item {i} of 7{i:06d}") for i in range(n)]
+        # Checked failures stay negative: card numbers with a wrong check sum; a text with many copies counts once.
+        rows += [(n + i, f"number 4111 1111 1111 {1000 + i} of the list") for i in range(40) if plain_base(f"4111 1111 1111 {1000 + i}") == ""]
+        rows += [(2000 + i, "call 1 (017) 555-7713 now") for i in range(900)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        selector = pii.fit(df)
+        for r in pii.find(df, selector).select("doc_id", "text", pii.listing(F.col("added")).alias("added")).collect():
+            start = r.text.index("call ") + 5 if r.doc_id in bare or r.doc_id >= 2000 else 0
+            phone = re.match(r"1 \(\d+\) 555-\d+", r.text[start:])
+            assert r.added == (f"phone:{start}:{start + phone.end()}" if phone else ""), (share, r)
+    only = spark.createDataFrame([(i, f"call {'+' if i % 2 else ''}1 (017) 555-{1000 + i}") for i in range(40)], "doc_id long, text string")
+    assert pii.find(only, pii.fit(only)).filter(F.size("added") == 1).count() == 20
+
+
 def test_pii_query(spark, documents_table):
     rows = {r.doc_id: r for r in QUERIES["op8_pii"](spark, SF).collect()}
     for d in documents_table.collect():
