@@ -1,4 +1,4 @@
-"""The whole shading correction of tiled images as one plan."""
+"""Shading correction of tiled images as one plan, without the normalisation of intensities."""
 
 from __future__ import annotations
 
