@@ -31,7 +31,7 @@ class that has another id; classes of rows without ids have a null id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,14 +205,33 @@ def _links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u <> w").distinct()
 
 
+def text_sets(frame: DataFrame, wanted: DataFrame, kernel: Callable, prepare: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+    """(words_key, h, c): shingles and weights, as bytes, of the wanted texts of ``frame`` (words_key, ...)."""
+    found = frame.join(wanted, "words_key", "left_semi").dropDuplicates(["words_key"])
+    return cut(prepare(found).mapInArrow(kernel, "words_key binary, h binary, c binary"))
+
+
 def near_classes(df: DataFrame) -> DataFrame:
-    """(doc_id, text_key, class_id, class_size, kept) of every row of ``df`` (doc_id, text)."""
+    """(doc_id, text_key, class_id, class_size, kept) of every row of ``df`` (doc_id, text).
+
+    Of each class one row is kept: the smallest id, null last, then the smallest text key.
+    """
     space = " \t\n\x0b\f\r"
     norm = F.regexp_replace(F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(space)), "[\\x20\\x09-\\x0D]+", " ")
     normed = df.select("doc_id", text_key().alias("text_key"), norm.alias("norm")).withColumn(
         "words_key", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    hashed = lambda f: f.select("words_key", word_hashes("norm").alias("words"))
     rows = cut(normed.select("doc_id", "text_key", "words_key", word_hashes("norm").alias("words")).mapInArrow(_signed, "doc_id long, text_key binary, words_key binary, n_shingles long, buckets array<long>"))
+    return classes_of(rows, lambda wanted: text_sets(normed.select("words_key", "norm"), wanted, _sets, hashed))
+
+
+def classes_of(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Classes of materialised ``rows`` (doc_id, text_key, words_key, n_shingles, buckets).
 
+    Rows of one words_key are copies. ``sets_of`` gives the weighted sets
+    (words_key, h, c) of the keys it is asked for, materialised.
+    """
+    spark = rows.sparkSession
     texts = rows.dropDuplicates(["words_key"])
     every = texts.select("words_key", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -223,11 +242,9 @@ def near_classes(df: DataFrame) -> DataFrame:
     pairs = cut(ranked.select("bucket", "words_key").join(hubs, "bucket").filter("hub <> words_key")
                 .select("hub", "words_key").distinct())
 
-    wanted = small(cut(members.select("words_key").distinct()))
-    sets = cut(normed.select("words_key", "norm").join(wanted, "words_key", "left_semi").dropDuplicates(["words_key"])
-               .select("words_key", word_hashes("norm").alias("words")).mapInArrow(_sets, "words_key binary, h binary, c binary"))
+    sets = sets_of(small(cut(members.select("words_key").distinct())))
     # A hub may meet a third of all texts: both sides are salted by the other text.
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("words_key"), F.lit(tasks(df.sparkSession))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("words_key"), F.lit(tasks(spark))))
     left = salted.select("hub", "salt").distinct().join(sets.toDF("hub", "ha", "ca"), "hub")
     right = salted.join(sets.toDF("words_key", "hb", "cb"), "words_key")
     links = cut(_links(right.join(left, ["hub", "salt"]).select("hub", "words_key", "ha", "ca", "hb", "cb")
@@ -264,17 +281,21 @@ def near_classes(df: DataFrame) -> DataFrame:
         links = cut(links.unionByName(_links(more)).distinct())
         labels = contract(links, []) if not links.isEmpty() else None
 
-    copies = comp(rows.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = copies.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    known = copies.join(classes.filter("class_size > 1"), "comp").select("words_key", "class_id", "class_size")
-    return (rows.join(small(cut(known)), "words_key", "left")
+    # The row that stays: smallest id, nulls last. Rows equal in id and text differ in their place alone.
+    placed_rows = rows.withColumn("_place", F.monotonically_increasing_id())
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "_place")
+    copies = comp(placed_rows.groupBy("words_key").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")))
+    classes = copies.groupBy("comp").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
+    known = copies.drop("first").join(classes.filter("class_size > 1"), "comp").select(
+        "words_key", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first._place").alias("_kept"))
+    return (placed_rows.join(small(cut(known)), "words_key", "left")
             .select("doc_id", "text_key", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                    F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))))
+                    F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+                    (F.col("class_size").isNull() | (F.col("_place") == F.col("_kept"))).alias("kept")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each class the smallest id stays, columns unchanged."""
+    """Documents without near-duplicates: of each class one row stays, columns unchanged."""
     return keep_one(docs, near_classes(docs.select("doc_id", "text")).select("doc_id", "text_key", "kept"))
 
 

@@ -1,4 +1,16 @@
 """Imports every operator, which registers its query."""
 
-from lumenframe.llm import bpe, chunks, exact, near, packing, pii, quality, shards, urls, warc  # noqa: F401
+from lumenframe.llm import (  # noqa: F401
+    bpe,
+    chunks,
+    exact,
+    fingerprints,
+    near,
+    packing,
+    pii,
+    quality,
+    shards,
+    urls,
+    warc,
+)
 from lumenframe.llm.catalog import ORACLES, QUERIES  # noqa: F401
