@@ -6,7 +6,9 @@ from lumenframe.llm import (  # noqa: F401
     exact,
     fingerprints,
     near,
+    negatives,
     packing,
+    phrases,
     pii,
     quality,
     shards,
