@@ -146,7 +146,7 @@ class Block:
     def own(self) -> np.ndarray:
         """Every anchor's product with itself."""
         sums = self.sums(self.vectors)
-        out = [self.packing.scores(v[None], self.packing.pack(v[None]), 1, s[None])[0, 0] for v, s in zip(self.vectors, sums)]
+        out = [self.packing.scores(self.vectors[i:i + 1], self.packing.pack(self.vectors[i:i + 1]), 1, sums[i:i + 1])[0, 0] for i in range(len(sums))]
         return np.array(out, sums.dtype)
 
     def sums(self, shifted: np.ndarray) -> np.ndarray:

@@ -34,11 +34,12 @@ empty.
 
 from __future__ import annotations
 
-import xxhash
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ TOP = 2000
 UNKNOWN = "und"
 SAMPLE = 8               # one document in so many proposes phrases
 CAUTION = 0.32           # share of the expected sample count that is enough to propose
-BITS = 1 << 26           # of the bitmap: 8 MB
+BITS = 1 << 24           # of the bitmap: 2 MB, sent compressed
 BLOCK = 1 << 20          # words that are counted together
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 CUT_UP = bytes.maketrans(SEPARATORS, b"\n" * len(SEPARATORS))
@@ -91,7 +92,7 @@ def word_ids(texts: Sequence[bytes], vocabulary: Vocabulary) -> Iterator[np.ndar
 
 
 def known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes % np.uint64(BITS)
+    at = hashes % np.uint64(len(bitmap) * 8)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -146,7 +147,7 @@ def counts(texts: Sequence[bytes], lang: str, bitmap=None, before=None) -> Itera
 def counted(docs: DataFrame, bitmap=None, before=None) -> DataFrame:
     """(lang, size, phrase, bits, n): exact counts of the phrases that the bitmaps choose. ``docs``: lang, text (binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, then = bitmap and np.frombuffer(bitmap.value, np.uint8), before and np.frombuffer(before.value, np.uint8)
+        now, then = (b and np.frombuffer(zlib.decompress(b.value), np.uint8) for b in (bitmap, before))
         for batch in batches:
             langs = batch["lang"].to_pylist()
             by_lang: dict[str, list[int]] = {}
@@ -182,8 +183,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     proposed = counted(rows.filter("_part = 0")).filter((F.col("size").between(1, LONGEST - 1)) & (F.col("n") >= enough))
     bitmap, before, found = bitmap_of(proposed), None, None
     while True:
-        now, then = sc.broadcast(bitmap), before and sc.broadcast(before)
+        now, then = sc.broadcast(zlib.compress(bitmap, 1)), before and sc.broadcast(zlib.compress(before, 1))
         passed = cut(counted(rows, now, then).filter((F.col("n") >= least) | (F.col("size") == 0)))
+        for done in filter(None, (now, then)):
+            done.destroy()   # the pass is materialised, nothing reads its bitmaps again
         found = passed if found is None else found.unionByName(passed)
         # Frequent phrases that were not proposed open up longer ones.
         wider = bitmap_of(passed.filter(F.col("size").between(1, LONGEST - 1)), bitmap)
