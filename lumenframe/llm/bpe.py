@@ -17,11 +17,14 @@ texts and words may have any length; bytes that are not UTF-8 count as U+FFFD.
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Callable
-from struct import pack
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +36,27 @@ from pyspark.sql import types as T
 from lumenframe.llm.catalog import query
 from lumenframe.llm.rows import documents, tokenizer_path
 
-# Words remembered per Python worker; a full memory is emptied, never wrong.
-CACHE_WORDS = 150_000
-CACHE_PIECES = 350_000
-CACHE_PAIRS = 200_000
+CACHE_PIECES = 300_000   # remembered per Python worker; a full memory is emptied, never wrong
+CACHE_PAIRS = 1 << 18
 LONGEST_CACHED = 64
-SHIFT = 20    # a match is its length above this many bits of token id
+STRETCH = 1 << 20        # characters of text whose new pieces are encoded together
+CELLS = 1 << 21          # places of all pieces that are encoded together
+SHORT, LONG, MANY = 64, 4096, 32   # bytes of pieces: up to SHORT in step; up to LONG if there are MANY of them
+SHIFT = 20               # a pair is its first token above this many bits of the second
 MASK = (1 << SHIFT) - 1
-END = 0x100   # distance from a symbol to the same symbol at a word's end
+SYMBOLS = 0x200          # bytes, and bytes at a word's end
+END = 0x100              # distance from a symbol to the same symbol at a word's end
 
 # White space of the normaliser's \s, and what str.split() takes besides it.
 SPACE = "\t-\r\x20\x85\xa0  -     　"
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
+ONE_SPACE = regex.compile(f"[{SPACE}]")
+# A splitting pattern that this module knows, and faster forms of it. Letters, and numbers that are no digits, are
+# what \\w has besides digits and the underscore.
+USUAL = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_UNITS = re.compile("[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9]+")
+WIDE_UNITS = re.compile("[^\\W\\d_]+|'(?:s|t|re|ve|m|ll|d)|\\d|(?:[^\\w\\s]|_)+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,138 +66,323 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Words(dict):
-    """Ids (little-endian bytes) by word, computed when first asked for."""
+class Merges:
+    """Parts and ranks of merged tokens, and ranks of pairs, as arrays."""
 
-    def __init__(self, compute: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.compute, self.limit = compute, limit
+    def __init__(self, vocab: dict[str, int], merges: list):
+        size = max(vocab.values()) + 1
+        self.rank, self.left, self.right = (np.full(size, -1, np.int64) for _ in range(3))
+        parts = np.array([[vocab[x] for x in (m if isinstance(m, list) else m.split(" "))] for m in merges], np.int64).reshape(-1, 2)
+        tokens = np.array([vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges], np.int64)
+        self.order = tokens
+        self.left[tokens], self.right[tokens], self.rank[tokens] = parts[:, 0], parts[:, 1], np.arange(len(tokens))
+        if (np.maximum(self.rank[parts[:, 0]], self.rank[parts[:, 1]]) >= np.arange(len(tokens))).any():
+            raise ValueError("a merge uses a token that is merged later")
+        pairs = parts[:, 0] << SHIFT | parts[:, 1]
+        order = np.argsort(pairs)
+        self.pairs, self.pair_rank = np.append(pairs[order], 1 << 62), np.append(order, 0)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.compute(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
+    def fits(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Do merges of a+b stop at (a, b)? Undo the later merge at the seam
+        again and again; a pair that would have merged before it is a refusal.
+        Of equal merges the left one comes first."""
+        out = np.zeros(len(a), bool)
+        limit = np.full(len(a), 1 << 60) if limit is None else limit
+        at = np.arange(len(a))
+        while len(at):
+            pair = a << SHIFT | b
+            place = np.searchsorted(self.pairs, pair)
+            fine = (self.pairs[place] != pair) | (self.pair_rank[place] >= limit)
+            at_a, at_b = self.rank[a], self.rank[b]
+            first, second = at_a > at_b, (at_b >= 0) & (at_a <= at_b)
+            out[at[fine & ~first & ~second]] = True
+            limit = np.where(first, at_a, at_b + 1)
+            a, b = np.where(first, self.right[a], a), np.where(second, self.left[b], b)
+            on = fine & (first | second)
+            at, a, b, limit = at[on], a[on], b[on], limit[on]
+        return out
+
+
+class Automaton:
+    """Suffix automaton of token strings as arrays: state 0 is the root, every state has the longest token that ends there."""
+
+    def __init__(self, strings: list[bytes], ends: np.ndarray, tokens: np.ndarray):
+        length = np.array([len(x) for x in strings])
+        longest = int(length.max(initial=0))
+        symbols = np.zeros((len(strings), longest), np.int64)
+        for i, x in enumerate(strings):
+            symbols[i, :len(x)] = np.frombuffer(x, np.uint8)
+        symbols[np.flatnonzero(ends), length[ends] - 1] += END
+        state, levels, count = np.zeros(len(strings), np.int64), [], 1
+        for depth in range(longest):
+            on = np.flatnonzero(length > depth)
+            keys, inverse = np.unique(state[on] * SYMBOLS + symbols[on, depth], return_inverse=True)
+            levels.append((keys, np.arange(count, count + len(keys))))
+            state[on] = count + inverse
+            count += len(keys)
+        self.token, self.depth = np.full(count, -1, np.int64), np.zeros(count, np.int64)
+        self.token[state] = tokens
+        for depth, (_, nodes) in enumerate(levels, 1):
+            self.depth[nodes] = depth
+        # States number their level's keys in order, and levels follow each other, so all keys are in order already.
+        self.keys = np.concatenate([k for k, _ in levels] + [np.array([1 << 62])])
+        self.root = np.zeros(SYMBOLS, np.int64)
+        self.root[levels[0][0]] = levels[0][1]
+        self.fail, self.shorter = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        for keys, nodes in levels[1:]:
+            self.fail[nodes] = self.advance(self.fail[keys // SYMBOLS], keys % SYMBOLS)
+            behind = self.fail[nodes]
+            self.shorter[nodes] = np.where(self.token[behind] >= 0, behind, self.shorter[behind])
+
+    def advance(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; a missing edge is looked for behind the failure link."""
+        out = self.root[symbol]
+        at = np.flatnonzero(state)
+        state, symbol = state[at], symbol[at]
+        while len(at):
+            key = state * SYMBOLS + symbol
+            place = np.searchsorted(self.keys, key)
+            found = self.keys[place] == key
+            out[at[found]] = place[found] + 1
+            state = self.fail[state]
+            on = ~found & (state > 0)
+            at, state, symbol = at[on], state[on], symbol[on]
+        return out
+
+    def last_tokens(self, state: np.ndarray) -> np.ndarray:
+        """States of the longest token that ends at a state, 0 if none does."""
+        return np.where(self.token[state] >= 0, state, self.shorter[state])
 
 
 class Codec:
     """Tables of one tokenizer file."""
 
     def __init__(self, content: bytes):
-        import ahocorasick
         spec = json.loads(content)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         if not self.suffix or spec["decoder"] is not None:
             raise ValueError("only word-end vocabularies without a decoder are read")
-        self.tokens = {i: t for t, i in vocab.items()}
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in specials.items()}
-        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
-        self.special_ids = {t: i.to_bytes(4, "little") for t, i in specials.items()}
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in specials.items()}
+        self.names = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+        self.kind = np.dtype("<u2" if len(self.names) <= 1 << 16 else "<u4")   # ids while they are remembered
+        self.special_ids = {t: np.array([i], self.kind).tobytes() for t, i in specials.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.left, self.right, self.rank, self.pair = {}, {}, {i: -1 for i in vocab.values()}, {}
-        for rank, merge in enumerate(model["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            t, a, b = vocab[a + b], vocab[a], vocab[b]
-            if max(self.rank[a], self.rank[b]) >= rank:
-                raise ValueError("a merge uses a token that is merged later")
-            self.left[t], self.right[t], self.rank[t] = a, b, rank
-            self.pair[a, b] = rank
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern, self.usual = regex.compile(pattern), pattern == USUAL
+        self.merges = m = Merges(vocab, model["merges"])
+        # A merged token is usable if encoding its own text gives it.
+        usable = m.rank < 0
+        alone = m.fits(m.left[m.order], m.right[m.order], m.rank[m.order])
+        for t, fits, a, b in zip(m.order.tolist(), alone.tolist(), m.left[m.order].tolist(), m.right[m.order].tolist()):
+            usable[t] = fits and usable[a] and usable[b]
         alphabet = byte_alphabet()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        usable: dict[int, bool] = {}
-        for token, i in sorted(vocab.items(), key=lambda x: self.rank[x[1]]):
-            usable[i] = self.rank[i] < 0 or (usable[self.left[i]] and usable[self.right[i]] and self._fits(self.left[i], self.right[i], self.rank[i]))
-            if usable[i]:
-                ends = token.endswith(self.suffix)
-                symbols = [chr(alphabet[c]) for c in token.removesuffix(self.suffix)]
-                if ends:
-                    symbols[-1] = chr(ord(symbols[-1]) + END)
-                self.automaton.add_word("".join(symbols), len(symbols) << SHIFT | i)
-        self.automaton.make_automaton()
-        self.known: dict[int, bool] = {}
-        self.pieces = Words(self.encode_piece, CACHE_PIECES)
-        self.words = Words(self.encode_word, CACHE_WORDS)
-
-    def _fits(self, a: int, b: int, limit: int | float = float("inf")) -> bool:
-        """Do merges of a+b stop at (a, b)? Undo the later merge at the seam
-        again and again; a pair that would have merged before it is a refusal.
-        Of equal merges the left one comes first."""
-        while True:
-            if self.pair.get((a, b), limit) < limit:
-                return False
-            at_a, at_b = self.rank[a], self.rank[b]
-            if at_a > at_b:
-                limit, a = at_a, self.right[a]
-            elif at_b >= 0:
-                limit, b = at_b + 1, self.left[b]
-            else:
-                return True
-
-    def encode_piece(self, piece: str) -> bytes:
-        """Ids of one split piece."""
-        symbols = piece.encode().decode("latin-1")
-        symbols = symbols[:-1] + chr(ord(symbols[-1]) + END)
-        n = len(symbols)
-        last, back, known = [-1] * (n + 1), [0] * (n + 1), self.known
-        last[0] = 0
-        for end, match in self.automaton.iter(symbols):
+        used = [(bytes(alphabet[c] for c in t.removesuffix(self.suffix)), t.endswith(self.suffix), i) for t, i in vocab.items() if usable[i]]
+        self.automaton = Automaton([x for x, _, _ in used], np.array([e for _, e, _ in used]), np.array([i for _, _, i in used]))
+        self.seams, self.seam_fits = np.full(CACHE_PAIRS, -1, np.int64), np.zeros(CACHE_PAIRS, bool)
+        self.known: dict[str, bytes] = dict(self.special_ids)
+
+    def compatible(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """May ``token`` follow ``before``? Answers are remembered, the newest at a place."""
+        seam = before << SHIFT | token
+        slot = (seam * 0x9E3779B1 >> 13) & (CACHE_PAIRS - 1)
+        new = np.flatnonzero(self.seams[slot] != seam)
+        out = self.seam_fits[slot]
+        if len(new):
+            out[new] = self.merges.fits(before[new], token[new])
+            self.seams[slot[new]], self.seam_fits[slot[new]] = seam[new], out[new]
+        return out
+
+    def encode_in_step(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, longest first, all prefixes of one length at a time."""
+        length = np.array([len(x) for x in pieces])
+        n, longest = len(pieces), int(length[0])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        start = np.cumsum(length) - length
+        last, back = np.full((n, longest + 1), -1, np.int32), np.zeros((n, longest + 1), np.int32)
+        last[:, 0] = 0
+        auto, state = self.automaton, np.zeros(n, np.int64)
+        alive = np.searchsorted(-length, -np.arange(1, longest + 1), "right").tolist()
+        for end, k in enumerate(alive, 1):
+            symbol = data[start[:k] + end - 1].astype(np.int64)
+            symbol[length[:k] == end] += END
+            state = auto.advance(state[:k], symbol)
+            node = auto.last_tokens(state)
+            open_ = np.flatnonzero(node)
+            while len(open_):
+                at = node[open_]
+                token, size = auto.token[at], auto.depth[at]
+                before = last[open_, end - size].astype(np.int64)
+                fits = size == end
+                inner = np.flatnonzero(~fits & (before >= 0))
+                fits[inner] = self.compatible(before[inner], token[inner])
+                done = open_[fits]
+                last[done, end], back[done, end] = token[fits], size[fits]
+                open_ = open_[~fits]
+                node[open_] = auto.shorter[at[~fits]]
+                open_ = open_[node[open_] > 0]
+        # Back-pointers, all pieces together from their ends; ``count`` places every token.
+        steps, at, place = [], np.arange(n), length.copy()
+        count = np.zeros(n, np.int64)
+        while len(at):
+            steps.append((at, last[at, place[at]]))
+            count[at] += 1
+            place[at] -= back[at, place[at]]
+            at = at[place[at] > 0]
+        ends = np.cumsum(count)
+        ids = np.empty(ends[-1], self.kind)
+        for i, (at, token) in enumerate(steps):
+            ids[ends[at] - 1 - i] = token
+        raw, size = ids.tobytes(), self.kind.itemsize
+        edge = [0, *(ends * size).tolist()]
+        return [raw[a:b] for a, b in zip(edge, edge[1:])]
+
+    @functools.cached_property
+    def lists(self) -> tuple:
+        """Tables for one piece at a time: rank, left, right, pairs and an automaton in memory of its own."""
+        import ahocorasick
+        m, auto = self.merges, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text = {0: ""}
+        keys = self.automaton.keys[:-1]
+        for node, parent, symbol in zip(range(1, len(keys) + 1), (keys // SYMBOLS).tolist(), (keys % SYMBOLS).tolist()):
+            text[node] = text[parent] + chr(symbol)
+            if self.automaton.token[node] >= 0:
+                auto.add_word(text[node], len(text[node]) << SHIFT | int(self.automaton.token[node]))
+        auto.make_automaton()
+        return m.rank.tolist(), m.left.tolist(), m.right.tolist(), dict(zip(m.pairs.tolist(), m.pair_rank.tolist())), auto, {}
+
+    def encode_alone(self, piece: bytes) -> bytes:
+        """Ids of one piece of any length, place by place."""
+        rank, left, right, pairs, automaton, known = self.lists
+
+        def fits(a: int, b: int) -> bool:
+            limit = 1 << 60
+            while pairs.get(a << SHIFT | b, limit) >= limit:
+                at_a, at_b = rank[a], rank[b]
+                if at_a > at_b:
+                    limit, a = at_a, right[a]
+                elif at_b >= 0:
+                    limit, b = at_b + 1, left[b]
+                else:
+                    return True
+            return False
+        n = len(piece)
+        symbols = piece[:-1].decode("latin-1") + chr(piece[-1] + END)
+        last, back = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        for end, match in automaton.iter(symbols):
             end += 1
             if back[end]:
                 continue
-            start = end - (match >> SHIFT)
+            start, token = end - (match >> SHIFT), match & MASK
             if start:
-                before = last[start]
-                if before < 0:
-                    continue
-                seam = before << SHIFT | match & MASK
-                fits = known.get(seam)
-                if fits is None:
+                seam = last[start] << SHIFT | token
+                if seam not in known:
                     if len(known) >= CACHE_PAIRS:
                         known.clear()
-                    fits = known[seam] = self._fits(before, match & MASK)
-                if not fits:
+                    known[seam] = last[start] >= 0 and fits(last[start], token)
+                if not known[seam]:
                     continue
-            last[end], back[end] = match & MASK, match >> SHIFT
+            last[end], back[end] = token, match >> SHIFT
         ids = []
         while n:
             ids.append(last[n])
             n -= back[n]
-        ids.reverse()
-        return pack(f"<{len(ids)}I", *ids)
-
-    def split(self, word: str) -> list[str]:
-        """Pieces of a normalised run without white space. Letters, or letters
-        and one closing mark, need no pattern."""
-        if word.isalpha():
-            return [word]
-        if word and word[-1] in ",.;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.pattern.findall(word)
-
-    def encode_word(self, word: str) -> bytes:
-        """Ids of a run without white space."""
-        if not word.isascii() or "<|" in word:
-            parts = self.special.split(word) if self.special else [word]
+        return np.array(ids[::-1], self.kind).tobytes()
+
+    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of split pieces by piece."""
+        names = list(pieces)
+        raw = [p.encode() for p in names]
+        order = np.argsort([-len(x) for x in raw], kind="stable").tolist() if raw else []
+        names, raw = [names[i] for i in order], [raw[i] for i in order]
+        long = sum(len(x) > SHORT for x in raw)
+        alone = sum(len(x) > LONG for x in raw) if long >= MANY else long
+        out = dict(zip(names, map(self.encode_alone, raw[:alone])))
+        while alone < len(raw):
+            some = slice(alone, alone + max(1, CELLS // (len(raw[alone]) + 1)))
+            out.update(zip(names[some], self.encode_in_step(raw[some])))
+            alone = some.stop
+        return out
+
+    def units(self, text: str) -> list[str]:
+        """Special tokens and pieces of a text in order. A unit of letters may hold numbers that are no digits; ``learn`` splits it."""
+        if "<|" in text and self.special:
+            out: list = []
+            for part in self.special.split(text):
+                out += [part] if part in self.special_ids else self.units(part) if "<|" not in part else self.plain_units(part)
+            return out
+        return self.plain_units(text)
+
+    def plain_units(self, text: str) -> list[str]:
+        if text.isascii():
+            low = text.lower()
+        else:
             # Letter by letter: a capital sigma has one lower case, wherever it stands.
-            return b"".join(
-                self.special_ids.get(part) or b"".join(map(
-                    self.pieces.__getitem__, self.split(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())))
-                for part in parts if part)
-        return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not self.usual or NOT_SPACE.search(low):
+            return [p for run in SPLIT_SPACE.split(low) for p in self.pattern.findall(run)]
+        return (ASCII_UNITS if low.isascii() else WIDE_UNITS).findall(low)
+
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids by unit, at least of all ``units``; what is new is encoded together and remembered."""
+        new = units - self.known.keys()
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known = dict(self.special_ids)
+            new = units - self.known.keys()
+        parts = {u: p for u in new if not (u.isascii() or u.isalpha()) and (p := self.pattern.findall(u)) != [u]}
+        pieces = {x for p in parts.values() for x in p} | (new - parts.keys())
+        found = self.encode_pieces(pieces)
+        for u, p in parts.items():
+            found[u] = b"".join(map(found.__getitem__, p))
+        if any(len(u) > LONGEST_CACHED for u in found):
+            self.known |= {u: i for u, i in found.items() if len(u) <= LONGEST_CACHED}
+            return collections.ChainMap(self.known, found)
+        self.known |= found
+        return self.known
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of every text, four little-endian bytes each. Texts go through in stretches of about STRETCH characters."""
+        ready: list[bytes] = []      # of the text whose stretches are under way
+        waiting: list[tuple[list[str], bool]] = []
+
+        def flush() -> Iterator[bytes]:
+            of = self.learn(set().union(*(units for units, _ in waiting))).__getitem__
+            for units, closing in waiting:
+                ready.append(b"".join(map(of, units)))
+                if closing:
+                    yield np.frombuffer(b"".join(ready), self.kind).astype("<u4").tobytes()
+                    ready.clear()
+            waiting.clear()
+        size = 0
+        for text in texts:
+            for stretch, closing in stretches(text):
+                waiting.append((self.units(stretch), closing))
+                size += len(stretch) + 1
+                if size >= STRETCH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     def encode(self, text: str) -> bytes:
-        words = SPLIT_SPACE.split(text) if NOT_SPACE.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, words))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in pieces of about STRETCH characters that end before white space, and whether it is the last one."""
+    start = 0
+    while len(text) - start > STRETCH:
+        space = ONE_SPACE.search(text, start + STRETCH)
+        if not space:
+            break
+        yield text[start:space.start()], False
+        start = space.start()
+    yield text[start:] if start else text, True
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -198,7 +394,7 @@ def codec(content: bytes) -> Codec:
     return _codecs[key]
 
 
-def _content(spark: SparkSession, path: str):
+def content_of(spark: SparkSession, path: str):
     """The driver reads the file (under 2 MB) and ships it, so executors need no copy."""
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -206,19 +402,19 @@ def _content(spark: SparkSession, path: str):
 
 def encoder(spark: SparkSession, path: str) -> Callable[[Column | str], Column]:
     """Text column to ids: binary, little-endian unsigned 32-bit."""
-    content = _content(spark, path)
+    content = content_of(spark, path)
 
     @F.arrow_udf(T.BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
-        of = codec(content.value).encode
-        return pa.array([of(str(x, "utf-8", "replace")) if (x := t.as_buffer() if t.is_valid else b"") else b"" for t in texts], pa.binary())
+        decoded = (str(t.as_buffer(), "utf-8", "replace") if t.is_valid else "" for t in texts)
+        return pa.array(codec(content.value).encode_all(decoded), pa.binary())
 
     return lambda text: encode(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"))
 
 
 def decoder(spark: SparkSession, path: str) -> Callable[[Column | str], Column]:
     """Ids (as the encoder gives them) to text, special tokens included."""
-    content = _content(spark, path)
+    content = content_of(spark, path)
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
@@ -242,6 +438,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text decoded from them."""
     path = tokenizer_path()
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    # Chained functions would encode twice; the null test keeps them apart.
+    rows = decode(ids.withColumn("ids", F.coalesce("ids", F.lit(b""))), path)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.session import cut
+from lumenframe.session import cut, ensure_checkpoint_dir
 
 # A side is broadcast only if it was counted and has at most this many rows,
 # of at most a few hundred bytes each.
@@ -62,6 +63,15 @@ def numbered(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
             .select(*[c for c in df.columns], name))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the checkpoint folder and read again: columns that a use does not need are not read."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``decisions`` (doc_id, text_key, kept) keeps, all columns as they were.
 

@@ -38,7 +38,6 @@ def test_frame_and_edge_cases(docs, tokenizer):
 
 
 def test_full_caches_change_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     monkeypatch.setattr(bpe, "CACHE_PIECES", 2)
     monkeypatch.setattr(bpe, "CACHE_PAIRS", 2)
     c = bpe.Codec(open(tokenizer_path(), "rb").read())
@@ -46,6 +45,17 @@ def test_full_caches_change_nothing(tokenizer, monkeypatch):
         assert c.encode(s) == packed(tokenizer.encode(s, add_special_tokens=False).ids)
 
 
+def test_stretches_and_long_pieces(tokenizer, monkeypatch):
+    """Short stretches, pieces alone and in step, and small blocks of them all give the same ids."""
+    rng = random.Random(6)
+    texts = ["中文字" * 70 + " a", "x" * 5000, "no white space " * 40, " ", "", "éa" * 100 + " <|endoftext|> end", "tail   "]
+    texts += ["".join(rng.choice("abcdeé中 .") for _ in range(rng.randrange(400))) for _ in range(80)]
+    want = [packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    for name, value in (("STRETCH", 10), ("MANY", 1), ("MANY", 10**9), ("SHORT", 3), ("CELLS", 1), ("LONG", 20), ("LONGEST_CACHED", 2)):
+        monkeypatch.setattr(bpe, name, value)
+        assert list(bpe.Codec(open(tokenizer_path(), "rb").read()).encode_all(texts)) == want, name
+
+
 def test_replaces_clashing_columns_and_takes_empty_tables(spark, no_docs):
     path = tokenizer_path()
     df = spark.createDataFrame([("a word", 7, "keep")], "text string, ids int, other string")
