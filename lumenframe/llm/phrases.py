@@ -17,10 +17,11 @@ are. A bit that two phrases share lets more phrases be counted, never fewer,
 so results do not depend on it; neither do they depend on the sample, which
 only decides how many passes there are.
 
-A pass numbers the words of a block of text and builds the phrases of k words
-from pairs of neighbours of k-1 words, all in numpy; a block has a bounded
-number of words (a longer text goes through in several, overlapping by
-LONGEST - 1 words). Blocks send one row per distinct phrase to a shuffle that
+A pass numbers the words of a block of text and builds the hashes of k words
+from neighbours of k-1 words, all in numpy; phrases of one hash are compared
+word by word before they are counted together. A block has a bounded number of
+words (a longer text goes through in several, overlapping by LONGEST - 1
+words). Blocks send one row per distinct phrase to a shuffle that
 adds them up, so a phrase that is everywhere is one row per block.
 
 Score: cutting a phrase in two gives floor(SCALE * a * n / (l * r)), and its
@@ -35,6 +36,7 @@ empty.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -53,14 +55,14 @@ LEAST = 100
 SCALE = 1000
 TOP = 2000
 UNKNOWN = "und"
-SAMPLE = 8               # one document in so many proposes phrases
-CAUTION = 0.32           # share of the expected sample count that is enough to propose
+SAMPLE = 16              # one document in so many proposes phrases
+CAUTION = 0.65           # share of the expected sample count that is enough to propose
 BITS = 1 << 24           # of the bitmap: 2 MB, sent compressed
-BLOCK = 1 << 20          # words that are counted together
+BLOCK = 1 << 18          # words that are counted together
+GROUP = 4 << 20          # bytes of text whose words are numbered together
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 CUT_UP = bytes.maketrans(SEPARATORS, b"\n" * len(SEPARATORS))
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROWS = "lang string, size int, phrase binary, bits long, n long"
 
 
 class Vocabulary(dict):
@@ -96,71 +98,120 @@ def known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None, before: np.ndarray | None):
-    """(size, first place, count, hash) of the distinct phrases that start in a block.
+def groups(ids: np.ndarray, size: int, value: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, count) of the distinct phrases of ``size`` words at the chosen places."""
+    order = np.argsort(value[chosen], kind="stable")
+    place, number = chosen[order], value[chosen][order]
+    change = number[1:] != number[:-1]
+    words = [ids[place + i] for i in range(size)]
+    if any(((w[1:] != w[:-1]) & ~change).any() for w in words):   # two phrases with one hash: compare the words alone
+        order = np.lexsort(words)
+        place, words = place[order], [w[order] for w in words]
+        change = np.any([w[1:] != w[:-1] for w in words], axis=0)
+    start = np.flatnonzero(np.concatenate([[True], change]))
+    return place[start], np.diff(np.append(start, len(place)))
+
+
+def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None, before: np.ndarray | None, longest: int = LONGEST):
+    """(size, columns of words, count, hash) of the distinct phrases that start in a block.
 
     ``hashes`` has a number per word. With a bitmap, phrases of two words on
-    need both their parts in it; with ``before``, not both in that one.
+    need both their parts counted and in it; with ``before``, phrases that
+    were counted under that one are left out.
     """
     own = len(ids) - LONGEST + 1
-    code, value = ids, hashes[ids]         # phrase that starts at each place, 0 if none
-    for size in range(1, LONGEST + 1):
+    value, counted_now = hashes[ids], ids > 0
+    counted_then = counted_now
+    for size in range(1, longest + 1):
         if size > 1:
-            first, last = code[:-1], code[1:]
-            alive = (first > 0) & (last > 0)
-            if bitmap is not None:
-                alive &= inside[:-1] & inside[1:]
-            # Neighbours that share all but their ends make the longer phrase: number the pairs.
-            pairs = np.where(alive, first * (code.max() + 1) + last, 0)
-            joined = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
-            unique, code = np.unique(pairs, return_inverse=True)
-            if unique[0] != 0:
-                code = code + 1
-            value = joined
-        if bitmap is not None:
-            inside = known(bitmap, value)
-            earlier, was = (was if size > 1 else None), known(before, value) if before is not None else None
-        chosen = np.flatnonzero(code[:own] > 0)
-        if before is not None:
-            chosen = chosen[~(earlier[chosen] & earlier[chosen + 1])] if size > 1 else chosen[:0]
+            # Neighbours that share all but their ends make the longer phrase.
+            counted_now, counted_then = inside[:-1] & inside[1:], then[:-1] & then[1:]
+            value = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
+        inside = counted_now if bitmap is None else counted_now & known(bitmap, value)
+        then = counted_then & known(before, value) if before is not None else inside
+        if size == 1:
+            if before is None:
+                n = np.bincount(ids[:own], minlength=1)
+                words = np.flatnonzero(n[1:]) + 1
+                if len(words):
+                    yield size, [words], n[words], hashes[words]
+            continue
+        chosen = np.flatnonzero((counted_now if before is None else counted_now & ~counted_then)[:own])
         if len(chosen):
-            _, place, n = np.unique(code[:own][chosen], return_index=True, return_counts=True)
-            place = chosen[place]
-            yield size, place, n, value[place]
+            place, n = groups(ids, size, value, chosen)
+            yield size, [ids[place + i] for i in range(size)], n, value[place]
 
 
-def counts(texts: Sequence[bytes], lang: str, bitmap=None, before=None) -> Iterator[tuple]:
-    """(sizes, phrases, hashes, numbers) of the phrases of texts in one language; size 0 is the number of words."""
+def blocks(texts: Sequence[bytes], lang: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(word numbers, a hash per word, words) of the blocks of texts in one language."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     vocabulary, hashes = Vocabulary(), np.zeros(1, np.uint64)
     for ids in word_ids(texts, vocabulary):
         new = [xxhash.xxh64_intdigest(w, seed) for w in vocabulary.words[len(hashes):]]
         hashes = np.concatenate([hashes, np.array(new, np.uint64)])
+        yield ids, hashes, vocabulary.words
+
+
+def counts(texts: Sequence[bytes], lang: str, bitmap=None, before=None) -> Iterator[tuple]:
+    """(sizes, phrases, numbers) of the phrases of texts in one language; size 0 is the number of words."""
+    for ids, hashes, words in blocks(texts, lang):
         if before is None:
-            yield [0], [b""], np.zeros(1, np.uint64), np.array([(ids[:len(ids) - LONGEST + 1] > 0).sum()])
-        words = vocabulary.words
-        for size, place, n, value in count_block(ids, hashes, bitmap, before):
-            columns = [map(words.__getitem__, ids[place + i].tolist()) for i in range(size)]
-            yield np.full(len(place), size), list(map(b" ".join, zip(*columns))), value, n
+            yield [0], [b""], [(ids[:len(ids) - LONGEST + 1] > 0).sum()]
+        for size, columns, n, _ in count_block(ids, hashes, bitmap, before):
+            yield [size] * len(n), list(map(b" ".join, zip(*[map(words.__getitem__, c.tolist()) for c in columns]))), n
+
+
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(language, texts) of at most GROUP bytes, or one text."""
+    for batch in batches:
+        waiting: dict[str, list[bytes]] = {}
+        size: Counter = Counter()
+        for lang, value in zip(batch["lang"].to_pylist(), batch["text"]):
+            text = value.as_buffer().to_pybytes()
+            waiting.setdefault(lang, []).append(text)
+            size[lang] += len(text)
+            if size[lang] >= GROUP:
+                yield lang, waiting.pop(lang)
+                size[lang] = 0
+        yield from waiting.items()
+
+
+def proposals(docs: DataFrame, enough: int) -> DataFrame:
+    """(bits): hashes of phrases of up to LONGEST - 1 words that occur often enough in the sample ``docs`` (lang, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in by_language(batches):
+            for ids, hashes, _ in blocks(texts, lang):
+                for _, _, n, value in count_block(ids, hashes, None, None, LONGEST - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["bits", "n"])
+    rows = docs.select("lang", "text").mapInArrow(run, "bits long, n long")
+    return rows.groupBy("bits").agg(F.sum("n").alias("n")).filter(F.col("n") >= enough).select("bits")
 
 
-def counted(docs: DataFrame, bitmap=None, before=None) -> DataFrame:
-    """(lang, size, phrase, bits, n): exact counts of the phrases that the bitmaps choose. ``docs``: lang, text (binary)."""
+def counted(docs: DataFrame, bitmap, before=None) -> DataFrame:
+    """(lang, size, phrase, n): exact counts of the phrases that the bitmaps choose. ``docs``: lang, text (binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, then = (b and np.frombuffer(zlib.decompress(b.value), np.uint8) for b in (bitmap, before))
+        for lang, texts in by_language(batches):
+            for size, phrase, n in counts(texts, lang, now, then):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase)), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()),
+                                                  pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase binary, n long")
+    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+
+
+def hashed(phrases: DataFrame) -> DataFrame:
+    """(bits) of phrases (lang, size, phrase), as ``count_block`` makes them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            by_lang: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                by_lang.setdefault(lang, []).append(i)
-            for lang, rows in by_lang.items():
-                texts = (batch["text"][i].as_buffer().to_pybytes() for i in rows)
-                for size, phrase, value, n in counts(texts, lang, now, then):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrase)), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()),
-                         pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["lang", "size", "phrase", "bits", "n"])
-    rows = docs.select("lang", "text").mapInArrow(run, ROWS)
-    return rows.groupBy("lang", "size", "phrase").agg(F.first("bits").alias("bits"), F.sum("n").alias("n"))
+            bits = []
+            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist()):
+                seed = xxhash.xxh64_intdigest(lang.encode())
+                value = np.array([xxhash.xxh64_intdigest(w, seed) for w in phrase.split(b" ")], np.uint64)
+                for size in range(2, len(value) + 1):
+                    value = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
+                bits.append(value[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(bits, np.uint64).view(np.int64))], ["bits"])
+    return phrases.select("lang", "phrase").mapInArrow(run, "bits long")
 
 
 def bitmap_of(phrases: DataFrame, base: bytes = b"") -> bytes:
@@ -180,8 +231,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
                        F.pmod(F.xxhash64("doc_id", text_key()), F.lit(sample)).alias("_part"))
     enough = max(2, int(least / sample * CAUTION))
-    proposed = counted(rows.filter("_part = 0")).filter((F.col("size").between(1, LONGEST - 1)) & (F.col("n") >= enough))
-    bitmap, before, found = bitmap_of(proposed), None, None
+    bitmap, before, found = bitmap_of(proposals(rows.filter("_part = 0"), enough)), None, None
     while True:
         now, then = sc.broadcast(zlib.compress(bitmap, 1)), before and sc.broadcast(zlib.compress(before, 1))
         passed = cut(counted(rows, now, then).filter((F.col("n") >= least) | (F.col("size") == 0)))
@@ -189,7 +239,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
             done.destroy()   # the pass is materialised, nothing reads its bitmaps again
         found = passed if found is None else found.unionByName(passed)
         # Frequent phrases that were not proposed open up longer ones.
-        wider = bitmap_of(passed.filter(F.col("size").between(1, LONGEST - 1)), bitmap)
+        wider = bitmap_of(hashed(passed.filter(F.col("size").between(1, LONGEST - 1))), bitmap)
         if wider == bitmap:
             return found.select("lang", "size", "phrase", "n")
         bitmap, before = wider, bitmap

@@ -86,12 +86,20 @@ def test_shared_bits_lose_nothing(spark, spoken, monkeypatch):
 def test_blocks_do_not_matter(monkeypatch, spoken):
     texts = [(t or "").encode() for lang, t in spoken if lang == "en"]
     total = lambda: sum((Counter({(s, p): c for s, p, c in zip(sizes, found, n.tolist())})
-                         for sizes, found, _, n in phrases.counts(texts, "en")), Counter())
+                         for sizes, found, n in map(lambda r: (r[0], r[1], np.array(r[2])), phrases.counts(texts, "en"))), Counter())
     whole = total()
     monkeypatch.setattr(phrases, "BLOCK", 7)
     assert total() == whole
 
 
+def test_equal_hashes_are_told_apart():
+    """Words, not hashes, decide what is one phrase."""
+    ids = np.array([1, 2, 0, 1, 3, 0, 1, 2, 0, 0, 0, 0, 0])
+    hashes = np.array([0, 5, 9, 9, 0], np.uint64)
+    found = {tuple(tuple(c.tolist()) for c in columns): n.tolist() for size, columns, n, _ in phrases.count_block(ids, hashes, None, None) if size == 2}
+    assert found == {((1, 1), (2, 3)): [2, 1]}
+
+
 def test_scores_pass_64_bits(spark):
     big = [("en", 0, b"", 3 * 10**15), ("en", 1, b"a", 10**12), ("en", 1, b"b", 10**12), ("en", 2, b"a b", 10**12 - 7)]
     frame = spark.createDataFrame(big, "lang string, size int, phrase binary, n long")
