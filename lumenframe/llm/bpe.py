@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from lumenframe.llm.catalog import query
 from lumenframe.llm.rows import documents, tokenizer_path
 
-CACHE_PIECES = 300_000   # remembered per Python worker; a full memory is emptied, never wrong
+SLICE = 4 << 20          # bytes in one batch of output
+CACHE_PIECES = 200_000   # remembered per Python worker; a full memory is emptied, never wrong
 CACHE_PAIRS = 1 << 18
 LONGEST_CACHED = 64
 STRETCH = 1 << 20        # characters of text whose new pieces are encoded together
@@ -434,12 +435,30 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.withColumn(text, decoder(df.sparkSession, path)(ids))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: str = "doc_id") -> DataFrame:
+    """(keep, ids, decoded): ids and the text decoded from them, by one worker a task and in slices of about SLICE bytes."""
+    content = content_of(df.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = codec(content.value)
+        for batch in batches:
+            rows, start, size = [], 0, 0
+            texts = (str(t.as_buffer(), "utf-8", "replace") if t.is_valid else "" for t in batch[1])
+            for i, ids in enumerate(of.encode_all(texts)):
+                rows.append((ids, of.decode(ids)))
+                size += 2 * len(ids)
+                if size >= SLICE or i + 1 == batch.num_rows:
+                    ids, decoded = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch[0].slice(start, len(rows)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                                                     [keep, "ids", "decoded"])
+                    rows, start, size = [], i + 1, 0
+    kind = df.schema[keep].dataType.simpleString()
+    return df.select(keep, F.col(text).cast("binary")).mapInArrow(run, f"`{keep}` {kind}, ids binary, decoded string")
+
+
 @query()
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text decoded from them."""
-    path = tokenizer_path()
-    ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    # Chained functions would encode twice; the null test keeps them apart.
-    rows = decode(ids.withColumn("ids", F.coalesce("ids", F.lit(b""))), path)
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    rows = round_trip(documents(spark, sf_dir), tokenizer_path())
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
