@@ -1,9 +1,32 @@
-"""Row-block arithmetic of the flatfield model.
-
-The model (Peng et al., 2017) explains image r as coef_r * W + offset + E_r
-with a smooth W and sparse E. Everything image-wise lives here and works on
-any block of rows; only sums over rows leave a block, so the same code serves
-one in-memory block and a distributed stack.
+"""Robust fit of an illumination model to a stack of images.
+
+The published model (Peng et al., 2017) is
+
+    image_r(x) = b_r * S(x) + D(x) + sparse_r(x)
+
+with a brightness b_r per image, a smooth field S of mean 1 and a smooth
+offset D. Here it is fitted as a regression, pixel by pixel over the images:
+
+1. Given S and D, an image's brightness is the weighted slope of (image - D)
+   against S.
+2. Given all brightnesses, a pixel's values are a straight line in b. Its
+   intercept is taken from the images below the mean brightness, where the
+   offset weighs most and content least; the slope through (0, D) from all.
+   Both follow from five weighted sums over images: w, w b, w b b, w v, w b v.
+   A line leaves open how much of b S belongs to D (adding c S to D takes c
+   from every b), so D is what has no share of the shape of S: the multiple of
+   S that the intercept correlates with is taken out of it.
+3. Weights play down what is sparse: with u = |v - b S - D| / (b S), the
+   deviation relative to the image's own level, w = 1 / (b (u + epsilon))^2.
+   One factor of u + epsilon makes absolute deviations out of squared ones, the
+   other reweights them, so that large deviations hardly count; b makes all
+   images count by relative errors.
+4. S and D are smoothed by shrinking their cosine coefficients by a multiple of
+   the noise, which is read off the high frequencies.
+
+Steps repeat until the field stops moving. Images never change and carry no
+state: only S, D and a few numbers go from round to round, so an image may be
+anywhere and a lost one is simply read again.
 """
 
 from __future__ import annotations
@@ -12,173 +35,109 @@ import numpy as np
 
 from lumenframe.functions.resample import cosine_matrix
 
+SUMS = ("w", "wb", "wbb", "wv", "wbv")
+DARKEST = 1e-9           # an image or level below this share of the stack's counts as black
+NORMAL = 0.6745          # median of the absolute value of a standard normal
+
 
 def shrink(v, by):
     """Soft threshold."""
     return np.sign(v) * np.maximum(np.abs(v) - by, 0.0)
 
 
-def fresh(d: np.ndarray, weight: np.ndarray | None = None) -> dict:
-    """State of a block before the first iteration."""
-    return {"d": d, "w": np.ones_like(d) if weight is None else weight, "e": np.zeros_like(d),
-            "y": np.zeros_like(d), "row": np.ones(len(d))}
-
-
-def coefficients(state: dict, mean: float) -> np.ndarray:
-    return np.maximum(state["row"] / mean, 0.0) if mean else np.zeros(len(state["row"]))
-
-
-def step(state: dict, p: dict) -> dict:
-    """One residual / multiplier update; ``row`` becomes the new image means."""
-    d, mu = state["d"], p["mu"]
-    rest = d - np.outer(coefficients(state, p["mean"]), p["flat"]) - p["offset"]
-    e = shrink(rest + state["y"] / mu, state["w"] * p["wscale"] / mu)
-    return {**state, "e": e, "y": state["y"] + mu * (rest - e), "row": (d - e).mean(axis=1),
-            "z": float(np.square(rest - e).sum())}
-
-
-def step_sums(state: dict, p: dict) -> dict:
-    row = state["row"]
-    return {"n": len(row), "row": float(row.sum()), "up": float(row[row > 0].sum()),
-            "down": float(row[row < 0].sum()), "z": state["z"],
-            "vec": (state["d"] - state["e"] + state["y"] / p["mu_next"]).sum(axis=0)}
-
-
-def dark_sums(state: dict, p: dict) -> dict:
-    """Sums over images dimmer than average, for the offset."""
-    c = coefficients(state, p["mean"])
-    dim = c < 1
-    r, c, w = (state["d"] - state["e"])[dim], c[dim], p["flat"]
-    bright = r[:, w > w.mean() - 1e-6].mean(axis=1)
-    dull = r[:, w < w.mean() + 1e-6].mean(axis=1)
-    b = (bright - dull) / p["mean"]
-    return {"k": len(c), "c": float(c.sum()), "cc": float((c * c).sum()), "b": float(b.sum()),
-            "cb": float((c * b).sum()), "vec": r.sum(axis=0)}
-
-
-def reweigh(state: dict, p: dict) -> dict:
-    """Weights from the residual relative to the image's own level; restarts the rest."""
-    level = coefficients(state, p["mean"]) * p["flat"].mean() + np.mean(p["offset"])
-    w = 1.0 / (np.abs(state["e_last"] / (level + 1e-6)[:, None]) + p["epsilon"])
-    return fresh(state["d"], w)
+def weights(rest: np.ndarray, level: np.ndarray, epsilon: float) -> np.ndarray:
+    """1 / (u + epsilon)^2 for deviations relative to a level."""
+    return 1.0 / np.square(np.abs(rest) / level + epsilon)
 
 
-def apply(state: dict, history: list[tuple[str, dict]]) -> dict:
-    """Replay recorded updates on a block."""
-    for kind, p in history:
-        if kind == "step":
-            state = {**step(state, p), "before": state["row"]}
-        else:
-            state = reweigh({**state, "e_last": state["e"], "row": state["before"]}, p)
-    return state
+def brightness(d: np.ndarray, flat: np.ndarray, dark: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """(brightness, weights) of the rows of ``d``; black rows have brightness 0 and no weight."""
+    v = d - dark
+    b = v.mean(axis=1) / flat.mean(axis=-1)
+    lit = b > DARKEST
+    level = np.where(lit, b, 1.0)[:, None] * np.maximum(flat, DARKEST)
+    w = weights(v - b[:, None] * flat, level, epsilon) * lit[:, None]
+    b = (w * flat * v).sum(axis=1) / np.maximum((w * flat * flat).sum(axis=1), DARKEST)
+    return np.maximum(b, 0.0), w
 
 
-def sums(kind: str, state: dict, p: dict) -> dict:
-    if kind == "step":
-        return step_sums(state, p)
-    if kind == "dark":
-        return dark_sums(state, p)
-    if kind == "weights":
-        return {"n": state["w"].size, "sum": float(state["w"].sum())}
-    if kind == "power":
-        return {"vec": state["d"].T @ (state["d"] @ p["v"])}
-    d = state["d"]
-    return {"n": len(d), "sq": float(np.square(d).sum()), "low": float(d.min()) if d.size else np.inf,
-            "vec": d.sum(axis=0)}
+def pixel_sums(d: np.ndarray, flat: np.ndarray, dark: np.ndarray, centre: float, settings) -> np.ndarray:
+    """(sums, pixels): the sums of SUMS over the rows of ``d``, with a dark field also those over rows below ``centre``."""
+    b, w = brightness(d, flat, dark, settings.epsilon)
+    w = w / np.square(np.maximum(b, DARKEST))[:, None]
+    of = lambda d, b, w: [w.sum(axis=0), (w * b).sum(axis=0), (w * b * b).sum(axis=0), (w * d).sum(axis=0), (w * b * d).sum(axis=0)]
+    out = of(d, b[:, None], w)
+    if settings.darkfield:
+        dim = b <= centre
+        out += of(d[dim], b[dim, None], w[dim])
+    return np.stack(out)
 
 
-class Block:
-    """A whole stack in memory."""
+def smooth(v: np.ndarray, side: int, strength: float | None) -> np.ndarray:
+    """``v`` (side x side, flattened) with its cosine coefficients shrunk, the mean left alone.
 
-    def __init__(self, d: np.ndarray):
-        self.state = fresh(d)
-
-    def advance(self, kind: str, p: dict) -> None:
-        self.state = apply(self.state, [(kind, p)])
-
-    def sums(self, kind: str, p: dict | None = None) -> dict:
-        return sums(kind, self.state, p or {})
-
-
-def leading_value(stack, p: int) -> float:
-    """Largest singular value by power iteration on the stack's row sums."""
-    v = np.full(p, 1 / np.sqrt(p))
-    last = 0.0
-    for _ in range(200):
-        u = stack.sums("power", {"v": v})["vec"]
-        size = float(np.linalg.norm(u))
-        if size == 0:
-            return 0.0
-        v = u / size
-        if abs(size - last) <= 1e-10 * size:
-            break
-        last = size
-    return float(np.sqrt(size))
-
-
-def _offset(dark, mean, flat, smooth, low, to, back):
-    """Additive pattern: a level tied to W plus a smooth, sparse remainder."""
-    k, c, cc, b, cb = (dark[x] for x in ("k", "c", "cc", "b", "cb"))
-    if k == 0:
-        return np.zeros_like(flat), 0.0
-    det = c * b - k * cb
-    level = 0.0 if det == 0 else (cc * b - c * cb) / det
-    level = min(max(level, 0.0), low / flat.mean()) if flat.mean() else 0.0
-    tied = level * (flat.mean() - flat)
-    rough = dark["vec"] / k - c / k * flat
-    rough = rough - rough.mean() - tied
-    return shrink(back(shrink(to(rough), smooth)), smooth) + tied, level
-
-
-def solve(stack, side: int, settings) -> tuple[np.ndarray, np.ndarray]:
-    """Flatfield (mean 1) and darkfield of a sorted stack, both side x side flattened.
-
-    ``stack`` offers ``advance(kind, params)`` and ``sums(kind, params)``.
+    The threshold is ``strength`` times the noise level; without it, the level
+    that noise alone stays under for that many coefficients.
     """
     c = cosine_matrix(side)
-    to = lambda v: (c @ v.reshape(side, side) @ c.T).ravel()
-    back = lambda v: (c.T @ v.reshape(side, side) @ c).ravel()
-    first = stack.sums("first")
-    n, p = first["n"], side * side
-    mean_image = first["vec"] / n
-    spread = np.abs(to(mean_image / mean_image.mean())).sum() / 400.0
-    lam = spread * 0.5 if settings.lambda_flat is None else settings.lambda_flat
-    lam_dark = spread * 0.2 if settings.lambda_dark is None else settings.lambda_dark
-    norm, lead = np.sqrt(first["sq"]), leading_value(stack, p)
-
-    wscale, flat_last, dark_last = 1.0, np.ones(p), np.zeros(p)
-    for outer in range(1, settings.max_reweight + 2):
-        mu, ceiling = 12.5 / lead, 12.5 / lead * 1e7
-        w_hat, flat, offset, level = np.zeros(p), np.zeros(p), np.zeros(p), 0.0
-        mean, mean_coef, pull = 1.0, 1.0, mean_image
-        for _ in range(settings.max_iterations):
-            w_hat = shrink(w_hat + to(pull - flat * mean_coef - offset), lam / mu)
-            flat = back(w_hat)
-            used = {"flat": flat, "offset": offset, "mean": mean, "mu": mu, "wscale": wscale,
-                    "mu_next": min(mu * 1.5, ceiling)}
-            used_coef = mean_coef
-            stack.advance("step", used)
-            s = stack.sums("step", used)
-            mean = s["row"] / n
-            mean_coef = (s["up"] if mean > 0 else s["down"]) / mean / n if mean else 0.0
-            pull = s["vec"] / n
-            if settings.darkfield:
-                dark = stack.sums("dark", {"mean": mean, "flat": flat})
-                offset, level = _offset(dark, mean, flat, lam_dark / (10.0 * mu), first["low"], to, back)
-            mu = used["mu_next"]
-            if np.sqrt(s["z"]) < settings.optimization_tol * norm:
-                break
-        dark_now = offset + level * flat
-        level_image = flat * used_coef + used["offset"] - dark_now
-        flat_now = level_image / level_image.mean()
-        stack.advance("reweigh", {"flat": flat, "offset": used["offset"], "mean": used["mean"],
-                                  "epsilon": settings.epsilon})
-        total = stack.sums("weights")
-        wscale = total["n"] / total["sum"]
-        moved = np.abs(flat_now - flat_last).sum() / np.abs(flat_last).sum()
-        gap = np.abs(dark_now - dark_last).sum()
-        dark_moved = 0.0 if gap < 1e-7 else gap / max(1e-6, np.abs(dark_last).sum())
-        flat_last, dark_last = flat_now, dark_now
-        if outer > 1 and max(moved, dark_moved) <= settings.reweight_tol:
+    coefficients = c @ v.reshape(side, side) @ c.T
+    k = np.arange(side)
+    high = np.abs(coefficients[k[:, None] + k[None, :] >= side])
+    noise = np.median(high) / NORMAL if high.size else 0.0
+    by = noise * (np.sqrt(2 * np.log(max(side * side, 2))) if strength is None else strength)
+    mean = coefficients[0, 0]
+    coefficients = shrink(coefficients, by)
+    coefficients[0, 0] = mean
+    return (c.T @ coefficients @ c).ravel()
+
+
+def sum_names(settings) -> list[str]:
+    return [*SUMS, *[f"dim_{s}" for s in SUMS if settings.darkfield]]
+
+
+def offset_of(sums: np.ndarray) -> np.ndarray:
+    """Intercept of every pixel's line over the dim images, less its share of the field's shape; 0 where all are equally bright."""
+    w, wb, wbb, wv, wbv = sums
+    det = w * wbb - wb * wb      # normal equations of a line
+    clear = det > 1e-6 * w * wbb
+    if not clear.any():
+        return np.zeros_like(w)
+    slope = np.where(clear, (w * wbv - wb * wv) / np.where(clear, det, 1.0), wbv / np.maximum(wbb, DARKEST))
+    rest = np.where(clear, (wv - wb * slope) / np.maximum(w, DARKEST), 0.0)
+    shape = slope / slope.mean() if abs(slope.mean()) > DARKEST else np.ones_like(slope)
+    vary = shape - shape.mean()
+    return rest - shape * (rest * vary).sum() / max((vary * vary).sum(), DARKEST)
+
+
+def update(sums: np.ndarray, flat: np.ndarray, dark: np.ndarray, low: float, side: int, settings) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(field, offset, mean brightness, how far they moved) from the sums over a stack whose smallest value is ``low``."""
+    w, wb, wbb, wv, wbv = sums[:5]
+    offset = np.zeros_like(dark)
+    if settings.darkfield:
+        offset = np.clip(smooth(offset_of(sums[5:]), side, settings.lambda_dark), 0.0, max(low, 0.0))
+    field = smooth((wbv - offset * wb) / np.maximum(wbb, DARKEST), side, settings.lambda_flat)
+    field = field / field.mean() if field.mean() > DARKEST else np.ones_like(flat)
+    centre = float(wb.sum() / max(w.sum(), DARKEST))
+    moved = np.abs(field - flat).mean() + np.abs(offset - dark).mean() / max(centre, DARKEST)
+    return field, offset, centre, float(moved)
+
+
+def base_levels(d: np.ndarray, flat: np.ndarray, dark: np.ndarray, epsilon: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(level, converged) of every row: its brightness under a known field, reweighted until it stops moving.
+
+    ``flat`` and ``dark`` have a row each. Rows do not depend on each other.
+    """
+    v = d - dark
+    ratio = v / np.maximum(flat, DARKEST)
+    level = np.maximum(np.median(ratio, axis=1), 0.0)
+    done = np.zeros(len(d), bool)
+    for _ in range(rounds):
+        on = np.flatnonzero(~done)
+        if not len(on):
             break
-    return flat_last, dark_last
+        b = level[on, None]
+        w = weights(v[on] - b * flat[on], np.maximum(b * flat[on], DARKEST), epsilon)
+        new = np.maximum((w * flat[on] * v[on]).sum(axis=1) / np.maximum((w * np.square(flat[on])).sum(axis=1), DARKEST), 0.0)
+        done[on] = np.abs(new - level[on]) <= tolerance * np.maximum(new, DARKEST)
+        level[on] = new
+    return level, done

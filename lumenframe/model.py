@@ -106,14 +106,17 @@ class ClassifySettings:
 
 @dataclass(frozen=True)
 class FlatfieldSettings:
-    """Flatfield estimation limits."""
+    """Flatfield estimation.
+
+    ``lambda_flat`` and ``lambda_dark`` are smoothing thresholds as multiples of
+    the noise (None: from the number of coefficients); a field that moves less
+    than ``tolerance`` on average is final.
+    """
 
     working_size: int = 128
-    max_iterations: int = 500
-    optimization_tol: float = 1e-6
-    max_reweight: int = 10
+    rounds: int = 60
+    tolerance: float = 1e-5
     epsilon: float = 0.1
-    reweight_tol: float = 1e-3
     lambda_flat: float | None = None
     lambda_dark: float | None = None
     darkfield: bool = False

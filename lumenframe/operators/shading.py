@@ -1,14 +1,16 @@
 """Flatfield estimation and shading correction.
 
 Training images are rows with a pixel array of at most working_size^2 values.
-Per iteration one vector of that size and a few numbers reach the driver; the
-images themselves never do.
+All stacks (a channel, or scene and channel) are fitted in one plan: the field
+of every stack is a row of a small table that is joined to the blocks of
+images, one aggregate per round adds up what all blocks say about their
+stacks, and the next fields follow from it in tasks. The driver sees how many
+stacks are still moving, nothing else.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,7 @@ from lumenframe.operators.image import clip_pixel, saturate, stitch
 from lumenframe.operators.relational import attach
 from lumenframe.session import cut
 
-LOCAL_VALUES = 4_000_000     # a stack up to this many values is solved inside one task
-REPLAY = 8                   # iterations between state checkpoints
+BLOCK_VALUES = 1 << 20       # pixel values of the images that are held against a field together
 
 
 def resize_tiles(tiles: DataFrame, shape: tuple[int, int], out: tuple[int, int], kind: str = "linear",
@@ -76,122 +77,122 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-class DistributedStack:
-    """A channel's sorted stack as a Spark table.
+def image_blocks(stack: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, px): images of a stack put together, so that a field meets a block and not every image."""
+    def run(batches):
+        for batch in batches:
+            groups: dict = {}
+            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
+                groups.setdefault(key, []).append(i)
+            px = batch.column("px")
+            for rows in groups.values():
+                most = max(1, BLOCK_VALUES // max(1, len(px[rows[0]])))
+                for a in range(0, len(rows), most):
+                    some = pa.array(rows[a:a + most])
+                    flat = px.take(some).flatten()
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(k).take(some[:1]) for k in keys],
+                         pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=[*keys, "px"])
+    return stack.select(*keys, "px").mapInArrow(run, _schema(stack, keys, "px array<double>"))
 
-    Updates are recorded and replayed on the fly by the next reduction; every
-    few updates the state is checkpointed, which bounds both the replay work
-    and what a lost executor costs.
-    """
 
-    FIELDS = ("d", "w", "e", "y", "row", "before")
+def _schema(df: DataFrame, keys, rest: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], rest])
+
+
+def _vector(column, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
 
-    def __init__(self, rows: DataFrame):
-        one = F.lit(1.0)
-        const = lambda v: F.transform("px", lambda _: F.lit(v))
-        self.state = cut(rows.select(F.col("px").alias("d"), const(1.0).alias("w"), const(0.0).alias("e"),
-                                     const(0.0).alias("y"), one.alias("row"), one.alias("before")))
-        self.history: list[tuple[str, dict]] = []
+def fit_fields(stack: DataFrame, side: int, settings: FlatfieldSettings, keys=("c",)) -> DataFrame:
+    """(keys, flat, dark, converged): the fields of all stacks from images (keys, px) of side x side pixels."""
+    keys, size, names = list(keys), side * side, L.sum_names(settings)
+    blocks = cut(image_blocks(stack, keys))
+    same = lambda v: F.array_repeat(F.lit(v), size)
+    fields = cut(blocks.groupBy(*keys).agg(F.min(F.array_min("px")).alias("low"))
+                 .select(*keys, "low", same(1.0).alias("flat"), same(0.0).alias("dark"), F.lit(0.0).alias("centre"), F.lit(False).alias("converged")))
 
-    @staticmethod
-    def _blocks(batches, history):
+    def say(batches):
         for batch in batches:
-            if batch.num_rows:
-                state = {n: (_matrix(batch.column(n)) if n in "dwey"
-                             else batch.column(n).to_numpy(zero_copy_only=False))
-                         for n in DistributedStack.FIELDS}
-                yield L.apply({**state, "z": 0.0}, history)
-
-    def advance(self, kind: str, p: dict) -> None:
-        self.history.append((kind, p))
-        if len(self.history) < REPLAY and kind == "step":
-            return
-        history = self.history
-
-        def run(batches):
-            for s in DistributedStack._blocks(batches, history):
-                n, size = s["d"].shape
-                offsets = pa.array(np.arange(n + 1) * size, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(s[k].ravel())) for k in "dwey"]
-                rest = [pa.array(s.get(k, s["row"])) for k in ("row", "before")]
-                yield pa.RecordBatch.from_arrays([*lists, *rest], names=list(DistributedStack.FIELDS))
-
-        arrays = ", ".join(f"{k} array<double>" for k in "dwey")
-        self.state = cut(self.state.mapInArrow(run, f"{arrays}, row double, before double"))
-        self.history = []
-
-    def sums(self, kind: str, p: dict | None = None) -> dict:
-        history, params = self.history, p or {}
-        pending_z = kind == "step" and not history
-
-        def run(batches):
-            total: dict = {}
-            for s in DistributedStack._blocks(batches, history):
-                if pending_z:  # the step itself is already in the checkpoint: recompute its residual
-                    prior = {**s, "row": s["before"]}
-                    gap = s["d"] - np.outer(L.coefficients(prior, params["mean"]), params["flat"]) - params["offset"] - s["e"]
-                    s = {**s, "z": float(np.square(gap).sum())}
-                for k, v in L.sums(kind, s, params).items():
-                    total[k] = min(total.get(k, v), v) if k == "low" else total.get(k, 0) + v
-            vec = total.pop("vec", np.zeros(0))
-            names, values = list(total), [float(v) for v in total.values()]
-            values += list(map(float, vec))
-            names += [f"#{i}" for i in range(len(vec))]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())],
-                                             names=["k", "v"])
-
-        parts = self.state.mapInArrow(run, "k string, v double")
-        merged = parts.groupBy("k").agg(F.sum("v").alias("s"), F.min("v").alias("m")).toPandas()
-        got = dict(zip(merged["k"], merged["s"]))
-        size = sum(1 for k in got if k.startswith("#"))
-        out = {k: v for k, v in got.items() if not k.startswith("#")}
-        if size:
-            out["vec"] = np.array([got[f"#{i}"] for i in range(size)])
-        for k in ("n", "k"):
-            if k in out:
-                out[k] = int(out[k])
-        if "low" in out:
-            out["low"] = float(merged.loc[merged["k"] == "low", "m"].iloc[0])
-        return out
+            at, out = np.arange(size, dtype=np.int32), []
+            for i in range(batch.num_rows):
+                out.append(L.pixel_sums(_vector(batch.column("px"), i).reshape(-1, size), _vector(batch.column("flat"), i),
+                                        _vector(batch.column("dark"), i), batch.column("centre")[i].as_py(), settings))
+            if out:
+                which = pa.array(np.repeat(np.arange(len(out)), size))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(which) for k in keys], pa.array(np.tile(at, len(out))),
+                     *[pa.array(np.concatenate([o[j] for o in out])) for j in range(len(names))]], names=[*keys, "i", *names])
+
+    def move(batches):
+        for batch in batches:
+            flats, darks, centres, still = [], [], [], []
+            for i in range(batch.num_rows):
+                sums = np.stack([_vector(batch.column(s), i) for s in names])
+                flat, dark, centre, moved = L.update(sums, _vector(batch.column("flat"), i), _vector(batch.column("dark"), i),
+                                             batch.column("low")[i].as_py(), side, settings)
+                flats.append(flat)
+                darks.append(dark)
+                centres.append(centre)
+                still.append(moved <= settings.tolerance)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], batch.column("low"), _lists(flats), _lists(darks), pa.array(centres),
+                 pa.array(still, pa.bool_())], names=[*keys, "low", "flat", "dark", "centre", "converged"])
+
+    for _ in range(settings.rounds):
+        moving = fields.filter("NOT converged")
+        met = attach(blocks, moving.select(*keys, "flat", "dark", "centre"), keys)
+        sums = met.mapInArrow(say, _schema(stack, keys, "i int, " + ", ".join(f"{s} double" for s in names)))
+        by_pixel = sums.groupBy(*keys, "i").agg(*[F.sum(s).alias(s) for s in names])
+        ordered = by_pixel.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("_p"))  # one per pixel
+        vectors = ordered.select(*keys, *[F.col(f"_p.{s}").alias(s) for s in names])
+        next_fields = moving.join(vectors, keys).mapInArrow(
+            move, _schema(stack, keys, "low double, flat array<double>, dark array<double>, centre double, converged boolean"))
+        fields = cut(fields.filter("converged").unionByName(next_fields))
+        if fields.filter("NOT converged").isEmpty():
+            break
+    return fields.drop("low", "centre")
 
 
 def estimate_flatfield(tiles: DataFrame, shape: tuple[int, int],
-                       settings: FlatfieldSettings = FlatfieldSettings(), keys=("c",),
-                       local_values: int = LOCAL_VALUES) -> DataFrame:
+                       settings: FlatfieldSettings = FlatfieldSettings(), keys=("c",)) -> DataFrame:
     """(keys, y, x, flat, dark) at tile size from tile rows (keys, px).
 
-    Every key (a channel, or scene and channel) is a stack of its own. Stacks
-    within the limit are solved one per task, all in parallel; each larger
-    one by passes over the whole table.
+    Every key (a channel, or scene and channel) is a stack of its own; a key
+    must not be null. Pixels are ranked over the images of their stack first,
+    so that what an image shows moves to the ends of the ranks.
     """
     keys, side = list(keys), settings.working_size
     small_images = cut(resize_tiles(tiles.select(*keys, "px"), shape, (side, side)))
-    sizes = small_images.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    most = max(local_values // (side * side), 0)
-    large = [{k: r[k] for k in keys} for r in sizes.filter(F.col("_n") > most).select(*keys).collect()]
-    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "y int, x int, flat double, dark double"])
+    fields = fit_fields(order_rows(small_images, keys, crowded=True), side, settings, keys)
 
-    def finish(key, flat, dark):
+    def widen(batches):
         up = lambda v: resize_stack(v.reshape(side, side), *shape, "cubic", antialias=True)
-        f, k = up(flat), up(dark)
-        y, x = np.mgrid[:shape[0], :shape[1]]
-        return pd.DataFrame({**key, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32),
-                             "flat": (f / f.mean()).ravel(), "dark": k.ravel()})
-
-    def local(pdf):
-        d = np.sort(np.stack(pdf["px"].to_list()), axis=0)
-        return finish({k: pdf[k].iloc[0] for k in keys}, *L.solve(L.Block(d), side, settings))
-
-    fits = attach(small_images, sizes.filter(F.col("_n") <= most), keys)
-    out = fits.groupBy(*keys).applyInPandas(local, schema)
-    for key in large:
-        mine = small_images
-        for k, v in key.items():
-            mine = mine.filter(F.col(k) == F.lit(v))
-        solved = L.solve(DistributedStack(order_rows(mine, keys, crowded=True)), side, settings)
-        out = out.unionByName(tiles.sparkSession.createDataFrame(finish(key, *solved), schema))
-    return out
+        for batch in batches:
+            flats = [up(_vector(batch.column("flat"), i)) for i in range(batch.num_rows)]
+            darks = [up(_vector(batch.column("dark"), i)).ravel() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], _lists([(f / f.mean()).ravel() for f in flats]), _lists(darks)],
+                names=[*keys, "flat", "dark"])
+    whole = fields.select(*keys, "flat", "dark").mapInArrow(widen, _schema(tiles, keys, "flat array<double>, dark array<double>"))
+    cells = whole.select(*keys, F.posexplode(F.arrays_zip("flat", "dark")).alias("_i", "_v"))
+    return cells.select(*keys, F.floor(F.col("_i") / shape[1]).cast("int").alias("y"), (F.col("_i") % shape[1]).cast("int").alias("x"),
+                        F.col("_v.flat").alias("flat"), F.col("_v.dark").alias("dark"))
+
+
+def field_arrays(flatfield: DataFrame) -> DataFrame:
+    """(keys, _flat, _dark): one array each per key from rows (keys, y, x, flat[, dark])."""
+    keys = [k for k in flatfield.columns if k not in ("y", "x", "flat", "dark")]
+    dark = F.col("dark") if "dark" in flatfield.columns else F.lit(0.0)
+    pixel = F.array_sort(F.collect_list(F.struct("y", "x", F.struct("flat", dark.alias("dark")).alias("f"))))
+    return flatfield.groupBy(*keys).agg(F.transform(pixel, lambda p: p["f"]["flat"]).alias("_flat"),
+                                        F.transform(pixel, lambda p: p["f"]["dark"]).alias("_dark"))
 
 
 def apply_flatfield(tile_voxels: DataFrame, flatfield: DataFrame, max_value: int) -> DataFrame:
@@ -216,10 +217,7 @@ def correct_tiles(tiles: DataFrame, flatfield: DataFrame, max_value: int | None)
     so only (key, field) rows meet the tiles, never pixels. Without ``max_value``
     saturated pixels are corrected like others."""
     keys = [k for k in flatfield.columns if k not in ("y", "x", "flat", "dark")]
-    dark = F.col("dark") if "dark" in flatfield.columns else F.lit(0.0)
-    pixel = F.array_sort(F.collect_list(F.struct("y", "x", F.struct("flat", dark.alias("dark")).alias("f"))))
-    fields = flatfield.groupBy(*keys).agg(F.transform(pixel, lambda p: p["f"]["flat"]).alias("_flat"),
-                                          F.transform(pixel, lambda p: p["f"]["dark"]).alias("_dark"))
+    fields = field_arrays(flatfield)
     plain = F.transform("px", lambda v: v.cast("double"))
     level = F.zip_with(F.zip_with("px", "_dark", lambda v, d: v - d), "_flat", lambda v, f: v / f)
     kept = level if max_value is None else F.zip_with("px", level, lambda v, w: saturate(w, v, max_value))
@@ -288,106 +286,27 @@ def interpolate_background(grid: DataFrame, wanted: DataFrame, keys=("c", "z"))
     return cells.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(fit, f"{kinds}, background double")
 
 
-def _leading_values(rows: DataFrame, n: int, size: int) -> np.ndarray:
-    """Largest singular value of each stack ``_f`` in 0..n-1 by power iteration, one aggregate a round for all."""
-    v, last, out = np.full((n, size), 1 / np.sqrt(size)), np.zeros(n), np.zeros(n)
-    open_ = np.ones(n, bool)
-
-    def run(batches, v):
-        total: dict = {}
-        for batch in batches:
-            if batch.num_rows:
-                d, f = _matrix(batch.column("px")), batch.column("_f").to_numpy(zero_copy_only=False)
-                for k in np.unique(f):
-                    mine = d[f == k]
-                    total[k] = total.get(k, 0) + mine.T @ (mine @ v[k])
-        for k, u in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k), pa.int32()), pa.array(np.arange(size), pa.int32()), pa.array(u)],
-                                             names=["f", "i", "v"])
-
-    for _ in range(200):
-        parts = rows.select("_f", "px").mapInArrow(lambda it, v=v: run(it, v), "f int, i int, v double")
-        got, u = parts.groupBy("f", "i").agg(F.sum("v").alias("v")).toPandas(), np.zeros((n, size))
-        u[got["f"], got["i"]] = got["v"]
-        norm = np.linalg.norm(u, axis=1)
-        out = np.where(open_, norm, out)
-        v = np.where(open_[:, None], u / np.where(norm == 0, 1, norm)[:, None], v)
-        open_ = open_ & (norm > 0) & (np.abs(norm - last) > 1e-10 * norm)
-        if not open_.any():
-            break
-        last = norm
-    return np.sqrt(out)
+def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], field: DataFrame, working_size: int = 128,
+                      rounds: int = 50, epsilon: float = 0.1, tolerance: float = 1e-6) -> DataFrame:
+    """(..., base, converged): background level of every tile row (keys, ..., px), given its flatfield.
 
-
-def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], flat: np.ndarray | dict, dark: np.ndarray | dict | None = None,
-                      working_size: int = 128, rounds: int = 5, max_iterations: int = 500, key: str = "c") -> DataFrame:
-    """(..., base, converged): background level of every tile row, given its flatfield.
-
-    ``flat`` and ``dark`` are arrays for tiles of one channel, or a dictionary
-    of arrays by the value of the column ``key``: every channel is then a stack
-    with its own field, step size and weight total. A tile without a field is
-    an error.
-
-    Tiles are independent once the step sizes are known, so a round is one
-    map over the rows; only the weight totals are shared between rounds.
+    ``field`` (keys, y, x, flat[, dark]) chooses by its own key columns; a tile
+    without a field is an error. A tile's level is its brightness under the
+    field, where pixels far from it hardly count; tiles do not depend on each
+    other, so this is one map over rows that a field array was joined to.
     """
     side = working_size
-    names = list(flat) if isinstance(flat, dict) else [None]
-    of = lambda given, k: given[k] if isinstance(given, dict) else given
-    small_field = lambda v: resize_stack(np.asarray(v, float), side, side).ravel()
-    fields = np.stack([small_field(of(flat, k)) for k in names])
-    offs = np.stack([np.zeros(side * side) if dark is None else small_field(of(dark, k)) for k in names])
-    if isinstance(flat, dict):
-        which = F.raise_error(F.concat(F.lit("no field for channel "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("int")
-        for i, k in enumerate(names):
-            which = F.when(F.col(key) == k, F.lit(i)).otherwise(which)
-    else:
-        which = F.lit(0)
+    keys = [k for k in field.columns if k not in ("y", "x", "flat", "dark")]
     ids = [c for c in tiles.columns if c != "px"]
-    small = cut(resize_tiles(tiles, shape, (side, side)).withColumn("_f", which))
-    lead = _leading_values(small, len(names), side * side)
-    mu0s = 12.5 / np.where(lead == 0, 1, lead)
-    state = cut(small.select(*ids, "_f", "px", F.transform("px", lambda _: F.lit(1.0)).alias("w"), F.lit(0.0).alias("base"), F.lit(False).alias("converged")))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    scale = np.ones(len(names))
-
-    def run(batches, scale):
+    small = resize_tiles(attach(tiles, field_arrays(field), keys, "left"), shape, (side, side))
+    named = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    known = F.when(F.col("_flat").isNull(), F.raise_error(F.concat(F.lit("no field for channel "), named)).cast("array<double>")).otherwise(F.col("_flat"))
+
+    def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            f = batch.column("_f").to_numpy(zero_copy_only=False)
-            field, off, mu0 = fields[f], offs[f], mu0s[f][:, None]
-            d, w = _matrix(batch.column("px")), _matrix(batch.column("w")) * scale[f][:, None]
-            # Every tile stops by its own residual, so batches do not matter.
-            coef, y = d.mean(axis=1), np.zeros_like(d)
-            a, e = np.zeros_like(d), np.zeros_like(d)
-            norm, mu = np.linalg.norm(d, axis=1), mu0
-            open_ = np.arange(len(d))
-            for _ in range(max_iterations):
-                a[open_] = coef[open_, None] * field[open_] + off[open_]
-                e[open_] = L.shrink(d[open_] - a[open_] + y[open_] / mu[open_], w[open_] / mu[open_])
-                z = d[open_] - a[open_] - e[open_]
-                y[open_] += mu[open_] * z
-                mu = np.minimum(mu * 1.5, mu0 * 1e7)
-                coef[open_] = np.maximum((d[open_] - e[open_]).mean(axis=1) - off[open_].mean(axis=1), 0.0)
-                open_ = open_[np.linalg.norm(z, axis=1) >= 1e-6 * norm[open_]]
-                if not len(open_):
-                    break
-            done = np.ones(len(d), bool)
-            done[open_] = False
-            level = a.mean(axis=1)[:, None]
-            new = 1.0 / (np.abs(e / np.where(level == 0, 1e-6, level)) + 0.1)
-            px = batch.column("px")
-            lists = pa.ListArray.from_arrays(px.offsets, pa.array(new.ravel()))
-            cols = {"w": lists, "base": pa.array(coef), "converged": pa.array(done)}
-            yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in batch.schema.names],
-                                             names=batch.schema.names)
-
-    for _ in range(rounds):
-        state = cut(state.mapInArrow(lambda it, s=scale: run(it, s), kinds))
-        totals = state.groupBy("_f").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, v: a + v)).alias("s"),
-                                         F.sum(F.size("w")).alias("n")).collect()  # one row per channel
-        scale = np.ones(len(names))
-        for t in totals:
-            scale[t["_f"]] = t["n"] / t["s"] if t["s"] else 1.0
-    return state.select(*ids, "base", "converged")
+            if batch.num_rows:
+                d = _matrix(batch.column("px"))
+                down = lambda name: resize_stack(_matrix(batch.column(name)).reshape(-1, *shape), side, side).reshape(-1, side * side)
+                level, done = L.base_levels(d, down("_flat"), down("_dark"), epsilon, rounds, tolerance)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(level), pa.array(done)], names=[*ids, "base", "converged"])
+    return small.withColumn("_flat", known).mapInArrow(run, _schema(tiles, ids, "base double, converged boolean"))

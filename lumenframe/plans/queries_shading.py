@@ -66,9 +66,8 @@ def shading_correction(spark, d):
 def base_fluorescence(spark, d):
     """Level of every tile of every channel, each channel with its own estimated field."""
     tiles = S.tiles(spark, d)
-    fields = SH.estimate_flatfield(tiles.select("c", "px"), (S.TILE, S.TILE), _FIELD).toPandas().sort_values(["c", "y", "x"])
-    of = lambda name: {int(c): f[name].to_numpy().reshape(S.TILE, S.TILE) for c, f in fields.groupby("c")}
-    return SH.base_fluorescence(tiles, (S.TILE, S.TILE), of("flat"), of("dark"), working_size=S.TILE)
+    fields = SH.estimate_flatfield(tiles.select("c", "px"), (S.TILE, S.TILE), _FIELD)
+    return SH.base_fluorescence(tiles, (S.TILE, S.TILE), fields, working_size=S.TILE)
 
 
 @query(with_ctes("img", """

@@ -47,14 +47,15 @@ def test_two_scenes_keep_their_fields(spark):
 def test_base_fluorescence_ignores_batches(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.uniform(50, 200) + rng.normal(0, 5, 64)]) for i in range(12)]
-    df = spark.createDataFrame(rows, "id int, px array<double>").coalesce(1)
+    df = spark.createDataFrame(rows, "id int, px array<double>").coalesce(1).withColumn("c", F.lit(1))
+    field = spark.range(64).select(F.lit(1).alias("c"), F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.lit(1.0).alias("flat"))
     key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", None
     before = spark.conf.get(key)
     out = []
     try:
         for n in ("1", "10000"):
             spark.conf.set(key, n)
-            out.append({r.id: (r.base, r.converged) for r in SH.base_fluorescence(df, (8, 8), np.ones((8, 8)), working_size=8, rounds=2).collect()})
+            out.append({r.id: (r.base, r.converged) for r in SH.base_fluorescence(df, (8, 8), field, working_size=8).collect()})
     finally:
         spark.conf.set(key, before)
     assert all(abs(out[0][i][0] - out[1][i][0]) < 1e-9 and out[0][i][1] for i in out[0])
