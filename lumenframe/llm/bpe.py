@@ -17,7 +17,6 @@ texts and words may have any length; bytes that are not UTF-8 count as U+FFFD.
 
 from __future__ import annotations
 
-import collections
 import functools
 import hashlib
 import json
@@ -325,22 +324,18 @@ class Codec:
             return [p for run in SPLIT_SPACE.split(low) for p in self.pattern.findall(run)]
         return (ASCII_UNITS if low.isascii() else WIDE_UNITS).findall(low)
 
-    def learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids by unit, at least of all ``units``; what is new is encoded together and remembered."""
+    def learn(self, units: set[str]) -> list[str]:
+        """Make all ``units`` known; what is new is encoded together. Returns what is too long to be remembered."""
         new = units - self.known.keys()
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = dict(self.special_ids)
             new = units - self.known.keys()
-        parts = {u: p for u in new if not (u.isascii() or u.isalpha()) and (p := self.pattern.findall(u)) != [u]}
-        pieces = {x for p in parts.values() for x in p} | (new - parts.keys())
-        found = self.encode_pieces(pieces)
+        wide = [u for u in new if not u.isascii() and not u.isalpha()]
+        parts = {u: p for u in wide if (p := self.pattern.findall(u)) != [u]}
+        self.known |= self.encode_pieces(new if not parts else (new - parts.keys()).union(*parts.values()))
         for u, p in parts.items():
-            found[u] = b"".join(map(found.__getitem__, p))
-        if any(len(u) > LONGEST_CACHED for u in found):
-            self.known |= {u: i for u, i in found.items() if len(u) <= LONGEST_CACHED}
-            return collections.ChainMap(self.known, found)
-        self.known |= found
-        return self.known
+            self.known[u] = b"".join(map(self.known.__getitem__, p))
+        return [u for u in new if len(u) > LONGEST_CACHED]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of every text, four little-endian bytes each. Texts go through in stretches of about STRETCH characters."""
@@ -348,13 +343,16 @@ class Codec:
         waiting: list[tuple[list[str], bool]] = []
 
         def flush() -> Iterator[bytes]:
-            of = self.learn(set().union(*(units for units, _ in waiting))).__getitem__
+            long = self.learn(set().union(*[units for units, _ in waiting]))
+            of = self.known.__getitem__
             for units, closing in waiting:
                 ready.append(b"".join(map(of, units)))
                 if closing:
-                    yield np.frombuffer(b"".join(ready), self.kind).astype("<u4").tobytes()
+                    yield np.frombuffer(b"".join(ready) if len(ready) > 1 else ready[0], self.kind).astype("<u4").tobytes()
                     ready.clear()
             waiting.clear()
+            for unit in long:
+                self.known.pop(unit, None)
         size = 0
         for text in texts:
             for stretch, closing in stretches(text):

@@ -1,6 +1,6 @@
-"""Contrast operators on 8-bit slices: histogram matching and tiled equalisation.
+"""Contrast operators: histogram matching, tiled and adaptive equalisation.
 
-Both are lookups: value tables are derived from histograms (256 rows per
+All are lookups: value tables are derived from histograms (256 rows per
 slice or tile) and joined back, so slices are never gathered.
 """
 
@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.relational import attach, histogram
+from lumenframe.session import cut
 
 LEVELS = 256
 
@@ -104,19 +107,8 @@ def tile_tables(voxels: DataFrame, height: int, width: int, clip: float, grid: t
     return per.select(*keys, "ty", "tx", F.transform(dense, level).alias("lut"))
 
 
-def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5,
-                   grid: tuple[int, int] = (64, 64), keys=("c", "z")) -> DataFrame:
-    """Contrast-limited adaptive equalisation of 8-bit slices; replaces ``v``.
-
-    A pixel blends the tables of the four nearest tile centres. Those four are
-    put side by side once per cell between centres, so a pixel needs one join.
-    """
-    keys = list(keys)
-    rows, cols = grid
-    ph, pw = _padding(height, width, grid)
-    th, tw = (height + ph) // rows, (width + pw) // cols
-    luts = tile_tables(voxels, height, width, clip, grid, keys)
-
+def corner_tables(luts: DataFrame, rows: int, cols: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, cy, cx, _c): the tables of the four tiles around every cell between tile centres, border tiles repeated."""
     def corner(dy, dx):
         # cells this tile serves as its (dy, dx) corner, including clamped border cells
         def cells(t, n, d):
@@ -132,7 +124,21 @@ def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5
     parts = corner(0, 0)
     for dy, dx in ((0, 1), (1, 0), (1, 1)):
         parts = parts.unionByName(corner(dy, dx))
-    cells = parts.groupBy(*keys, "cy", "cx").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    return parts.groupBy(*keys, "cy", "cx").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+
+
+def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5,
+                   grid: tuple[int, int] = (64, 64), keys=("c", "z")) -> DataFrame:
+    """Contrast-limited adaptive equalisation of 8-bit slices; replaces ``v``.
+
+    A pixel blends the tables of the four nearest tile centres. Those four are
+    put side by side once per cell between centres, so a pixel needs one join.
+    """
+    keys = list(keys)
+    rows, cols = grid
+    ph, pw = _padding(height, width, grid)
+    th, tw = (height + ph) // rows, (width + pw) // cols
+    cells = corner_tables(tile_tables(voxels, height, width, clip, grid, keys), rows, cols, keys)
 
     fy, fx = F.col("y") / F.lit(float(th)) - 0.5, F.col("x") / F.lit(float(tw)) - 0.5
     placed = voxels.withColumns({"cy": F.floor(fy).cast("int"), "cx": F.floor(fx).cast("int")}).withColumns({
@@ -143,3 +149,95 @@ def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5
     blend = F.rint(top * (1 - F.col("_ya")) + low * F.col("_ya")).cast("int")
     return (placed.join(cells, [*keys, "cy", "cx"])
             .select(*[blend.alias("v") if c == "v" else c for c in voxels.columns]))
+
+
+# ------------------------------------------------- adaptive equalisation, 16 bit
+FINE, BINS = 1 << 14, 256      # gray levels, and bins of their histograms
+BIN = 1 + FINE // BINS
+
+
+def limited(hist: np.ndarray, limit: int) -> np.ndarray:
+    """A histogram cut at ``limit``, its surplus dealt back.
+
+    Every bin gets an equal share first, bins that would pass the limit are
+    filled up to it. What is left goes out one by one to bins below the limit,
+    evenly strided, starting one bin later each time, until it is used up or
+    no bin can take any.
+    """
+    surplus = int(np.maximum(hist - limit, 0).sum())
+    cut_off = np.minimum(hist, limit)
+    share = surplus // len(hist)
+    filled = np.where(cut_off < limit - share, cut_off + share, limit)
+    left = surplus - int((filled - cut_off).sum())
+    while left > 0:
+        before = left
+        for first in range(len(hist)):
+            open_ = filled < limit
+            stride = max(1, int(open_.sum()) // left)
+            takes = np.flatnonzero(open_[first::stride]) * stride + first
+            filled[takes] += 1
+            left -= len(takes)
+            if left <= 0:
+                break
+        if left == before:
+            break
+    return filled
+
+
+def _level_tables(batches, limit: int, area: int, names: list[str]):
+    """Tables of tiles from the counts of their bins."""
+    for batch in batches:
+        tables = []
+        for bins, counts in zip(batch.column("bins").to_pylist(), batch.column("counts").to_pylist()):
+            hist = np.zeros(BINS, np.int64)
+            hist[bins] = counts
+            total = np.cumsum(limited(hist, limit)) * ((FINE - 1) / area)
+            tables.append(np.minimum(total, FINE - 1).astype(np.int32))
+        flat = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        lut = pa.ListArray.from_arrays(pa.array(np.arange(len(tables) + 1) * BINS, pa.int32()), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lut], names=[*names, "lut"])
+
+
+def equalize_adaptive(voxels: DataFrame, height: int, width: int, max_value: int, clip_limit: float = 0.01,
+                      kernel: tuple[int, int] | None = None, keys=("c", "z")) -> DataFrame:
+    """Contrast-limited adaptive equalisation of whole images (keys) of integer pixels; replaces ``v``.
+
+    Values are stretched to 16,384 levels and counted in 256 bins per tile. A
+    tile has an eighth of the image a side unless ``kernel`` says otherwise;
+    the image is mirrored at its end to fill the last one. ``clip_limit`` is
+    the share of a tile's pixels that one bin may hold (0: no limit). A pixel
+    blends the tables of the four nearest tiles, then the image is stretched to
+    0 .. max_value. An image of one value stays as it is.
+    """
+    keys = list(keys)
+    kh, kw = kernel or (max(height // 8, 1), max(width // 8, 1))
+    ph, pw = -height % kh, -width % kw
+    rows, cols, area = (height + ph) // kh, (width + pw) // kw, kh * kw
+    limit = max(int(clip_limit * area), 1) if clip_limit > 0 else area
+    ends = lambda df, v: df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    spread = F.col("_high") - F.col("_low")
+    fine = F.rint((F.col("v") - F.col("_low")) / spread * F.lit(float(FINE - 1)))
+    bins = F.when(spread > 0, F.floor(fine / BIN)).otherwise(0).cast("int")
+    binned = attach(voxels, ends(voxels, "v"), keys).withColumns({"_flat": spread == 0, "_bin": bins})
+    counts = (binned.withColumn("_y", _reflected(F.col("y"), height, ph)).withColumn("_x", _reflected(F.col("x"), width, pw))
+              .groupBy(*keys, F.floor(F.col("_y") / kh).cast("int").alias("ty"), F.floor(F.col("_x") / kw).cast("int").alias("tx"), "_bin")
+              .agg(F.count(F.lit(1)).alias("n")))
+    tile = [*keys, "ty", "tx"]
+    per = counts.groupBy(*tile).agg(F.collect_list("_bin").alias("bins"), F.collect_list("n").alias("counts"))  # at most BINS
+    kinds = {f.name: f.dataType.simpleString() for f in per.schema}
+    luts = per.mapInArrow(lambda it: _level_tables(it, limit, area, tile), ", ".join([*[f"{k} {kinds[k]}" for k in tile], "lut array<int>"]))
+    cells = corner_tables(luts, rows, cols, keys)
+
+    # A cell reaches from one tile's centre to the next; centres of even tiles lie on the later pixel.
+    at_y, at_x = F.col("y") + kh // 2, F.col("x") + kw // 2
+    placed = binned.withColumns({"cy": (F.floor(at_y / kh) - 1).cast("int"), "cx": (F.floor(at_x / kw) - 1).cast("int"),
+                                 "_fy": (at_y % kh) / F.lit(float(kh)), "_fx": (at_x % kw) / F.lit(float(kw))})
+    level = lambda k: F.get(F.get("_c", F.lit(k))["lut"], F.col("_bin")).cast("double")
+    top = level(0) * (1 - F.col("_fx")) + level(1) * F.col("_fx")
+    low = level(2) * (1 - F.col("_fx")) + level(3) * F.col("_fx")
+    # The blend is cut to an integer; sums of products may lie a little below one.
+    blend = F.floor(top * (1 - F.col("_fy")) + low * F.col("_fy") + 1e-6)
+    mixed = cut(placed.join(cells, [*keys, "cy", "cx"]).withColumn("_e", blend).select(*voxels.columns, "_flat", "_e"))
+    out = F.floor((F.col("_e") - F.col("_low")) / F.when(spread == 0, 1).otherwise(spread) * max_value + 1e-6)
+    value = F.when(F.col("_flat"), F.col("v")).otherwise(out).cast("int")
+    return attach(mixed, ends(mixed, "_e"), keys).select(*[value.alias("v") if c == "v" else c for c in voxels.columns])

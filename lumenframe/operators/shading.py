@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import lowrank as L
-from lumenframe.functions.resample import resize_stack
+from lumenframe.functions.resample import resize_matrix, resize_stack
 from lumenframe.model import FlatfieldSettings
 from lumenframe.operators.image import clip_pixel, saturate, stitch
 from lumenframe.operators.relational import attach
@@ -43,6 +43,36 @@ def resize_tiles(tiles: DataFrame, shape: tuple[int, int], out: tuple[int, int],
     return tiles.mapInArrow(run, schema)
 
 
+def decimate_tiles(tiles: DataFrame, shape: tuple[int, int], ratio: int) -> DataFrame:
+    """Block means of ``ratio`` x ``ratio`` pixels in every tile row, as tiles are read; the last blocks may be smaller."""
+    def run(batches):
+        for batch in batches:
+            i = batch.schema.get_field_index("px")
+            stack = _matrix(batch.column(i)).astype(float).reshape(-1, *shape)
+            for axis in (1, 2):
+                at = np.arange(0, shape[axis - 1], ratio)
+                size = np.diff(np.append(at, shape[axis - 1]))
+                stack = np.add.reduceat(stack, at, axis=axis) / (size[:, None] if axis == 1 else size)
+            px = _lists(list(stack.reshape(len(stack), -1)))
+            yield pa.RecordBatch.from_arrays(
+                [px if k == i else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
+    rest = [c for c in tiles.columns if c != "px"]
+    return tiles.select(*rest, "px").mapInArrow(run, _schema(tiles, rest, "px array<double>"))
+
+
+def resize_field(field: DataFrame, small: tuple[int, int], shape: tuple[int, int], a: float = -0.75) -> DataFrame:
+    """A field (keys, y, x, flat) of size ``small`` at size ``shape`` by cubic convolution, as a join with its weights."""
+    keys = [k for k in field.columns if k not in ("y", "x", "flat", "dark")]
+    out = field.select(*keys, "y", "x", "flat")
+    for axis, n, m in (("y", small[0], shape[0]), ("x", small[1], shape[1])):
+        w = resize_matrix(n, m, "cubic", False, a)
+        weight = field.sparkSession.createDataFrame([(i, o, float(w[o, i])) for o in range(m) for i in range(n) if w[o, i]], "_i int, _o int, _w double")
+        other = "x" if axis == "y" else "y"
+        out = (out.join(F.broadcast(weight), F.col(axis) == F.col("_i")).groupBy(*keys, other, F.col("_o").alias("_to"))
+               .agg(F.sum(F.col("flat") * F.col("_w")).alias("flat")).withColumnRenamed("_to", axis))
+    return out.select(*keys, "y", "x", "flat")
+
+
 def order_rows(stack: DataFrame, keys=("c",), crowded: bool = False) -> DataFrame:
     """(keys, r, px): row r holds every pixel's r-th smallest value over the images.
 
@@ -280,10 +310,11 @@ def interpolate_background(grid: DataFrame, wanted: DataFrame, keys=("c", "z"))
             out["background"] = 0.0
         return out
 
-    known = grid.filter("background <> 0")
+    # Names of its own: both sides may come from the same tiles.
+    known = grid.filter("background <> 0").select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(c) for c in ("gy", "gx", "background")])
     cells = wanted.select(*keys, "gy", "gx").distinct()
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
-    return cells.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(fit, f"{kinds}, background double")
+    return cells.groupBy(*keys).cogroup(known.groupBy(*[f"_{k}" for k in keys])).applyInPandas(fit, f"{kinds}, background double")
 
 
 def base_fluorescence(tiles: DataFrame, shape: tuple[int, int], field: DataFrame, working_size: int = 128,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenframe.model import FlatfieldSettings
 from lumenframe.operators import chromatic as CH
 from lumenframe.operators import detection as DT
+from lumenframe.operators import enhance as EN
 from lumenframe.operators import image as I
 from lumenframe.operators import masks as M
 from lumenframe.operators import shading as SH
@@ -155,6 +156,93 @@ def full_correction_base(spark, d):
     return _full(spark, d, "base", base=base)
 
 
+# --------------------------------------------- adaptive equalisation, entry flow
+def _adaptive(source: str, size: int, k: int, limit: int, top: int = 65535) -> dict[str, str]:
+    """CTEs that equalise images (c, z, y, x, v) of ``source``; the last one is ``eq``. Tiles are k x k."""
+    pad, n = -size % k, -(-size // k)
+    mirror = lambda p: (f"CASE j WHEN 0 THEN {p} ELSE CASE WHEN {p} < {size - 1} AND {2 * (size - 1)} - {p} < {size + pad} "
+                        f"THEN {2 * (size - 1)} - {p} END END")
+    near = "greatest(0, least({n}, (p{a} // {k}) - 1 + {d}))"
+    lut = lambda dy, dx: (f"(SELECT lut FROM eq_lut t WHERE t.c = p.c AND t.z = p.z AND t.ty = {near.format(n=n - 1, a='y', k=k, d=dy)} "
+                          f"AND t.tx = {near.format(n=n - 1, a='x', k=k, d=dx)})[bin + 1]::DOUBLE")
+    return {
+        "eq_ends": f"SELECT c, z, min(v) lo, max(v) hi FROM {source} GROUP BY c, z",
+        "eq_bin": f"""SELECT c, z, y, x, v, lo = hi flat, CAST(CASE WHEN hi > lo THEN CAST(round_even((v - lo)::DOUBLE / (hi - lo) * 16383.0::DOUBLE, 0) AS BIGINT) // 65 ELSE 0 END AS INT) bin
+                      FROM {source} JOIN eq_ends USING (c, z)""",
+        "eq_pad": f"""SELECT c, z, bin, yy // {k} ty, xx // {k} tx FROM (SELECT c, z, x, bin, {mirror('y')} yy FROM eq_bin, range(0, 2) r(j)) a,
+                      LATERAL (SELECT {mirror('x')} xx FROM range(0, 2) r(j)) b WHERE yy IS NOT NULL AND xx IS NOT NULL""",
+        "eq_hist": """SELECT c, z, ty, tx, list_transform(range(0, 256), lambda b: coalesce(map_extract(m, b)[1], 0)) h
+                      FROM (SELECT c, z, ty, tx, map(list(bin), list(n)) m FROM (
+                            SELECT c, z, ty, tx, bin::BIGINT bin, count(*) n FROM eq_pad GROUP BY ALL) GROUP BY ALL)""",
+        "eq_cut": f"""SELECT c, z, ty, tx, list_transform(h, lambda a: least(a, {limit})) h,
+                             CAST(list_sum(list_transform(h, lambda a: greatest(a - {limit}, 0))) AS BIGINT) s FROM eq_hist""",
+        "eq_share": f"""SELECT c, z, ty, tx, list_transform(h, lambda a: CASE WHEN a < {limit} - s // 256 THEN a + s // 256 ELSE {limit} END) f, h, s FROM eq_cut""",
+        "eq_deal": f"""SELECT c, z, ty, tx, f, CAST(s - (list_sum(f) - list_sum(h)) AS BIGINT) rest, 0 i FROM eq_share
+                       UNION ALL
+                       SELECT c, z, ty, tx, g, CAST(rest - (list_sum(g) - list_sum(f)) AS BIGINT), i + 1 FROM (
+                         SELECT *, list_transform(f, lambda a, b: CASE WHEN b - 1 >= i % 256 AND (b - 1 - i % 256) % step = 0 AND a < {limit} THEN a + 1 ELSE a END) g
+                         FROM (SELECT *, greatest(1, len(list_filter(f, lambda a: a < {limit})) // rest) step FROM eq_deal WHERE rest > 0))""",
+        "eq_lut": f"""SELECT c, z, ty, tx, list_transform(range(1, 257), lambda b: CAST(trunc(least(16383, list_sum(f[1:b]) * (16383.0::DOUBLE / {k * k}))) AS INT)) lut
+                      FROM eq_deal WHERE rest <= 0""",
+        "eq_mix": f"""SELECT c, z, y, x, v, flat, floor(({lut(0, 0)} * (1 - fx) + {lut(0, 1)} * fx) * (1 - fy) + ({lut(1, 0)} * (1 - fx) + {lut(1, 1)} * fx) * fy + 1e-6) e
+                      FROM (SELECT *, y + {k // 2} py, x + {k // 2} px, ((y + {k // 2}) % {k}) / {k}::DOUBLE fy, ((x + {k // 2}) % {k}) / {k}::DOUBLE fx FROM eq_bin) p""",
+        "eq": f"""SELECT c, z, y, x, CAST(CASE WHEN flat THEN v ELSE floor((e - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * {top} + 1e-6) END AS INT) v
+                  FROM eq_mix JOIN (SELECT c, z, min(e) lo, max(e) hi FROM eq_mix GROUP BY c, z) USING (c, z)""",
+    }
+
+
+@query(with_ctes("img", "SELECT c, z, y, x, v FROM eq", _adaptive("img", 16, 8, 3), recursive=True))
+def adaptive_equalize(spark, d):
+    """Every slice by tiles of 8 x 8 pixels, three of which may share a bin."""
+    return EN.equalize_adaptive(S.voxels(spark, d).select("c", "z", "y", "x", "v"), S.PLANE, S.PLANE, 65535, 0.05, (8, 8))
+
+
+_CLIPPED = """SELECT c, z, y, x, CAST(trunc(greatest(0, least(65535, avg(v - CASE WHEN k IS NULL THEN coalesce(background, 0) ELSE 0 END)))) AS INT) v
+              FROM m LEFT JOIN b USING (c, z, ty, tx) GROUP BY c, z, y, x"""
+_NORMAL = {**_FULL, "clipped": _CLIPPED, "chosen": "SELECT * FROM clipped WHERE c IN (3, 5)", **_adaptive("chosen", 14, 5, 2)}
+
+
+@query(with_ctes("img", """
+    SELECT c, z, y, x, CASE WHEN c <> 3 THEN v WHEN v = 0 THEN 0 ELSE 65535 - v END v
+    FROM (SELECT * FROM eq UNION ALL SELECT c, z, y, x, v FROM clipped WHERE c NOT IN (3, 5))""", _NORMAL, recursive=True))
+def full_correction_normalized(spark, d):
+    """The full correction with the intensities of an inverted and of a plain channel equalised."""
+    return _full(spark, d, "annotation", normalize=[3, 5], clip_limit=0.1, kernel=(5, 5), shape=(14, 14))
+
+
+@query()
+def full_correction_interpolated(spark, d):
+    """The full correction with the background interpolated over the grid of tiles; a solve per grid, so no SQL."""
+    return _full(spark, d, "annotation_interpolate")
+
+
+_ENTRY_W = """CASE WHEN t <= 1 THEN 1.25::DOUBLE * t * t * t - 2.25::DOUBLE * t * t + 1
+              WHEN t < 2 THEN -0.75::DOUBLE * (t * t * t - 5 * t * t + 8 * t - 4) ELSE 0 END"""
+_ENTRY = {
+    "w": f"""SELECT i, o, {_ENTRY_W} w FROM (SELECT i, o, abs((o + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5 - i) t FROM range(0, 4) a(i), range(0, 8) b(o))""",
+    "wn": "SELECT i, o, w / sum(w) OVER (PARTITION BY o) w FROM w",
+    "field": """SELECT a.o ly, b.o lx, sum((0.731::DOUBLE + 0.0917::DOUBLE * a.i + 0.0531::DOUBLE * b.i) * a.w * b.w) flat FROM wn a, wn b GROUP BY a.o, b.o""",
+}
+
+
+@query(with_ctes("img", """
+    SELECT c, z, CAST(ty * 6 + ly AS INT) y, CAST(tx * 6 + lx AS INT) x,
+           CAST(trunc(greatest(0, least(65535, avg(CASE WHEN c = 3 OR v = 65535 THEN v::DOUBLE ELSE v / flat END)))) AS INT) v
+    FROM img JOIN field USING (ly, lx) GROUP BY c, z, ty * 6 + ly, tx * 6 + lx""", _ENTRY))
+def entry_correction(spark, d):
+    """The entry flow with a given field of half the tile's size, channel 3 left alone."""
+    cells = spark.range(16).select(F.explode(F.array(*[F.lit(c) for c in (1, 2, 4, 5)])).alias("c"), F.floor(F.col("id") / 4).cast("int").alias("y"),
+                                   (F.col("id") % 4).cast("int").alias("x"))
+    field = cells.withColumn("flat", 0.731 + 0.0917 * F.col("y") + 0.0531 * F.col("x"))
+    return SP.entry_correction(S.tiles(spark, d), (S.TILE, S.TILE), 6, 65535, channels=[1, 2, 4, 5], ratio=2, field=field)
+
+
+@query()
+def entry_flow(spark, d):
+    """The entry flow with the field fitted to decimated tiles; the fit is iterative, so no SQL."""
+    return SP.entry_correction(S.tiles(spark, d), (S.TILE, S.TILE), 6, 65535, channels=[1, 2, 4, 5], ratio=2)
+
+
 # ------------------------------------------------------------------- resampling
 def _lin(axis, step, stretch):
     return f"greatest(0, 1 - abs(((o + 0.5::DOUBLE) * {step} - 0.5 - {axis}) / {stretch}))"
