@@ -6,22 +6,25 @@ frequent; the method finds all of them with their exact counts:
 
 1. A sample of the documents proposes phrases, with a lowered threshold.
 2. One pass over all documents counts the proposed phrases and their negative
-   border exactly. The border is every phrase whose first and last part (one
-   word shorter) are both proposed; for single words it is every word.
+   border. The border is every phrase whose first and last part (one word
+   shorter) are both proposed; for single words it is every word.
 3. A border phrase that turns out frequent was not proposed, so longer phrases
    around it were never counted. Such failures trigger a further pass, which
-   counts what they open up, until no pass finds one.
+   counts what they open up, and what that opens up in turn; it closes the set.
+4. The passes add up numbers by 64-bit hashes of phrases. A number by hash is
+   never below a phrase's own, so no frequent phrase is lost; those that reach
+   ``least`` are then counted phrase by phrase in a last pass.
 
-What is proposed travels as a bitmap of fixed size, however many phrases there
-are. A bit that two phrases share lets more phrases be counted, never fewer,
-so results do not depend on it; neither do they depend on the sample, which
-only decides how many passes there are.
+What is proposed or chosen travels as a bitmap of fixed size, however many
+phrases there are. A bit that two phrases share lets more phrases be counted,
+never fewer, so results do not depend on it; neither do they depend on the
+sample, which only decides whether the further pass is needed.
 
 A pass numbers the words of a block of text and builds the hashes of k words
 from neighbours of k-1 words, all in numpy; phrases of one hash are compared
 word by word before they are counted together. A block has a bounded number of
 words (a longer text goes through in several, overlapping by LONGEST - 1
-words). Blocks send one row per distinct phrase to a shuffle that
+words). Blocks send one row per distinct hash or phrase to a shuffle that
 adds them up, so a phrase that is everywhere is one row per block.
 
 Score: cutting a phrase in two gives floor(SCALE * a * n / (l * r)), and its
@@ -116,8 +119,10 @@ def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None,
     """(size, columns of words, count, hash) of the distinct phrases that start in a block.
 
     ``hashes`` has a number per word. With a bitmap, phrases of two words on
-    need both their parts counted and in it; with ``before``, phrases that
-    were counted under that one are left out.
+    need both their parts counted and in it. With ``before``, phrases that were
+    counted under that one are left out, and those that are new count as parts
+    as well, whatever their number turns out to be: nothing is left for a
+    further pass.
     """
     own = len(ids) - LONGEST + 1
     value, counted_now = hashes[ids], ids > 0
@@ -127,8 +132,12 @@ def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None,
             # Neighbours that share all but their ends make the longer phrase.
             counted_now, counted_then = inside[:-1] & inside[1:], then[:-1] & then[1:]
             value = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
+        fresh = counted_now if before is None else counted_now & ~counted_then
         inside = counted_now if bitmap is None else counted_now & known(bitmap, value)
-        then = counted_then & known(before, value) if before is not None else inside
+        then = inside
+        if before is not None:
+            inside |= fresh
+            then = counted_then & known(before, value)
         if size == 1:
             if before is None:
                 n = np.bincount(ids[:own], minlength=1)
@@ -136,7 +145,7 @@ def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None,
                 if len(words):
                     yield size, [words], n[words], hashes[words]
             continue
-        chosen = np.flatnonzero((counted_now if before is None else counted_now & ~counted_then)[:own])
+        chosen = np.flatnonzero(fresh[:own])
         if len(chosen):
             place, n = groups(ids, size, value, chosen)
             yield size, [ids[place + i] for i in range(size)], n, value[place]
@@ -152,13 +161,16 @@ def blocks(texts: Sequence[bytes], lang: str) -> Iterator[tuple[np.ndarray, np.n
         yield ids, hashes, vocabulary.words
 
 
-def counts(texts: Sequence[bytes], lang: str, bitmap=None, before=None) -> Iterator[tuple]:
-    """(sizes, phrases, numbers) of the phrases of texts in one language; size 0 is the number of words."""
+def counts(texts: Sequence[bytes], lang: str, bitmap=None) -> Iterator[tuple]:
+    """(sizes, phrases, numbers) of the phrases of texts in one language that are in the bitmap; size 0 is the number of words."""
     for ids, hashes, words in blocks(texts, lang):
-        if before is None:
-            yield [0], [b""], [(ids[:len(ids) - LONGEST + 1] > 0).sum()]
-        for size, columns, n, _ in count_block(ids, hashes, bitmap, before):
-            yield [size] * len(n), list(map(b" ".join, zip(*[map(words.__getitem__, c.tolist()) for c in columns]))), n
+        yield [0], [b""], [(ids[:len(ids) - LONGEST + 1] > 0).sum()]
+        for size, columns, n, value in count_block(ids, hashes, bitmap, None):
+            if bitmap is not None:
+                own = known(bitmap, value)
+                columns, n = [c[own] for c in columns], n[own]
+            if len(n):
+                yield [size] * len(n), list(map(b" ".join, zip(*[map(words.__getitem__, c.tolist()) for c in columns]))), n
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -176,42 +188,35 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
         yield from waiting.items()
 
 
-def proposals(docs: DataFrame, enough: int) -> DataFrame:
-    """(bits): hashes of phrases of up to LONGEST - 1 words that occur often enough in the sample ``docs`` (lang, text)."""
+def hash_counts(docs: DataFrame, bitmap=None, before=None, longest: int = LONGEST) -> DataFrame:
+    """(bits, n): how often phrases of one hash occur, of those that the bitmaps choose. ``docs``: lang, text (binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, then = opened(bitmap), opened(before)
         for lang, texts in by_language(batches):
             for ids, hashes, _ in blocks(texts, lang):
-                for _, _, n, value in count_block(ids, hashes, None, None, LONGEST - 1):
+                for _, _, n, value in count_block(ids, hashes, now, then, longest):
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["bits", "n"])
-    rows = docs.select("lang", "text").mapInArrow(run, "bits long, n long")
-    return rows.groupBy("bits").agg(F.sum("n").alias("n")).filter(F.col("n") >= enough).select("bits")
+    return docs.select("lang", "text").mapInArrow(run, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n"))
 
 
-def counted(docs: DataFrame, bitmap, before=None) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the phrases that the bitmaps choose. ``docs``: lang, text (binary)."""
+def phrase_counts(docs: DataFrame, bitmap) -> DataFrame:
+    """(lang, size, phrase, n): exact counts of the phrases whose hashes are in the bitmap, and of all words (size 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, then = (b and np.frombuffer(zlib.decompress(b.value), np.uint8) for b in (bitmap, before))
+        now = opened(bitmap)
         for lang, texts in by_language(batches):
-            for size, phrase, n in counts(texts, lang, now, then):
+            for size, phrase, n in counts(texts, lang, now):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase)), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()),
                                                   pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
     rows = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase binary, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def hashed(phrases: DataFrame) -> DataFrame:
-    """(bits) of phrases (lang, size, phrase), as ``count_block`` makes them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = []
-            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist()):
-                seed = xxhash.xxh64_intdigest(lang.encode())
-                value = np.array([xxhash.xxh64_intdigest(w, seed) for w in phrase.split(b" ")], np.uint64)
-                for size in range(2, len(value) + 1):
-                    value = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
-                bits.append(value[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(bits, np.uint64).view(np.int64))], ["bits"])
-    return phrases.select("lang", "phrase").mapInArrow(run, "bits long")
+def sent(spark: SparkSession, bitmap: bytes):
+    return spark.sparkContext.broadcast(zlib.compress(bitmap, 1))
+
+
+def opened(bitmap) -> np.ndarray | None:
+    return bitmap and np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
 
 
 def bitmap_of(phrases: DataFrame, base: bytes = b"") -> bytes:
@@ -230,19 +235,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
                        F.pmod(F.xxhash64("doc_id", text_key()), F.lit(sample)).alias("_part"))
-    enough = max(2, int(least / sample * CAUTION))
-    bitmap, before, found = bitmap_of(proposals(rows.filter("_part = 0"), enough)), None, None
-    while True:
-        now, then = sc.broadcast(zlib.compress(bitmap, 1)), before and sc.broadcast(zlib.compress(before, 1))
-        passed = cut(counted(rows, now, then).filter((F.col("n") >= least) | (F.col("size") == 0)))
-        for done in filter(None, (now, then)):
-            done.destroy()   # the pass is materialised, nothing reads its bitmaps again
-        found = passed if found is None else found.unionByName(passed)
+    spark, enough = docs.sparkSession, max(2, int(least / sample * CAUTION))
+    # Passes are materialised before their bitmaps are dropped.
+    bitmap = bitmap_of(hash_counts(rows.filter("_part = 0"), longest=LONGEST - 1).filter(F.col("n") >= enough))
+    now = sent(spark, bitmap)
+    hot = cut(hash_counts(rows, now).filter(F.col("n") >= least))
+    wider = bitmap_of(hot, bitmap)
+    if wider != bitmap:
         # Frequent phrases that were not proposed open up longer ones.
-        wider = bitmap_of(hashed(passed.filter(F.col("size").between(1, LONGEST - 1))), bitmap)
-        if wider == bitmap:
-            return found.select("lang", "size", "phrase", "n")
-        bitmap, before = wider, bitmap
+        wide = sent(spark, wider)
+        hot = hot.unionByName(cut(hash_counts(rows, wide, now).filter(F.col("n") >= least)))
+        wide.destroy()
+    now.destroy()
+    # Hashes only choose: what they chose is counted phrase by phrase.
+    chosen = sent(spark, bitmap_of(hot))
+    found = cut(phrase_counts(rows, chosen).filter((F.col("n") >= least) | (F.col("size") == 0)))
+    chosen.destroy()
+    return found
 
 
 def _part(words: Column, start: int | Column, length: int | Column) -> Column:
