@@ -75,17 +75,26 @@ def _running(lengths: Column) -> Column:
     return let(lengths, lambda v: let(blocks(v), of))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of a pattern's matches, leftmost first."""
+def matches(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start, end, match[, before]>> of a pattern's matches, leftmost first.
+
+    ``before``: up to ``context`` characters in front of a match, back to the
+    beginning of the match before it.
+    """
     def place(found: Column) -> Column:
-        # The pieces between the matches give their places.
+        # The pieces between the matches give their places and what is before them.
         between = F.split(text, pattern, -1)
+        gaps, earlier = F.slice(between, F.lit(1), F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.size(found) - 1))
         # gap, match, gap, match ... : a start is what comes before, so sum gap and earlier match together
-        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.size(found) - 1)),
-                           lambda gap, before: (F.char_length(gap) + F.char_length(before)).cast("long"))
-        return let(steps, lambda v: F.zip_with(F.zip_with(_running(v), v, lambda a, b: a + b), found, lambda s, m: F.struct(
+        steps = F.zip_with(gaps, earlier, lambda gap, before: (F.char_length(gap) + F.char_length(before)).cast("long"))
+        placed = let(steps, lambda v: F.zip_with(F.zip_with(_running(v), v, lambda a, b: a + b), found, lambda s, m: F.struct(
             s.alias("start"), (s + F.char_length(m)).alias("end"), m.alias("match"))))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+        if not context:
+            return placed
+        front = F.zip_with(gaps, earlier, lambda gap, before: F.right(F.concat(before, gap), F.lit(context)))
+        return F.zip_with(placed, front, lambda x, f: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), f.alias("before")))
+    extra = ",before:string" if context else ""
+    none = F.array().cast(f"array<struct<start:bigint,end:bigint,match:string{extra}>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(place(m)))
 
 
@@ -127,7 +136,7 @@ def candidates(text: Column) -> Column:
         count = lambda drop: F.char_length(F.regexp_replace(m, drop, ""))
         n = F.char_length(digits(m))
         groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
-        before = F.substring(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CONTEXT)).cast("int"))
+        before = x["before"]
         quad = m.rlike("^[0-9]++(?:\\.[0-9]++){3}$")
         # Forms that the base checks judge: if no base span covers such a candidate, it failed.
         checked = F.lit(False) if generator else quad | m.startswith("+") | (n.between(14, 19) & m.rlike("^[0-9](?:[\\x20-]?[0-9])++$"))
@@ -141,14 +150,40 @@ def candidates(text: Column) -> Column:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), checked.alias("checked"),
                         *[value[f].cast("int").alias(f) for f in FEATURES])
     def of(generator: int, pattern: str) -> Column:
-        return F.transform(matches(text, pattern), lambda x: describe(x, generator))
+        return F.transform(matches(text, pattern, CONTEXT), lambda x: describe(x, generator))
     return F.concat(*[of(g, p) for g, p in enumerate(CANDIDATES.values())])
 
 
+def lanes(spans: Column, by: str, count: int) -> Column:
+    """Spans dealt by a number: in a lane they are in order and do not overlap, so a place is found by halving."""
+    return F.array(*[F.filter(spans, lambda s, k=k: s[by] == k) for k in range(count)])
+
+
+def last_before(lane: Column, x: Column) -> Column:
+    """The last span of a lane that starts before ``x``; null if none does."""
+    powers = F.filter(F.array(*[F.lit(1 << p) for p in reversed(range(28))]), lambda p: p <= F.size(lane))
+    count = F.aggregate(powers, F.lit(0), lambda n, p: F.when(F.get(lane, n + p - 1)["start"] < x, n + p).otherwise(n))
+    return F.get(lane, count - 1)
+
+
+def in_any(lanes_: Column, which: range, test) -> Column:
+    """Does ``test`` (of a lane) hold for one of the lanes?"""
+    out = F.lit(False)
+    for k in which:
+        out = out | F.coalesce(test(F.get(lanes_, F.lit(k))), F.lit(False))
+    return out
+
+
 def covered(c: Column, base: Column) -> Column:
-    """Does a base span cover most of the candidate?"""
+    """Does one span of the base lanes cover most of the candidate? It must then hold the candidate's middle."""
+    middle = c["start"] + F.floor((c["end"] - c["start"] - 1) / 2)
     shared = lambda b: F.least(b["end"], c["end"]) - F.greatest(b["start"], c["start"])
-    return F.exists(base, lambda b: shared(b) * 2 > c["end"] - c["start"])
+    return in_any(base, range(len(KINDS)), lambda lane: let(last_before(lane, middle + 1), lambda b: shared(b) * 2 > c["end"] - c["start"]))
+
+
+def touches(c: Column, lane: Column) -> Column:
+    """Does a span of the lane overlap the candidate?"""
+    return last_before(lane, c["end"])["end"] > c["start"]
 
 
 @dataclass
@@ -173,9 +208,10 @@ def fit(df: DataFrame, text: str = "text") -> Selector | None:
     """Selector trained on the candidates of ``df``; None if they have one class only."""
     raw = F.coalesce(F.col(text), F.lit(""))
     seen = df.select(raw.alias("_t")).select("_t", candidates(F.col("_t")).alias("_c")).filter(F.size("_c") > 0)
-    seen = seen.select(F.xxhash64("_t").bitwiseAND(1).alias("half"), text_key("_t").alias("_k"), "_c", base_spans(F.col("_t")).alias("_b"))
-    labelled = seen.select("half", "_k", F.transform("_c", lambda c: F.struct(
-        *[c[f].alias(f) for f in FEATURES], c["checked"].alias("checked"), covered(c, F.col("_b")).cast("double").alias("label"))).alias("_x"))
+    seen = seen.select(F.xxhash64("_t").bitwiseAND(1).alias("half"), text_key("_t").alias("_k"), "_c", "_t")
+    # Bound once: a candidate must not find the base spans of its text anew.
+    labelled = seen.select("half", "_k", let(lanes(base_spans(F.col("_t")), "kind", len(KINDS)), lambda b: F.transform("_c", lambda c: F.struct(
+        *[c[f].alias(f) for f in FEATURES], c["checked"].alias("checked"), covered(c, b).cast("double").alias("label")))).alias("_x"))
     rows = labelled.dropDuplicates(["_k"]).select("half", F.explode("_x").alias("x"))
     counts = rows.select("half", "x.*").groupBy("half", "label", "checked", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n"))
     alike = F.max("label").over(Window.partitionBy(*FEATURES)) > 0
@@ -210,12 +246,15 @@ def find(df: DataFrame, selector: Selector | None, text: str = "text") -> DataFr
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     if selector is None:
         return out.withColumn("added", none)
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    new = F.filter(candidates(raw), lambda c: (selector.score(c) >= F.lit(selector.threshold)) & ~F.exists("base", lambda b: meets(b, c)))
+    generators = range(len(CANDIDATES))
+    chosen = lambda base: F.filter(candidates(raw), lambda c: (selector.score(c) >= F.lit(selector.threshold)) & ~in_any(
+        base, range(len(KINDS)), lambda lane: touches(c, lane)))
     # Generators are in order of trust from the last one: a candidate yields to one of a later generator.
-    alone = lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda d: meets(c, d) & (d["generator"] > c["generator"])))
+    later = lambda c, by: in_any(by, generators, lambda lane: touches(c, lane) & (F.get(lane, F.lit(0))["generator"] > c["generator"]))
+    alone = lambda all_: let(lanes(all_, "generator", len(CANDIDATES)), lambda by: F.filter(all_, lambda c: ~later(c, by)))
     slim = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return out.withColumn("added", let(new, lambda a: slim(alone(a))))
+    new = let(lanes(F.col("base"), "kind", len(KINDS)), lambda base: let(chosen(base), lambda a: slim(alone(a))))
+    return out.withColumn("added", new)
 
 
 def listing(spans: Column) -> Column:
