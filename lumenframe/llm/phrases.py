@@ -62,6 +62,7 @@ SAMPLE = 16              # one document in so many proposes phrases
 CAUTION = 0.65           # share of the expected sample count that is enough to propose
 BITS = 1 << 24           # of the bitmap: 2 MB, sent compressed
 BLOCK = 1 << 18          # words that are counted together
+HELD = 200_000           # phrases a task adds up before it sends them
 GROUP = 4 << 20          # bytes of text whose words are numbered together
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 CUT_UP = bytes.maketrans(SEPARATORS, b"\n" * len(SEPARATORS))
@@ -200,13 +201,30 @@ def hash_counts(docs: DataFrame, bitmap=None, before=None, longest: int = LONGES
 
 
 def phrase_counts(docs: DataFrame, bitmap) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the phrases whose hashes are in the bitmap, and of all words (size 0)."""
+    """(lang, size, phrase, n): exact counts of the phrases whose hashes are in the bitmap, and of all words (size 0).
+
+    What is chosen repeats from block to block, so a task adds it up and sends
+    it when it holds HELD phrases, or at its end.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = opened(bitmap)
+        now, held = opened(bitmap), {}
+
+        def out() -> pa.RecordBatch:
+            lang, size, phrase = zip(*held)
+            batch = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()),
+                                                pa.array(held.values(), pa.int64())], ["lang", "size", "phrase", "n"])
+            held.clear()
+            return batch
         for lang, texts in by_language(batches):
-            for size, phrase, n in counts(texts, lang, now):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase)), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()),
-                                                  pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+            for sizes, found, n in counts(texts, lang, now):
+                size = int(sizes[0])
+                for phrase, k in zip(found, map(int, n)):
+                    key = (lang, size, phrase)
+                    held[key] = held.get(key, 0) + k
+                if len(held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
     rows = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase binary, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 

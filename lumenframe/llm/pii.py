@@ -60,19 +60,20 @@ CONTEXT = 24          # characters before a candidate that count as its context
 TREES, DEPTH = 10, 3
 PRECISION = 0.98      # of the selected candidates on the calibration half
 BLOCK = 512
+SEGMENT = 4096        # code points of a text that are cut from it together
 
 
-def _running(lengths: Column) -> Column:
-    """Sum of all earlier lengths, for each. Blocks keep the appending short."""
-    def scan(values: Column, start: Column) -> Column:
+def _running(values: Column, join=lambda a, b: a + b) -> Column:
+    """What ``join`` makes of all earlier values (0 at first), for each. Blocks keep the appending short."""
+    def scan(part: Column, start: Column) -> Column:
         empty = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(values, empty, lambda s, x: F.struct(
-            (s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+        return F.aggregate(part, empty, lambda s, x: F.struct(
+            join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
     blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
-    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), join)
     of = lambda parts: let(scan(F.transform(parts, total), F.lit(0)), lambda starts: F.flatten(
         F.transform(parts, lambda v, b: scan(v, F.get(starts, b)))))
-    return let(lengths, lambda v: let(blocks(v), of))
+    return let(values, lambda v: let(blocks(v), of))
 
 
 def matches(text: Column, pattern: str, context: int = 0) -> Column:
@@ -156,7 +157,9 @@ def candidates(text: Column) -> Column:
 
 def lanes(spans: Column, by: str, count: int) -> Column:
     """Spans dealt by a number: in a lane they are in order and do not overlap, so a place is found by halving."""
-    return F.array(*[F.filter(spans, lambda s, k=k: s[by] == k) for k in range(count)])
+    def lane(k: int) -> Column:   # a second parameter of the lambda would be the place in the array
+        return F.filter(spans, lambda s: s[by] == k)
+    return F.array(*map(lane, range(count)))
 
 
 def last_before(lane: Column, x: Column) -> Column:
@@ -178,7 +181,7 @@ def covered(c: Column, base: Column) -> Column:
     """Does one span of the base lanes cover most of the candidate? It must then hold the candidate's middle."""
     middle = c["start"] + F.floor((c["end"] - c["start"] - 1) / 2)
     shared = lambda b: F.least(b["end"], c["end"]) - F.greatest(b["start"], c["start"])
-    return in_any(base, range(len(KINDS)), lambda lane: let(last_before(lane, middle + 1), lambda b: shared(b) * 2 > c["end"] - c["start"]))
+    return in_any(base, range(len(KINDS)), lambda lane: let(last_before(lane, middle + 1), lambda b: (b["end"] > middle) & (shared(b) * 2 > c["end"] - c["start"])))
 
 
 def touches(c: Column, lane: Column) -> Column:
@@ -263,19 +266,39 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in brackets; spans that overlap become one, named after the first.
+
+    The text is cut into segments once, and what stays is taken from them, so
+    the work grows with the text and the spans, not with their product.
+    """
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    none = F.array().cast("array<string>")
+
+    def stays(segments: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / SEGMENT).cast("int"), F.floor(b / SEGMENT).cast("int")
+        at = (a % SEGMENT + 1).cast("int")
+        inside = F.substring(F.get(segments, first), at, (b - a).cast("int"))
+        across = F.concat(F.substring(F.get(segments, first), at, F.lit(SEGMENT)), F.array_join(F.slice(segments, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                          F.coalesce(F.substring(F.get(segments, last), F.lit(1), (b % SEGMENT).cast("int")), F.lit("")))
+        return F.when(a >= b, F.lit("")).when(first == last, inside).otherwise(across)
+
+    def build(ordered: Column, before: Column, segments: Column) -> Column:
+        parts = F.flatten(F.zip_with(ordered, before, lambda x, a: F.when(
+            x["start"] >= a, F.array(stays(segments, a, x["start"]), F.get(names, x["kind"]))).otherwise(none)))
+        end = F.array_max(F.transform(ordered, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), stays(segments, end, F.char_length(text).cast("long")))
+    furthest = lambda ordered: _running(F.transform(ordered, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    cut_up = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+    return let(F.array_sort(spans), lambda o: let(furthest(o), lambda before: let(cut_up, lambda segments: build(o, before, segments))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; n_chars follows the text.
 
     Overlapping spans become one replacement, named after the first.
     """
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t, all_spans = F.coalesce(F.col("text"), F.lit("")), F.array_sort(F.concat("_found.base", "_found.added"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    part = lambda a, b: F.substring(t, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(part(s["at"], x["start"]), F.get(names, x["kind"]))).alias("out")))
-    clean = let(F.aggregate(all_spans, start, step), lambda s: F.concat(F.array_join(s["out"], ""), F.substring(
-        t, (s["at"] + 1).cast("int"), F.char_length(t))))
+    clean = replaced(F.coalesce(F.col("text"), F.lit("")), F.concat("_found.base", "_found.added"))
     found = find(docs.select(F.struct(*docs.columns).alias("_row"), "text"), fit(docs.select("text")))
     found = found.select("_row", "text", F.struct("base", "added").alias("_found"))
     found = found.withColumn("_clean", F.when(F.size("_found.base") + F.size("_found.added") > 0, clean).otherwise(F.col("text")))

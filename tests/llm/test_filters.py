@@ -175,6 +175,38 @@ def test_share_of_phones_without_plus_does_not_matter(spark):
     assert pii.find(only, pii.fit(only)).filter(F.size("added") == 1).count() == 20
 
 
+def test_replacing_spans(spark):
+    """Overlaps, neighbours and long stretches, against a plain loop."""
+    import random
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é\U0001F600\n") for _ in range(rng.choice([5, 300, 9000, 13000])))
+        spans = sorted({(a := rng.randrange(len(text)), rng.randrange(4), rng.randint(a + 1, min(len(text), a + rng.choice([3, 5000])))) for _ in range(rng.choice([1, 3, 1200]))})
+        out, at = "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, b)
+        rows.append((text, [tuple(s) for s in spans], out + text[at:]))
+    df = spark.createDataFrame(rows, "t string, s array<struct<start:bigint,kind:int,end:bigint>>, want string")
+    assert df.select(pii.replaced(F.col("t"), F.col("s")).alias("got"), "want").filter("got <> want").count() == 0
+
+
+def test_dense_text_takes_linear_time(spark):
+    """Thousands of candidates in one text: base spans are found once per text and searched by halving."""
+    import time
+    text = " ".join(f"call {'+' if i % 2 else ''}1 (0{i % 90 + 10}) 555-{1000 + i % 9000} or u{i}@x.org" for i in range(20_000))
+    few = spark.createDataFrame([(i, f"call +1 (0{i % 90 + 10}) 555-{1000 + i}, item 7{i:06d}") for i in range(100)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").unionByName(few)
+    began = time.time()
+    clean = pii.redact(df).filter("doc_id = 1").first().text
+    assert time.time() - began < 120                     # minutes and more if work grew with the square
+    assert clean.count("[EMAIL]") == 20_000 and clean.count("[PHONE]") >= 10_000
+    plan = pii.find(few, None).select("base")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pii.BASE["ip"]) <= 2               # the pattern's matches and the pieces between them
+
+
 def test_pii_query(spark, documents_table):
     rows = {r.doc_id: r for r in QUERIES["op8_pii"](spark, SF).collect()}
     for d in documents_table.collect():
