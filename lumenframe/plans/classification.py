@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions import ensemble
 from lumenframe.model import ClassifySettings
 from lumenframe.operators import classify as K
 from lumenframe.operators import components as C
@@ -112,8 +113,18 @@ def model_probability(features: DataFrame, predict: Callable[[np.ndarray], np.nd
         except Exception:  # noqa: BLE001 - a failing model means "no answer" for the batch
             return pd.Series([None] * len(vectors), dtype="float64")
 
-    answered = features.select("punctum_id", run("features").alias("_m"))
+    return _answers(features.select("punctum_id", run("features").alias("_m")), hard_labels)
 
+
+def ensemble_probability(features: DataFrame, model, hard_labels: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Like ``model_probability`` with a tree ensemble (``functions.ensemble``), scored without Python.
+
+    A punctum without a vector, or with one of another length, keeps the measured overlap.
+    """
+    return _answers(features.select("punctum_id", ensemble.score(model, F.col("features")).alias("_m")), hard_labels)
+
+
+def _answers(answered: DataFrame, hard_labels: bool) -> Callable[[DataFrame], DataFrame]:
     def attach_p(scores: DataFrame) -> DataFrame:
         joined = scores.join(answered, "punctum_id", "left")
         usable = F.col("_m").isNotNull() & ~F.isnan("_m")

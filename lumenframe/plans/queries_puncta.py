@@ -350,6 +350,35 @@ def ch2_coverage(spark, d):
     return c.withColumns({"axon_cov": r6("axon_cov"), "dendrite_cov": r6("dendrite_cov")})
 
 
+# a small ensemble over three measures of a punctum; every fifth punctum has no vector and keeps its overlap
+_MODEL = {"features": ["mass", "x", "z"], "base": -0.25, "link": "logistic", "trees": [
+    {"root": {"feature": "mass", "threshold": 150.0, "right": {"value": 1.1},
+              "left": {"feature": "x", "threshold": 7.0, "missing": "right", "left": {"value": -0.8}, "right": {"value": 0.4}}}},
+    {"weight": 0.5, "root": {"feature": "z", "threshold": 11.0, "left": {"value": 0.9},
+                             "right": {"feature": "mass", "threshold": 60.0, "left": {"value": -1.3}, "right": {"value": 0.2}}}}]}
+_MODEL_SQL = """1 / (1 + exp(-(-0.25::DOUBLE + CASE WHEN mass <= 150 THEN CASE WHEN punctum_id % 7 <> 1 AND x <= 7 THEN -0.8::DOUBLE ELSE 0.4 END ELSE 1.1 END
+    + 0.5::DOUBLE * CASE WHEN z <= 11 THEN 0.9::DOUBLE WHEN mass <= 60 THEN -1.3 ELSE 0.2 END)))"""
+_ANSWERED = {}
+for _name, _sql in _FULL.items():
+    if _name == "prob":
+        _ANSWERED["prob0"] = _sql
+        _sql = f"""SELECT punctum_id, c1, c2, CASE WHEN punctum_id % 5 <> 0 THEN {_MODEL_SQL} ELSE p END p, jm, js, dm, shared
+                   FROM prob0 JOIN pun USING (punctum_id)"""
+    _ANSWERED[_name] = _sql
+
+
+@query(with_ctes(BAG_BASE + " cmask", f"""
+    SELECT punctum_id, final_prediction, {q6('final_confidence')} final_confidence,
+           x::DOUBLE x, y::DOUBLE y, z::DOUBLE z FROM lab""", _ANSWERED, recursive=True))
+def classify_model(spark, d):
+    """The default decision with pair probabilities from a tree ensemble."""
+    p = S.puncta(spark, d)
+    x = F.when(F.col("punctum_id") % 7 != 1, F.col("x").cast("double"))
+    vectors = p.filter("punctum_id % 5 <> 0").select("punctum_id", F.array(F.col("mass").cast("double"), x, F.col("z").cast("double")).alias("features"))
+    out = P.classify_puncta(_inputs(spark, d), _DEFAULT, threshold="percentile", probability=P.ensemble_probability(vectors, _MODEL))
+    return out.withColumn("final_confidence", r6("final_confidence"))
+
+
 @query()
 def classify_adaptive(spark, d):
     """The default decision with mixture thresholds; the fit is iterative, so no SQL."""
