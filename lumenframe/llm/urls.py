@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.catalog import query
 from lumenframe.llm.rows import small
+from lumenframe.operators.relational import attach
 from lumenframe.session import cut
 
 # (verdict, host, path prefix)
@@ -110,8 +111,9 @@ def judge_urls(df: DataFrame, listed: DataFrame, url: str = "url",
     out = out.withColumn("_canonical", F.when(F.col("_ruled").isNull(), canonical(F.col(url))))
     open_urls = out.filter("_canonical IS NOT NULL").select(F.col("_canonical").alias("url"))
     hits = cut(listed_urls(open_urls, listed))
-    hit = small(hits).select(F.col("url").alias("_canonical"), F.lit(True).alias("_hit"))
-    return (out.join(hit, "_canonical", "left")
+    hit = hits.select(F.col("url").alias("_canonical"), F.lit(True).alias("_hit"))
+    # Measured by bytes: broadcast, or a shuffle join salted by the other columns, which also spreads rows that a rule decided.
+    return (attach(out, hit, ["_canonical"], "left")
             .withColumn("verdict", F.coalesce("_ruled", F.when(F.col("_hit"), "block").otherwise("allow")))
             .drop("_canonical", "_ruled", "_hit"))
 
