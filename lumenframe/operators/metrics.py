@@ -46,7 +46,7 @@ def _window_mean(img):
     return np.lib.stride_tricks.sliding_window_view(rows, SSIM_SIDE, axis=1) @ w
 
 
-def _ssim_blocks(batches, block, max_value):
+def _ssim_blocks(batches, block, max_value, shape):
     c1, c2 = (SSIM_K1 * max_value) ** 2, (SSIM_K2 * max_value) ** 2
     reach = SSIM_SIDE // 2
     for batch in batches:
@@ -60,8 +60,13 @@ def _ssim_blocks(batches, block, max_value):
             a[y, x] = batch.column("a")[i].values.to_numpy()
             b[y, x] = batch.column("b")[i].values.to_numpy()
             have[y, x] = 1
-            full = np.lib.stride_tricks.sliding_window_view(have, (SSIM_SIDE, SSIM_SIDE)).sum(axis=(2, 3)) \
-                == SSIM_SIDE ** 2
+            held = np.lib.stride_tricks.sliding_window_view(have, (SSIM_SIDE, SSIM_SIDE)).sum(axis=(2, 3))
+            if shape is None:
+                full = held == SSIM_SIDE ** 2
+            else:
+                inside = [(at >= reach) & (at < side - reach) for at, side in
+                          ((np.arange(block) + by[i] * block, shape[0]), (np.arange(block) + bx[i] * block, shape[1]))]
+                full = (held > 0) & inside[0][:, None] & inside[1]
             ma, mb = _window_mean(a), _window_mean(b)
             mab, maa = _window_mean(a * b), _window_mean(a * a + b * b)
             light = (2 * ma * mb + c1) / (ma * ma + mb * mb + c1)
@@ -74,10 +79,16 @@ def _ssim_blocks(batches, block, max_value):
             names=[*keep, "total", "windows"])
 
 
-def ssim(pairs: DataFrame, keys: Sequence[str] = ("c", "z"), max_value: float = 255.0, block: int = 128) -> DataFrame:
-    """Mean structural similarity over all full 11x11 Gaussian windows, computed per block with a halo."""
+def ssim(pairs: DataFrame, keys: Sequence[str] = ("c", "z"), max_value: float = 255.0, block: int = 128,
+         shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean structural similarity over all full 11x11 Gaussian windows, computed per block with a halo.
+
+    With the image's ``shape`` every window inside it that holds a pixel
+    counts, and missing pixels as 0 in both images; without, windows with
+    missing pixels do not count. A group without any window has null.
+    """
     px = pairs.select(*keys, "y", "x", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
     packed = to_blocks(px, keys, block, SSIM_SIDE // 2, ["a", "b"])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name not in ("px", "a", "b"))
-    sums = packed.mapInArrow(lambda it: _ssim_blocks(it, block, max_value), f"{kept}, total double, windows bigint")
-    return sums.groupBy(*keys).agg((F.sum("total") / F.sum("windows")).alias("ssim"))
+    sums = packed.mapInArrow(lambda it: _ssim_blocks(it, block, max_value, shape), f"{kept}, total double, windows bigint")
+    return sums.groupBy(*keys).agg(F.try_divide(F.sum("total"), F.sum("windows")).alias("ssim"))

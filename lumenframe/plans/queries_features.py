@@ -224,7 +224,7 @@ def mask_iou(spark, d):
     GROUP BY c, z""", {**_AB, "k0": "SELECT r, exp(-(r * r) / 4.5) e FROM range(-5, 6) q(r)",
                        "k": "SELECT r, e / (SELECT sum(e) FROM k0) g FROM k0"}))
 def ssim(spark, d):
-    return Q.ssim(_ab(spark, d), block=8).withColumn("ssim", r6("ssim"))
+    return Q.ssim(_ab(spark, d), block=8, shape=(S.PLANE, S.PLANE)).withColumn("ssim", r6("ssim"))
 
 
 @query(with_ctes("img", f"""
