@@ -145,9 +145,17 @@ def gather(scores: DataFrame) -> DataFrame:
 def classify(puncta: DataFrame, per_punctum: DataFrame,
              settings: ClassifySettings = ClassifySettings()) -> DataFrame:
     """Prediction rows for every punctum; undetected ones are low confidence."""
+    return complete(puncta, predict(per_punctum, settings))
+
+
+def predict(per_punctum: DataFrame, settings: ClassifySettings = ClassifySettings()) -> DataFrame:
+    """(punctum_id, final_prediction, final_confidence) of the detected ones."""
     scored = with_best_clique(with_edges(per_punctum, settings))
-    labelled = with_prediction(scored, settings).select(
-        "punctum_id", "final_prediction", "final_confidence")
+    return with_prediction(scored, settings).select("punctum_id", "final_prediction", "final_confidence")
+
+
+def complete(puncta: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Predictions with positions, and rows of low confidence for puncta without one."""
     return (puncta.select("punctum_id", *[F.col(a).cast("double").alias(a) for a in ("x", "y", "z")])
             .join(labelled, "punctum_id", "left")
             .select("punctum_id",

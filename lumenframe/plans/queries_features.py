@@ -14,7 +14,7 @@ from lumenframe.operators import roi as R
 from lumenframe.operators import skeleton as SK
 from lumenframe.plans.catalog import BAG_BASE, q6, query, r6, reach, with_ctes
 from lumenframe.plans.queries_puncta import (
-    _CLIQUE, _PAIRS, _RM, _mask, _neurites, _roi_mask)
+    _CLIQUE, _PAIRS, _RM, _mask, _neurites, _roi_mask, _rois)
 from lumenframe.sources import tables as S
 
 _BASE = BAG_BASE + " cmask"
@@ -35,7 +35,7 @@ _PIX = {"pix": """SELECT punctum_id, c, count(*) pix, count(DISTINCT z) zcount,
            ((y2 - y1) * (x2 - x1))::DOUBLE bbox_area, {q6('rel_pix')} rel_pix
     FROM pix JOIN roi USING (punctum_id)""", {**_RM, **_PIX}))
 def channel_features(spark, d):
-    return X.pixel_features(_grouped(spark, d)).withColumn("rel_pix", r6("rel_pix"))
+    return R.to_puncta(X.pixel_features(_grouped(spark, d)).withColumn("rel_pix", r6("rel_pix")), _rois(spark, d))
 
 
 def _ratio_sql():
@@ -51,7 +51,7 @@ def _ratio_sql():
 @query(with_ctes(_BASE, _ratio_sql(), {**_RM, **_PIX}))
 def pixel_ratios(spark, d):
     out = X.ratio_features(X.pixel_features(_grouped(spark, d)))
-    return out.withColumns({c: r6(c) for c in out.columns if c != "punctum_id"})
+    return R.to_puncta(out.withColumns({c: r6(c) for c in out.columns if c != "punctum_id"}), _rois(spark, d))
 
 
 @query(with_ctes(_BASE, f"""
@@ -63,7 +63,7 @@ def pixel_ratios(spark, d):
         GROUP BY ALL HAVING count(*) = 5) USING (punctum_id, c, y, x)
     GROUP BY punctum_id, c""", {**_RM, "flat": "SELECT DISTINCT punctum_id, c, y, x FROM rm"}))
 def shape_features(spark, d):
-    return X.shape_features(_grouped(spark, d)).withColumn("compactness", r6("compactness"))
+    return R.to_puncta(X.shape_features(_grouped(spark, d)).withColumn("compactness", r6("compactness")), _rois(spark, d))
 
 
 _GRAPH = {
@@ -93,7 +93,7 @@ _GRAPH = {
 def graph_features(spark, d):
     g = X.graph_features(X.pair_table(O.multiscale(O.pair_masks(_grouped(spark, d)))), 0.3)
     g = g.drop("chans", "pairs", "rule_clique_score", "rule_clique_size")
-    return g.withColumns({c: r6(c) for c, t in g.dtypes if t == "double"})
+    return R.to_puncta(g.withColumns({c: r6(c) for c, t in g.dtypes if t == "double"}), _rois(spark, d))
 
 
 @query(with_ctes(_BASE, f"""
@@ -102,7 +102,7 @@ def graph_features(spark, d):
     {**_RM, **_PAIRS, **_GRAPH, "edge": "SELECT * FROM prob WHERE p >= 0.3", "clq": _CLIQUE["clq"]}))
 def rule_features(spark, d):
     g = X.graph_features(X.pair_table(O.multiscale(O.pair_masks(_grouped(spark, d)))), 0.3)
-    return g.select("punctum_id", "rule_clique_size", r6("rule_clique_score").alias("rule_clique_score"))
+    return R.to_puncta(g.select("punctum_id", "rule_clique_size", r6("rule_clique_score").alias("rule_clique_score")), _rois(spark, d))
 
 
 @query(with_ctes(_BASE, f"""
@@ -115,7 +115,7 @@ def roi_entropy(spark, d):
     key = ["punctum_id", "c"]
     flat = X.local_pixels(_roi_mask(spark, d)).drop("z").distinct()
     big = X.C.largest(X.C.regions(X.label_rois(flat, key), key), key)
-    return X.C.with_entropy(big).select(*key, r6("entropy").alias("spatial_entropy"))
+    return R.to_puncta(X.C.with_entropy(big).select(*key, r6("entropy").alias("spatial_entropy")), _rois(spark, d))
 
 
 @query()
@@ -123,7 +123,7 @@ def feature_vectors(spark, d):
     """All 99 model inputs; skeleton lengths come from an iterative kernel, so no SQL."""
     puncta, info = S.puncta(spark, d), S.image_info(spark, d)
     near = R.local_neurites(puncta, _neurites(spark, d), info)
-    return X.feature_vector(X.feature_table(puncta, _roi_mask(spark, d), near))
+    return X.feature_vector(X.feature_table(puncta, _roi_mask(spark, d), near, rois=_rois(spark, d)))
 
 
 @query()

@@ -92,3 +92,8 @@ def test_a_crowd_at_one_spot_is_unfolded_once(spark):
     got = {(r.axon_overlap, r.local_axon_density, r.local_dendrite_density): r["count"] for r in
            out.groupBy("axon_overlap", "local_axon_density", "local_dendrite_density").count().collect()}
     assert got == {(1.0, 2 / 25, 1 / 25): 1500, (0.0, 0.0, 0.0): 1500}
+
+
+def test_boxed_puncta_have_the_boxes_of_their_voxels(spark, sf_dir):
+    box = lambda boxed: {tuple(r) for r in R.boxes(S.puncta(spark, sf_dir, boxed)).collect()}
+    assert box(True) == box(False)
