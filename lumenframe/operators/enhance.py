@@ -17,6 +17,7 @@ from lumenframe.operators.relational import attach, histogram
 from lumenframe.session import cut
 
 LEVELS = 256
+WORD = 64                      # levels that a word of bits stands for
 
 
 def _cumulative(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +75,12 @@ def _reflected(pos: Column, size: int, pad: int) -> Column:
 
 def tile_tables(voxels: DataFrame, height: int, width: int, clip: float, grid: tuple[int, int],
                 keys: Sequence[str]) -> DataFrame:
-    """(keys, ty, tx, lut array<int>[256]): clipped, equalising table of every tile."""
+    """(keys, ty, tx, lut): clipped, equalising table of every tile, see ``_level``.
+
+    A table has the running totals of the levels that are present, at most as
+    many as the tile has pixels, and a bit per level that says which these are.
+    Levels are worked out for the pixels alone: small tiles have far fewer than LEVELS.
+    """
     rows, cols = grid
     ph, pw = _padding(height, width, grid)
     th, tw = (height + ph) // rows, (width + pw) // cols
@@ -86,45 +92,47 @@ def tile_tables(voxels: DataFrame, height: int, width: int, clip: float, grid: t
                        F.floor(F.col("_x") / tw).cast("int").alias("tx"), "v")
               .agg(F.count(F.lit(1)).cast("int").alias("n")))
     tile = Window.partitionBy(*keys, "ty", "tx")
-    order = tile.orderBy("v")
     runs = counts.select(
         *keys, "ty", "tx", F.col("v").cast("int").alias("v"),
-        F.sum(F.least(F.col("n"), F.lit(limit))).over(order).alias("cum"),
-        F.lead("v", 1, LEVELS).over(order).cast("int").alias("next"),
+        F.sum(F.least(F.col("n"), F.lit(limit))).over(tile.orderBy("v")).cast("int").alias("cum"),
         F.greatest(F.col("n") - limit, F.lit(0)).alias("over"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("v").bitwiseAND(WORD - 1))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("v") / WORD) == j, bit)), F.lit(0).cast("long")).alias(f"_w{j}") for j in range(LEVELS // WORD)]
     per = runs.groupBy(*keys, "ty", "tx").agg(
-        F.array_sort(F.collect_list(F.struct("v", "next", "cum"))).alias("_r"), F.sum("over").alias("_over"))
-    # every present value holds its running total until the next one: dense levels without lookups
-    lead_in = F.array(F.array_repeat(F.lit(0).cast("long"), F.get("_r", F.lit(0))["v"]))
-    dense = F.flatten(F.concat(lead_in, F.transform("_r", lambda r: F.array_repeat(r["cum"], r["next"] - r["v"]))))
-    base, rest = F.floor(F.col("_over") / LEVELS), F.col("_over") % LEVELS
-    step = F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1))
+        *words, F.array_sort(F.collect_list(F.struct("v", "cum")))["cum"].alias("_cum"), F.sum("over").cast("int").alias("_over"))
+    present = [F.bit_count(f"_w{j}") for j in range(LEVELS // WORD)]
+    before = [sum(present[:j], F.lit(0)) for j in range(LEVELS // WORD)]
+    base, rest = F.floor(F.col("_over") / LEVELS).cast("int"), F.col("_over") % LEVELS
+    step = F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1)).cast("int")
+    return per.select(*keys, "ty", "tx", F.struct(
+        F.array(*[f"_w{j}" for j in range(LEVELS // WORD)]).alias("words"), F.array(*before).alias("before"),
+        F.concat(F.array(F.lit(0)), "_cum").alias("totals"), base.alias("base"), rest.alias("rest"), step.alias("step")).alias("lut"))
 
-    def level(total, i):  # the clipped surplus comes back evenly, its remainder on every step-th level
-        extra = F.least(rest, F.floor(i / step) + 1)
-        return F.least(F.lit(LEVELS - 1), F.rint((total + base * (i + 1) + extra) * (float(LEVELS - 1) / area))).cast("int")
 
-    return per.select(*keys, "ty", "tx", F.transform(dense, level).alias("lut"))
+def _level(lut: Column, v: Column, area: int) -> Column:
+    """The new level of level ``v`` by a tile's table; null outside 0..LEVELS - 1.
+
+    The present levels up to ``v`` are counted in the words; that many totals on is the running total at ``v``.
+    """
+    at = F.floor(v / WORD).cast("int")
+    upto = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), WORD - 1 - v.bitwiseAND(WORD - 1))
+    total = F.get(lut["totals"], F.get(lut["before"], at) + F.bit_count(F.get(lut["words"], at).bitwiseAND(upto)))
+    # the clipped surplus comes back evenly, its remainder on every step-th level
+    dealt = total + lut["base"] * (v + 1) + F.least(lut["rest"], F.floor(v / lut["step"]) + 1)
+    return F.when(total.isNotNull(), F.least(F.lit(float(LEVELS - 1)), F.rint(dealt * (float(LEVELS - 1) / area))))
 
 
 def corner_tables(luts: DataFrame, rows: int, cols: int, keys: Sequence[str]) -> DataFrame:
     """(keys, cy, cx, _c): the tables of the four tiles around every cell between tile centres, border tiles repeated."""
-    def corner(dy, dx):
-        # cells this tile serves as its (dy, dx) corner, including clamped border cells
-        def cells(t, n, d):
-            own = t - d
-            edge = F.when(t == 0, F.lit(-1)) if d == 0 else F.when(t == n - 1, F.lit(n - 1))
-            return F.explode(F.array_compact(F.array_distinct(F.array(own, edge))))
-        valid_y = (F.col("cy") >= -1) & (F.col("cy") <= rows - 1)
-        valid_x = (F.col("cx") >= -1) & (F.col("cx") <= cols - 1)
-        return (luts.withColumn("cy", cells(F.col("ty"), rows, dy)).withColumn("cx", cells(F.col("tx"), cols, dx))
-                .filter(valid_y & valid_x)
-                .select(*keys, "cy", "cx", F.struct(F.lit(dy * 2 + dx).alias("k"), "lut").alias("_c")))
-
-    parts = corner(0, 0)
-    for dy, dx in ((0, 1), (1, 0), (1, 1)):
-        parts = parts.unionByName(corner(dy, dx))
-    return parts.groupBy(*keys, "cy", "cx").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    def served(t, n):
+        # (corner, cell) on one axis: the cells that a tile serves, clamped border cells last
+        pair = lambda d, cell: F.struct(F.lit(d).alias("d"), cell.cast("int").alias("cell"))
+        return F.explode(F.array_compact(F.array(
+            pair(0, t), pair(1, t - 1), F.when(t == 0, pair(0, F.lit(-1))), F.when(t == n - 1, pair(1, F.lit(n - 1))))))
+    # tables are made once and unfolded, not once per corner
+    return (luts.withColumn("_y", served(F.col("ty"), rows)).withColumn("_x", served(F.col("tx"), cols))
+            .groupBy(*keys, F.col("_y.cell").alias("cy"), F.col("_x.cell").alias("cx"))
+            .agg(F.array_sort(F.collect_list(F.struct((F.col("_y.d") * 2 + F.col("_x.d")).alias("k"), "lut"))).alias("_c")))
 
 
 def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5,
@@ -133,6 +141,7 @@ def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5
 
     A pixel blends the tables of the four nearest tile centres. Those four are
     put side by side once per cell between centres, so a pixel needs one join.
+    Pixels next to a tile without any pixel have no result.
     """
     keys = list(keys)
     rows, cols = grid
@@ -143,12 +152,14 @@ def equalize_tiles(voxels: DataFrame, height: int, width: int, clip: float = 1.5
     fy, fx = F.col("y") / F.lit(float(th)) - 0.5, F.col("x") / F.lit(float(tw)) - 0.5
     placed = voxels.withColumns({"cy": F.floor(fy).cast("int"), "cx": F.floor(fx).cast("int")}).withColumns({
         "_ya": fy - F.col("cy"), "_xa": fx - F.col("cx")})
-    at = lambda k: F.get(F.get("_c", F.lit(k))["lut"], F.col("v").cast("int")).cast("double")
+    # a lambda: four times this expression in generated code would be a method too long to compile
+    placed = placed.join(cells.filter(F.size("_c") == 4), [*keys, "cy", "cx"]).withColumn(
+        "_l", F.transform("_c", lambda e: _level(e["lut"], F.col("v").cast("int"), th * tw)))
+    at = lambda k: F.get("_l", F.lit(k))
     top = at(0) * (1 - F.col("_xa")) + at(1) * F.col("_xa")
     low = at(2) * (1 - F.col("_xa")) + at(3) * F.col("_xa")
     blend = F.rint(top * (1 - F.col("_ya")) + low * F.col("_ya")).cast("int")
-    return (placed.join(cells, [*keys, "cy", "cx"])
-            .select(*[blend.alias("v") if c == "v" else c for c in voxels.columns]))
+    return placed.select(*[blend.alias("v") if c == "v" else c for c in voxels.columns])
 
 
 # ------------------------------------------------- adaptive equalisation, 16 bit

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.model import ClassifySettings
+from lumenframe.operators import enhance as E
 from lumenframe.operators import image as I
 from lumenframe.operators import metrics as Q
 from lumenframe.operators import overlap as O
@@ -97,3 +98,14 @@ def test_a_crowd_at_one_spot_is_unfolded_once(spark):
 def test_boxed_puncta_have_the_boxes_of_their_voxels(spark, sf_dir):
     box = lambda boxed: {tuple(r) for r in R.boxes(S.puncta(spark, sf_dir, boxed)).collect()}
     assert box(True) == box(False)
+
+
+def test_equalisation_makes_tables_once_and_skips_missing_tiles(spark):
+    rows = [(1, 0, y, x, (y * 37 + x * 11) % 256) for _, _, y, x, _ in plane(keep=lambda y, x: y < 8 or x < 8)]
+    out = E.equalize_tiles(spark.createDataFrame(rows, VOX), 16, 16, clip=40.0, grid=(5, 5))
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()                                        # 36 pixels border a tile that has none: their value was null or of a wrong tile
+    assert len(got) == 156 and all(0 <= r.v <= 255 for r in got)
+    whole = E.equalize_tiles(spark.createDataFrame([(1, 0, y, x, (y * 37 + x * 11) % 256) for _, _, y, x, _ in plane()], VOX), 16, 16, clip=40.0, grid=(5, 5))
+    want = {(r.y, r.x): r.v for r in whole.collect()}
+    assert len(want) == 256 and all(r.v == want[r.y, r.x] for r in got)
