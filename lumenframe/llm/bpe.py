@@ -36,7 +36,7 @@ from lumenframe.llm.catalog import query
 from lumenframe.llm.rows import documents, tokenizer_path
 
 SLICE = 4 << 20          # bytes in one batch of output
-CACHE_PIECES = 200_000   # remembered per Python worker; a full memory is emptied, never wrong
+CACHE_PIECES = 200_000   # remembered per Python worker; a full memory keeps what is in use, never wrong
 CACHE_PAIRS = 1 << 18
 LONGEST_CACHED = 64
 STRETCH = 1 << 20        # characters of text whose new pieces are encoded together
@@ -293,11 +293,12 @@ class Codec:
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of split pieces by piece."""
         names = list(pieces)
-        raw = [p.encode() for p in names]
-        order = np.argsort([-len(x) for x in raw], kind="stable").tolist() if raw else []
-        names, raw = [names[i] for i in order], [raw[i] for i in order]
-        long = sum(len(x) > SHORT for x in raw)
-        alone = sum(len(x) > LONG for x in raw) if long >= MANY else long
+        raw = list(map(str.encode, names))
+        length = -np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(length, kind="stable").tolist()
+        names, raw = list(map(names.__getitem__, order)), list(map(raw.__getitem__, order))
+        long = int((length < -SHORT).sum())
+        alone = int((length < -LONG).sum()) if long >= MANY else long
         out = dict(zip(names, map(self.encode_alone, raw[:alone])))
         while alone < len(raw):
             some = slice(alone, alone + max(1, CELLS // (len(raw[alone]) + 1)))
@@ -326,10 +327,10 @@ class Codec:
 
     def learn(self, units: set[str]) -> list[str]:
         """Make all ``units`` known; what is new is encoded together. Returns what is too long to be remembered."""
-        new = units - self.known.keys()
+        new = units.difference(self.known)   # of a dictionary: looks the units up, where a keys view would go through all that is known
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = dict(self.special_ids)
-            new = units - self.known.keys()
+            known = self.known
+            self.known = self.special_ids | {u: known[u] for u in units.difference(new)}
         wide = [u for u in new if not u.isascii() and not u.isalpha()]
         parts = {u: p for u in wide if (p := self.pattern.findall(u)) != [u]}
         self.known |= self.encode_pieces(new if not parts else (new - parts.keys()).union(*parts.values()))

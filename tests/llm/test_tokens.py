@@ -131,3 +131,17 @@ def test_pack_returns_the_ids_at_their_place(spark, tokenizer):
         assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and r.offset == 0 for r in rows)
         assert sorted(r.sequence_id for r in rows) == list(range(len(want)))
     assert "ids" not in QUERIES["op9_packing"](spark, SF).columns
+
+
+def test_a_full_memory_keeps_what_is_in_use(monkeypatch):
+    with open(tokenizer_path(), "rb") as f:
+        content = f.read()
+    want = list(bpe.Codec(content).encode_all(["common words stay", "rare ones go, common words stay"]))
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 6)
+    codec = bpe.Codec(content)
+    codec.learn({"common", "words"})
+    seen, encode = [], codec.encode_pieces
+    monkeypatch.setattr(codec, "encode_pieces", lambda pieces: encode(seen.extend(pieces) or seen[-len(pieces):]))
+    codec.learn({"common", "words", "stay", "rare", "ones", "go", ","})
+    assert sorted(seen) == sorted(["stay", "rare", "ones", "go", ","])   # forgot all and encoded the two again
+    assert [next(codec.encode_all([t])) for t in ("common words stay", "rare ones go, common words stay")] == want
