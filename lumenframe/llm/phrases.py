@@ -12,20 +12,26 @@ frequent; the method finds all of them with their exact counts:
    around it were never counted. Such failures trigger a further pass, which
    counts what they open up, and what that opens up in turn; it closes the set.
 4. The passes add up numbers by 64-bit hashes of phrases. A number by hash is
-   never below a phrase's own, so no frequent phrase is lost; those that reach
-   ``least`` are then counted phrase by phrase in a last pass.
-
-What is proposed or chosen travels as a bitmap of fixed size, however many
-phrases there are. A bit that two phrases share lets more phrases be counted,
-never fewer, so results do not depend on it; neither do they depend on the
+   never below a phrase's own, so no frequent phrase is lost. Each hash that
+   reaches ``least`` comes with the place of one block that has it; a last pass
+   takes its phrase from blocks of that place alone, one row per phrase however
+   many tasks there are.
+5. The last pass also adds up a second 64-bit hash of every occurrence, by
+   buckets of first hashes. If a bucket's sums are what its phrases and numbers
+   give, no two phrases shared a hash (but for a chance of 2^-64 that a shared
+   one goes unnoticed). The phrases of any other bucket are counted one by one.
+
+What is proposed or chosen travels as a Bloom filter with a few bytes per
+phrase, 64 MB at most. Bits that phrases share let more phrases be counted,
+never fewer, so results do not depend on them; neither do they depend on the
 sample, which only decides whether the further pass is needed.
 
 A pass numbers the words of a block of text and builds the hashes of k words
 from neighbours of k-1 words, all in numpy; phrases of one hash are compared
 word by word before they are counted together. A block has a bounded number of
 words (a longer text goes through in several, overlapping by LONGEST - 1
-words). Blocks send one row per distinct hash or phrase to a shuffle that
-adds them up, so a phrase that is everywhere is one row per block.
+words). Blocks send one row per distinct hash to a shuffle that adds them up,
+so a phrase that is everywhere is one row per block.
 
 Score: cutting a phrase in two gives floor(SCALE * a * n / (l * r)), and its
 lowest cut counts; products are exact decimals of up to 38 digits.
@@ -60,7 +66,14 @@ TOP = 2000
 UNKNOWN = "und"
 SAMPLE = 16              # one document in so many proposes phrases
 CAUTION = 0.65           # share of the expected sample count that is enough to propose
-BITS = 1 << 24           # of the bitmap: 2 MB, sent compressed
+BITS = 1 << 29           # of a filter at most: 64 MB
+FEW_BITS = 1 << 24       # of a filter at least: 2 MB, sent compressed
+PROBES = 4               # bits per phrase of a filter that decides what is counted
+SURE = 16                # bits per phrase of a filter that should let nothing else through
+TURN = 8                 # probes from the same halves of a hash
+PLACES = 1 << 12         # blocks have one of so many places
+BUCKETS = 1 << 10        # of hashes whose numbers are verified together
+SEEN = 1 << 30           # occurrences whose second hashes fit a sum
 BLOCK = 1 << 18          # words that are counted together
 HELD = 200_000           # phrases a task adds up before it sends them
 GROUP = 4 << 20          # bytes of text whose words are numbered together
@@ -97,9 +110,19 @@ def word_ids(texts: Sequence[bytes], vocabulary: Vocabulary) -> Iterator[np.ndar
         yield np.array([*out, *[0] * (LONGEST - 1)], np.int64)
 
 
-def known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes % np.uint64(len(bitmap) * 8)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def known(bitmap: np.ndarray, hashes: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """Which hashes have their first ``probes`` bits in the filter (see ``bitmap_of``)."""
+    last = np.uint64(len(bitmap) * 8 - 1)
+    hit = lambda at: (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    left = np.flatnonzero(hit(hashes & last & np.uint64(0xFFFFFFFF)))
+    for k in range(1, probes):
+        h = hashes[left]
+        if k >= TURN:
+            h = h >> np.uint64(16) | h << np.uint64(48)
+        left = left[hit((h & np.uint64(0xFFFFFFFF)) + np.uint64(k % TURN) * (h >> np.uint64(32)) & last)]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
+    return out
 
 
 def groups(ids: np.ndarray, size: int, value: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +157,13 @@ def count_block(ids: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray | None,
             counted_now, counted_then = inside[:-1] & inside[1:], then[:-1] & then[1:]
             value = mix(value[:-1] * STEP + value[1:] + np.uint64(size))
         fresh = counted_now if before is None else counted_now & ~counted_then
-        inside = counted_now if bitmap is None else counted_now & known(bitmap, value)
+        # There are fewer words than places.
+        there = lambda bits: known(bits, hashes)[ids] if size == 1 else known(bits, value)  # noqa: E731, B023
+        inside = counted_now if bitmap is None else counted_now & there(bitmap)
         then = inside
         if before is not None:
             inside |= fresh
-            then = counted_then & known(before, value)
+            then = counted_then & there(before)
         if size == 1:
             if before is None:
                 n = np.bincount(ids[:own], minlength=1)
@@ -162,16 +187,30 @@ def blocks(texts: Sequence[bytes], lang: str) -> Iterator[tuple[np.ndarray, np.n
         yield ids, hashes, vocabulary.words
 
 
-def counts(texts: Sequence[bytes], lang: str, bitmap=None) -> Iterator[tuple]:
-    """(sizes, phrases, numbers) of the phrases of texts in one language that are in the bitmap; size 0 is the number of words."""
+def place_of(texts: Sequence[bytes], k: int) -> int:
+    """Place of the k-th block of texts, the same in every pass."""
+    return xxhash.xxh64_intdigest(texts[0], k) % PLACES
+
+
+def spelled(columns: Sequence[np.ndarray], words: list[bytes]) -> list[bytes]:
+    return list(map(b" ".join, zip(*[map(words.__getitem__, c.tolist()) for c in columns])))
+
+
+def counts(texts: Sequence[bytes], lang: str, bitmap=None, buckets: np.ndarray | None = None) -> Iterator[tuple]:
+    """(sizes, phrases, numbers) of the phrases of texts in one language that are in the bitmap; size 0 is the number of words.
+
+    ``buckets``: a flag per bucket of hashes, to list some alone.
+    """
     for ids, hashes, words in blocks(texts, lang):
         yield [0], [b""], [(ids[:len(ids) - LONGEST + 1] > 0).sum()]
         for size, columns, n, value in count_block(ids, hashes, bitmap, None):
             if bitmap is not None:
-                own = known(bitmap, value)
+                own = known(bitmap, value, SURE)
+                if buckets is not None:
+                    own &= buckets[(value % np.uint64(BUCKETS)).astype(np.int64)]
                 columns, n = [c[own] for c in columns], n[own]
             if len(n):
-                yield [size] * len(n), list(map(b" ".join, zip(*[map(words.__getitem__, c.tolist()) for c in columns]))), n
+                yield [size] * len(n), spelled(columns, words), n
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -190,18 +229,75 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
 
 
 def hash_counts(docs: DataFrame, bitmap=None, before=None, longest: int = LONGEST) -> DataFrame:
-    """(bits, n): how often phrases of one hash occur, of those that the bitmaps choose. ``docs``: lang, text (binary)."""
+    """(bits, at, n): how often phrases of one hash occur, of those that the bitmaps choose, and the place of a block with one.
+
+    ``docs``: lang, text (binary).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, then = opened(bitmap), opened(before)
         for lang, texts in by_language(batches):
-            for ids, hashes, _ in blocks(texts, lang):
+            for k, (ids, hashes, _) in enumerate(blocks(texts, lang)):
+                at = place_of(texts, k)
                 for _, _, n, value in count_block(ids, hashes, now, then, longest):
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["bits", "n"])
-    return docs.select("lang", "text").mapInArrow(run, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n"))
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(n), at, np.int32)),
+                                                      pa.array(n, pa.int64())], ["bits", "at", "n"])
+    return (docs.select("lang", "text").mapInArrow(run, "bits long, at int, n long")
+            .groupBy("bits").agg(F.min("at").alias("at"), F.sum("n").alias("n")))
 
 
-def phrase_counts(docs: DataFrame, bitmap) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the phrases whose hashes are in the bitmap, and of all words (size 0).
+def second_hash(columns: Sequence[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    value = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        value = mix(value * STEP + hashes[c] + np.uint64(1))
+    return value
+
+
+def names(docs: DataFrame, chosen, placed) -> DataFrame:
+    """(lang, size, phrase, bits, low, high): the phrases of chosen hashes, each with the halves of its second hash.
+
+    A phrase is listed by the blocks that ``placed`` has it for. Each task adds
+    a row per bucket (size -1, number in ``bits``) with the sums of both halves
+    over all occurrences, and per language the number of words (size 0, in ``low``).
+    """
+    columns_of = ["lang", "size", "phrase", "bits", "low", "high"]
+
+    def batch(lang: str, size: int, phrase: list[bytes], bits: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(bits), pa.string()), pa.array([size] * len(bits), pa.int32()), pa.array(phrase, pa.binary()),
+                                           *[pa.array(a, pa.int64()) for a in (bits, low, high)]], columns_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, there = opened(chosen), opened(placed)
+        sums, seen, total = np.zeros((2, BUCKETS), np.int64), 0, Counter()
+        summed = lambda: batch("", -1, [b""] * BUCKETS, np.arange(BUCKETS), *sums)
+        for lang, texts in by_language(batches):
+            seed, second = ~xxhash.xxh64_intdigest(lang.encode()) % (1 << 64), np.zeros(1, np.uint64)
+            for k, (ids, hashes, words) in enumerate(blocks(texts, lang)):
+                at = place_of(texts, k)
+                second = np.concatenate([second, np.array([xxhash.xxh64_intdigest(w, seed) for w in words[len(second):]], np.uint64)])
+                total[lang] += int((ids[:len(ids) - LONGEST + 1] > 0).sum())
+                for size, columns, n, value in count_block(ids, hashes, now, None):
+                    own = np.flatnonzero(known(now, value, SURE))
+                    columns, n, value = [c[own] for c in columns], n[own], value[own]
+                    check = second_hash(columns, second)
+                    halves = [(check & np.uint64(0xFFFFFFFF)).astype(np.int64), (check >> np.uint64(32)).astype(np.int64)]
+                    for s, half in zip(sums, halves):
+                        np.add.at(s, (value % np.uint64(BUCKETS)).astype(np.int64), half * n)
+                    seen += int(n.sum())
+                    new = np.flatnonzero(known(there, value ^ np.uint64(at << 40 | at), SURE))
+                    if len(new):
+                        yield batch(lang, size, spelled([c[new] for c in columns], words), value[new].view(np.int64), *[h[new] for h in halves])
+                if seen >= SEEN:
+                    yield summed()
+                    sums[:], seen = 0, 0
+        if seen:
+            yield summed()
+        for lang, n in total.items():
+            yield batch(lang, 0, [b""], *[np.array([x], np.int64) for x in (0, n, 0)])
+    return docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase binary, bits long, low long, high long")
+
+
+def phrase_counts(docs: DataFrame, bitmap, buckets: np.ndarray | None = None) -> DataFrame:
+    """(lang, size, phrase, n): exact counts of the phrases whose hashes are in the bitmap and the buckets, and of all words (size 0).
 
     What is chosen repeats from block to block, so a task adds it up and sends
     it when it holds HELD phrases, or at its end.
@@ -216,7 +312,7 @@ def phrase_counts(docs: DataFrame, bitmap) -> DataFrame:
             held.clear()
             return batch
         for lang, texts in by_language(batches):
-            for sizes, found, n in counts(texts, lang, now):
+            for sizes, found, n in counts(texts, lang, now, buckets):
                 size = int(sizes[0])
                 for phrase, k in zip(found, map(int, n)):
                     key = (lang, size, phrase)
@@ -237,13 +333,21 @@ def opened(bitmap) -> np.ndarray | None:
     return bitmap and np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
 
 
-def bitmap_of(phrases: DataFrame, base: bytes = b"") -> bytes:
-    """Bitmap of the phrases' hashes, added to ``base``. Spark joins the bits; the driver sees BITS / 64 words at most."""
-    at = F.pmod("bits", F.lit(BITS))
-    # Hashes are unsigned in numpy: BITS is a power of two, so both remainders agree.
-    words = phrases.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("b"))
+def bitmap_of(phrases: DataFrame, probes: int = PROBES, base: bytes = b"") -> bytes:
+    """Bloom filter of the phrases' hashes, or ``base`` with them added: bit low + k * high of a hash's halves for every probe k.
+
+    From probe TURN on the hash is turned by 16 bits and k starts anew, so that all its bits count. The filter has at least two bits per probe, up to BITS. Spark joins the bits; the
+    driver sees BITS / 64 words at most. ``phrases`` should be materialised.
+    """
+    size = len(base) * 8 or min(BITS, max(FEW_BITS, 1 << (2 * probes * phrases.count()).bit_length()))
+    turned = F.shiftrightunsigned("bits", 16).bitwiseOR(F.shiftleft("bits", 48))
+    halves = lambda h: (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))
+    at = F.explode(F.array(*[(low + high * (k % TURN)).bitwiseAND(size - 1) for k in range(probes)
+                             for low, high in [halves(F.col("bits") if k < TURN else turned)]]))
+    words = phrases.select(at.alias("at")).select(
+        F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int")).alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.frombuffer(base, np.int64).copy() if base else np.zeros(BITS // 64, np.int64)
+    bits = np.frombuffer(base, np.int64).copy() if base else np.zeros(size // 64, np.int64)
     bits[found["w"]] |= found["b"].to_numpy(np.int64)
     return bits.tobytes()
 
@@ -255,21 +359,50 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
                        F.pmod(F.xxhash64("doc_id", text_key()), F.lit(sample)).alias("_part"))
     spark, enough = docs.sparkSession, max(2, int(least / sample * CAUTION))
     # Passes are materialised before their bitmaps are dropped.
-    bitmap = bitmap_of(hash_counts(rows.filter("_part = 0"), longest=LONGEST - 1).filter(F.col("n") >= enough))
+    bitmap = bitmap_of(cut(hash_counts(rows.filter("_part = 0"), longest=LONGEST - 1).filter(F.col("n") >= enough).select("bits")))
     now = sent(spark, bitmap)
     hot = cut(hash_counts(rows, now).filter(F.col("n") >= least))
-    wider = bitmap_of(hot, bitmap)
+    wider = bitmap_of(hot, base=bitmap)
     if wider != bitmap:
         # Frequent phrases that were not proposed open up longer ones.
         wide = sent(spark, wider)
-        hot = hot.unionByName(cut(hash_counts(rows, wide, now).filter(F.col("n") >= least)))
+        more = cut(hash_counts(rows, wide, now).filter(F.col("n") >= least))
+        hot = cut(hot.unionByName(more).groupBy("bits").agg(F.min("at").alias("at"), F.sum("n").alias("n")))
         wide.destroy()
     now.destroy()
-    # Hashes only choose: what they chose is counted phrase by phrase.
-    chosen = sent(spark, bitmap_of(hot))
-    found = cut(phrase_counts(rows, chosen).filter((F.col("n") >= least) | (F.col("size") == 0)))
+    # Hashes only choose: what they chose is named and verified, or counted phrase by phrase.
+    at = F.col("at").cast("long")
+    chosen = sent(spark, bitmap_of(hot, SURE))
+    placed = sent(spark, bitmap_of(hot.select(F.col("bits").bitwiseXOR(F.shiftleft(at, 40)).bitwiseXOR(at).alias("bits")), SURE))
+    found = cut(names(rows, chosen, placed))
+    placed.destroy()
+    named, doubtful = verified(hot, found)
+    out = named.unionByName(found.filter("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("low").alias("n")))
+    if len(doubtful):
+        buckets = np.zeros(BUCKETS, bool)
+        buckets[doubtful] = True
+        out = out.unionByName(cut(phrase_counts(rows, chosen, buckets).filter((F.col("n") >= least) & (F.col("size") > 0))))
     chosen.destroy()
-    return found
+    return out
+
+
+def verified(hot: DataFrame, found: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(lang, size, phrase, n) of the hashes in ``hot`` (bits, n) with ``found`` names, and the buckets that are not among them.
+
+    Those have a hash without a name or with several, or sums that do not agree.
+    """
+    bucket = F.col("bits").bitwiseAND(BUCKETS - 1).cast("int")
+    name = F.struct("lang", "size", "phrase", "low", "high")
+    texts = (found.filter("size > 0").groupBy("bits").agg(F.min(name).alias("name"), F.max(name).alias("other"))
+             .select("bits", F.when(F.col("name") == F.col("other"), F.col("name")).alias("name")))
+    named = cut(hot.select("bits", "n").join(texts, "bits", "left").withColumn("bucket", bucket))
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    due = named.groupBy("bucket").agg(F.sum(exact("n") * exact("name.low")).alias("low"), F.sum(exact("n") * exact("name.high")).alias("high"),
+                                      F.count_if(F.col("name").isNull()).alias("lost"))
+    got = found.filter("size = -1").groupBy(bucket.alias("bucket")).agg(F.sum(exact("low")).alias("_low"), F.sum(exact("high")).alias("_high"))
+    agree = (F.col("lost") == 0) & F.col("low").eqNullSafe(F.col("_low")) & F.col("high").eqNullSafe(F.col("_high"))
+    doubtful = [r[0] for r in due.join(got, "bucket", "left").filter(~agree).select("bucket").collect()]
+    return named.filter(~F.col("bucket").isin(doubtful)).select("name.lang", "name.size", "name.phrase", "n"), doubtful
 
 
 def _part(words: Column, start: int | Column, length: int | Column) -> Column:

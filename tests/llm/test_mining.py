@@ -100,6 +100,38 @@ def test_equal_hashes_are_told_apart():
     assert found == {((1, 1), (2, 3)): [2, 1]}
 
 
+def test_filters_keep_up_with_phrases(spark):
+    """A filter of fixed size lets everything through once there are many phrases."""
+    hashes = phrases.mix(np.arange(1, 3_000_001, dtype=np.uint64) * phrases.STEP)
+    many = spark.range(1, 2_000_001).mapInPandas(lambda frames: (
+        f.assign(bits=phrases.mix(f["id"].to_numpy(np.uint64) * phrases.STEP).view(np.int64))[["bits"]] for f in frames), "bits long").cache()
+    few, sure = (np.frombuffer(phrases.bitmap_of(many, probes), np.uint8) for probes in (phrases.PROBES, phrases.SURE))
+    assert phrases.known(few, hashes[:2_000_000]).all() and phrases.known(sure, hashes[:2_000_000], phrases.SURE).all()
+    assert phrases.known(few, hashes[2_000_000:]).mean() < 0.05 and phrases.known(sure, hashes[2_000_000:], phrases.SURE).sum() < 10
+
+
+def test_a_phrase_is_named_once_however_many_tasks(spark, spoken, monkeypatch):
+    made, names = [], phrases.names
+
+    def watched(*a):
+        made.append(phrases.cut(names(*a)))
+        return made[-1]
+    monkeypatch.setattr(phrases, "names", watched)
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *a: 1 / 0)   # nothing is in doubt
+    docs = phrase_rows(spark, spoken * 4).repartition(12)
+    got = phrases.frequent_phrases(docs, 12).filter("size > 0").count()
+    assert got and got <= made[0].filter("size > 0").count() < 1.5 * got
+
+
+@pytest.mark.parametrize("change", [("n", "n + pmod(bits, 3)"), ("at", "CAST(pmod(bits, 2) * 5000 + at AS int)")])
+def test_doubtful_hashes_are_counted_by_phrase(spark, spoken, monkeypatch, change):
+    """Numbers that two phrases share, and places without the phrase."""
+    hash_counts = phrases.hash_counts
+    monkeypatch.setattr(phrases, "hash_counts", lambda *a, **k: hash_counts(*a, **k).withColumn(change[0], F.expr(change[1])))
+    got = phrases.collocations(phrase_rows(spark, spoken), 12, 50)
+    assert Counter(map(tuple, got.collect())) == plain_phrases(spoken, 12, 50)
+
+
 def test_scores_pass_64_bits(spark):
     big = [("en", 0, b"", 3 * 10**15), ("en", 1, b"a", 10**12), ("en", 1, b"b", 10**12), ("en", 2, b"a b", 10**12 - 7)]
     frame = spark.createDataFrame(big, "lang string, size int, phrase binary, n long")
